@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import chat, sharding
+from strandline.llm import bpe, chat, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_sharding": sharding.op6_sharding, "op8_chat_formatting": chat.op8_chat_formatting}
+    return {"op6_sharding": sharding.op6_sharding, "op8_chat_formatting": chat.op8_chat_formatting, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
