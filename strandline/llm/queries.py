@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, chat, sharding
+from strandline.llm import bpe, chat, exact_dedup, license_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_sharding": sharding.op6_sharding, "op8_chat_formatting": chat.op8_chat_formatting, "op9_bpe": bpe.op9_bpe}
+    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup, "op3_license_scan": license_scan.op3_license_scan, "op6_sharding": sharding.op6_sharding, "op8_chat_formatting": chat.op8_chat_formatting, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat.OP8_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL}
