@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, chat, exact_dedup, license_scan, quality, sharding, simhash, substring
+from strandline.llm import bpe, chat, exact_dedup, license_scan, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup, "op3_license_scan": license_scan.op3_license_scan, "op4_simhash": simhash.op4_simhash, "op5_quality": quality.op5_quality, "op6_sharding": sharding.op6_sharding, "op8_chat_formatting": chat.op8_chat_formatting, "op9_bpe": bpe.op9_bpe, "op10_substring_dedup": substring.op10_substring_dedup}
+    return {"op1_toxicity": toxicity.op1_toxicity, "op2_exact_dedup": exact_dedup.op2_exact_dedup, "op3_license_scan": license_scan.op3_license_scan, "op4_simhash": simhash.op4_simhash, "op5_quality": quality.op5_quality, "op6_sharding": sharding.op6_sharding, "op8_chat_formatting": chat.op8_chat_formatting, "op9_bpe": bpe.op9_bpe, "op10_substring_dedup": substring.op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
