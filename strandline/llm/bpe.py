@@ -210,6 +210,10 @@ def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id",
     return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def with_length(encoded: DataFrame) -> DataFrame:
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
