@@ -90,7 +90,7 @@ class Items:
         rng = np.random.default_rng(SEED)
         longest = max(map(len, self.words))
         self.k = [allowed(len(w), self.similarity) for w in self.words]
-        self.seeds = rng.integers(1, 1 << 63, (self.walks, 3 * longest), np.uint64)  # the random bits, by walk and step
+        self.seeds = rng.integers(1, 1 << 63, (self.walks, 3 * longest), np.uint64) * np.uint64(2) + np.uint64(1)  # multipliers of the random bits, by walk and step
         self.by_run: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         runs = defaultdict(list)
         for i, (w, k) in enumerate(zip(self.words, self.k, strict=True)):
@@ -125,17 +125,17 @@ class Items:
         at = np.zeros((len(windows), self.walks), np.int64)
         out = np.zeros((len(windows), self.walks), np.uint64)
         rows = np.arange(len(windows))[:, None]
-        wide = np.concatenate([windows, np.full((len(windows), 1), -2)], axis=1).astype(np.int64)  # -2: beyond the end
+        wide = mix64(np.concatenate([windows, np.full((len(windows), 1), -2)], axis=1).astype(np.int64))  # -2: beyond the end
         taken = np.zeros(self.walks, np.int64)
         for step in range(int(steps.max()) + 1):
-            symbol = wide[rows, np.minimum(at, n)].astype(np.uint64)
+            symbol = wide[rows, np.minimum(at, n)]
             while True:
                 now = (taken < SAMPLED) & (steps[np.arange(self.walks), np.minimum(taken, SAMPLED - 1)] == step)
                 if not now.any():
                     break
                 out[:, now] = mix64(out[:, now] + symbol[:, now] + np.uint64(1))
                 taken[now] += 1
-            at += (mix64(symbol ^ self.seeds[:, step]) >> np.uint64(63)).astype(np.int64)
+            at += (symbol * self.seeds[:, step] >> np.uint64(63)).astype(np.int64)  # the word's bit in this walk and step
         return out
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
