@@ -43,12 +43,18 @@ def supersets(sets: DataFrame, set_keys: DataFrame) -> DataFrame:
     return shared.where("n = n_a").select("a", "b")
 
 
-def superseders(keys: DataFrame, files: DataFrame) -> DataFrame:
+def _parts(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, pairs of supersets), kept for the steps that share them; both are as small as files and set pairs."""
+    sets, set_keys = key_sets(keys.persist())
+    sets = sets.persist()
+    return sets, supersets(sets, set_keys.persist()).persist()
+
+
+def superseders(keys: DataFrame, files: DataFrame, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """file_id, name, by_id, by_name: every file with every file that makes it redundant."""
-    sets, set_keys = key_sets(keys)
+    sets, pairs = parts or _parts(keys)
     named = files.join(sets, "file_id", "left")
     full, empty = named.where("set_id is not null"), named.where("set_id is null")
-    pairs = supersets(sets, set_keys)
     own = full.select("file_id", "name", F.col("set_id").alias("a"))
     other = full.select(F.col("file_id").alias("by_id"), F.col("name").alias("by_name"), F.col("set_id").alias("b"))
     larger = own.join(pairs, "a").join(other, "b").where("name <> by_name")
@@ -61,12 +67,12 @@ def superseders(keys: DataFrame, files: DataFrame) -> DataFrame:
     return larger.select(*columns).unionByName(equal.select(*columns)).unionByName(over.select(*columns)).unionByName(among.select(*columns))
 
 
-def redundancy(keys: DataFrame, files: DataFrame) -> DataFrame:
+def redundancy(keys: DataFrame, files: DataFrame, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """file_id, name, n_keys, redundant: the verdict alone, linear in files and set pairs."""
-    sets, set_keys = key_sets(keys)
+    sets, pairs = parts or _parts(keys)
     named = files.join(sets, "file_id", "left").withColumn("n_keys", F.coalesce("n_keys", F.lit(0)))
     names = named.where("set_id is not null").groupBy("set_id").agg(F.min("name").alias("low"), F.max("name").alias("high"))
-    above = supersets(sets, set_keys).join(names.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.min("low").alias("up_low"), F.max("high").alias("up_high"))
+    above = pairs.join(names.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.min("low").alias("up_low"), F.max("high").alias("up_high"))
     full = named.where("set_id is not null").join(names, "set_id").join(above, F.col("set_id") == F.col("a"), "left")
     bigger = F.coalesce((F.col("up_low") != F.col("name")) | (F.col("up_high") != F.col("name")), F.lit(False))
     full = full.select("file_id", "name", "n_keys", ((F.col("low") < F.col("name")) | bigger).alias("redundant"))
@@ -78,8 +84,9 @@ def redundancy(keys: DataFrame, files: DataFrame) -> DataFrame:
 
 def verdict(keys: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, name, n_keys, redundant, superseded_by (names in order), covered_by (the kept ones of them, else all)."""
-    states = redundancy(keys, files)
-    pairs = superseders(keys, files).join(states.select(F.col("file_id").alias("by_id"), F.col("redundant").alias("by_redundant")), "by_id")
+    parts = _parts(keys)
+    states = redundancy(keys, files, parts).persist()
+    pairs = superseders(keys, files, parts).join(states.select(F.col("file_id").alias("by_id"), F.col("redundant").alias("by_redundant")), "by_id")
     lists = pairs.groupBy("file_id").agg(F.array_sort(F.collect_list("by_name")).alias("superseded_by"), F.array_sort(F.collect_list(F.when(~F.col("by_redundant"), F.col("by_name")))).alias("kept_by"))
     none: Column = F.array().cast("array<string>")
     out = states.join(lists, "file_id", "left").withColumn("superseded_by", F.coalesce("superseded_by", none))
