@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +17,6 @@ from strandline.sources import mail, pdf, text_exports
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-JOIN = "array_join"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -182,7 +180,7 @@ def parse_thread_export(spark, sf_dir):
 
 @query("html_to_text", r"""
 WITH plain AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM pages),
-lines AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), x -> trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), x -> x <> '') AS l FROM plain)
+lines AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> '') AS l FROM plain)
 SELECT page_id, array_to_string(l, chr(10)) AS text FROM lines""")
 def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
@@ -410,5 +408,3 @@ def store_stream(spark, sf_dir):
     stream_exports(spark, f"{root}/in", f"{root}/store", f"{root}/state", "*.txt", "now").awaitTermination()
     return store.stats(store.Store(spark, f"{root}/store").read())
 
-
-del hashlib

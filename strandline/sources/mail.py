@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.schema import MESSAGE, MESSAGE_FIELDS
 
@@ -27,12 +28,12 @@ def html_text(page: str) -> str:
     return "\n".join(x for x in lines if x).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text_udf(pages: pd.Series) -> pd.Series:
     return pages.fillna("").map(html_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _legacy(content: pd.Series) -> pd.Series:
     def read(data: bytes) -> str:
         try:
