@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators.contain import verdict
+from strandline.operators.forest import ranked
 from strandline.operators.keys import attachment_key, message_key
 
 FILES = "file_id long, path string, name string, ingested_at string"
@@ -52,14 +53,12 @@ def upsert(old: Tables, batch: DataFrame, files: DataFrame, stamp: str) -> tuple
     base = old.files.agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("top"))
     fresh = paths.where("old_id is null")
     order = fresh.groupBy("file_id").agg(F.min("path").alias("p")).select("file_id")
-    from strandline.operators.forest import ranked
-
     numbered = ranked(order, ["file_id"]).crossJoin(F.broadcast(base)).select("file_id", (F.col("ordinal") + F.col("top")).alias("new_id"))  # one row
-    ids = paths.join(numbered, "file_id", "left").select(F.col("file_id").alias("batch_id"), F.coalesce("old_id", "new_id").alias("file_id"), "path", "name", F.col("old_id").isNotNull().alias("refreshed"))
+    ids = paths.join(numbered, "file_id", "left").select(F.col("file_id").alias("batch_id"), F.coalesce("old_id", "new_id").alias("file_id"), "path", "name", F.col("old_id").isNotNull().alias("refreshed")).persist()
     rows = batch.withColumnRenamed("file_id", "batch_id").drop("name").join(ids.select("batch_id", "file_id"), "batch_id")
     rows = rows.withColumn("key", message_key(F.col("sender"), F.col("body"))).withColumn("ts", X.sent_at(F.col("timestamp")))
     start = old.messages.agg(F.coalesce(F.max(F.greatest("best_seq", "seen_seq", F.coalesce("id_seq", F.lit(-1)))), F.lit(-1)).alias("top"))
-    rows = rows.crossJoin(F.broadcast(start)).withColumn("seq", F.col("top") + 1 + F.col("batch_id") * 1_000_000 + F.col("msg_idx"))  # one row
+    rows = rows.crossJoin(F.broadcast(start)).withColumn("seq", F.col("top") + 1 + F.col("batch_id") * 1_000_000 + F.col("msg_idx")).persist()  # one row
 
     none = F.lit(None).cast("string")
     new = rows.select("key", *_BODY, "ts", F.col("seq").alias("best_seq"), F.nullif(X.text(F.col("message_id")), F.lit("")).alias("message_id"), F.when(X.text(F.col("message_id")) != "", F.col("seq")).alias("id_seq"), F.lit(stamp).alias("first_seen"), F.col("seq").alias("seen_seq"))

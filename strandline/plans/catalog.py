@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -221,6 +222,10 @@ def verify_no_loss(spark, sf_dir):
     return forest.verify_no_loss(m, contain.redundancy(*_keys(m))).select("files_total", "branches_kept", "unique_messages", "n_lost", "collapsed")
 
 
+def _dates_as_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
+
+
 # --- timelines -------------------------------------------------------------------------------------------------------
 
 
@@ -243,10 +248,10 @@ def timeline_conversations(spark, sf_dir):
 @query("tab_stats", _with(EVENTS_SQL, """
 cats AS (SELECT tab, category, count(*) AS n, min(pos) AS p FROM tl GROUP BY ALL),
 busy AS (SELECT tab, category AS busiest, row_number() OVER (PARTITION BY tab ORDER BY n DESC, p) AS r FROM cats)""") + """
-SELECT tl.tab, count(*) AS total, min(CAST(date AS DATE)) AS first_date, max(CAST(date AS DATE)) AS last_date, count(DISTINCT category) AS n_categories, count(*) FILTER (WHERE importance >= 2) AS n_key, min(busiest) AS busiest
+SELECT tl.tab, count(*) AS total, CAST(min(CAST(date AS DATE)) AS VARCHAR) AS first_date, CAST(max(CAST(date AS DATE)) AS VARCHAR) AS last_date, count(DISTINCT category) AS n_categories, count(*) FILTER (WHERE importance >= 2) AS n_key, min(busiest) AS busiest
 FROM tl JOIN busy ON busy.tab = tl.tab AND r = 1 GROUP BY tl.tab""")
 def tab_stats(spark, sf_dir):
-    return timeline.tab_stats(timeline_events(spark, sf_dir))
+    return _dates_as_text(timeline.tab_stats(timeline_events(spark, sf_dir)))
 
 
 @query("busiest_category", _with(EVENTS_SQL) + """
@@ -267,19 +272,19 @@ def overview_text(spark, sf_dir):
 
 
 @query("phase_buckets", _with(EVENTS_SQL) + """
-SELECT tab, group_id, nullif(phase, '') AS phase, CAST(row_number() OVER (PARTITION BY tab, group_id ORDER BY min(pos)) - 1 AS INTEGER) AS ordinal, count(*) AS n_events, min(CAST(date AS DATE)) AS first_date, max(CAST(date AS DATE)) AS last_date
+SELECT tab, group_id, nullif(phase, '') AS phase, CAST(row_number() OVER (PARTITION BY tab, group_id ORDER BY min(pos)) - 1 AS INTEGER) AS ordinal, count(*) AS n_events, CAST(min(CAST(date AS DATE)) AS VARCHAR) AS first_date, CAST(max(CAST(date AS DATE)) AS VARCHAR) AS last_date
 FROM tl GROUP BY tab, group_id, phase""")
 def phase_buckets(spark, sf_dir):
-    return timeline.phase_buckets(timeline_events(spark, sf_dir))
+    return _dates_as_text(timeline.phase_buckets(timeline_events(spark, sf_dir)))
 
 
 @query("group_ranges", """
-SELECT o_orderpriority AS group_id, count(*) AS n_events, min(CAST(o_orderdate AS DATE)) AS first_date, max(CAST(o_orderdate AS DATE)) AS last_date,
+SELECT o_orderpriority AS group_id, count(*) AS n_events, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_date, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_date,
        strftime(min(o_orderdate), '%b ') || day(min(o_orderdate)) || strftime(min(o_orderdate), ', %Y') || ' - ' || strftime(max(o_orderdate), '%b ') || day(max(o_orderdate)) || strftime(max(o_orderdate), ', %Y') AS span
 FROM orders GROUP BY 1""")
 def group_ranges(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("group_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
-    return timeline.date_ranges(o, "group_id")
+    return _dates_as_text(timeline.date_ranges(o, "group_id"))
 
 
 _AXIS_SQL = """, o AS (SELECT *, CAST(date AS DATE) - DATE '1970-01-01' AS o FROM tl), e AS (SELECT tab AS t, min(o) AS lo, CASE WHEN min(o) = max(o) THEN max(o) + 1 ELSE max(o) END AS hi FROM o GROUP BY tab)"""
@@ -339,9 +344,17 @@ def _batch(spark, sf_dir, condition: str) -> tuple[DataFrame, DataFrame]:
     return m.select(*MESSAGE_FIELDS), files_of(m).withColumn("path", F.col("name"))
 
 
-def _stored(spark, sf_dir) -> tuple[store.Tables, DataFrame]:
-    one, _ = store.upsert(store.Tables.empty(spark), *_batch(spark, sf_dir, "conv_id % 2 = 0"), "first")
-    return store.upsert(one, *_batch(spark, sf_dir, "true"), "second")
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one; a local one where none is set, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandline-")
+    return f"{shared.rstrip('/')}/strandline-{uuid.uuid4().hex}"
+
+
+def _stored(spark, sf_dir) -> tuple[store.Tables, dict]:
+    s = store.Store(spark, _scratch(spark))
+    s.add(*_batch(spark, sf_dir, "conv_id % 2 = 0"), "first")
+    counts = s.add(*_batch(spark, sf_dir, "true"), "second")
+    return s.read(), counts
 
 
 @query("store_upsert", _with(exports_sql()) + """
@@ -357,7 +370,8 @@ def store_upsert(spark, sf_dir):
 SELECT (SELECT count(DISTINCT file_id) FROM exports WHERE conv_id % 2 = 1) AS added, (SELECT count(DISTINCT file_id) FROM exports WHERE conv_id % 2 = 0) AS refreshed,
        count(DISTINCT k) - (SELECT count(DISTINCT k) FROM exports WHERE conv_id % 2 = 0) AS messages_added, count(*) AS messages_seen FROM exports""")
 def store_idempotent(spark, sf_dir):
-    return _stored(spark, sf_dir)[1]
+    counts = _stored(spark, sf_dir)[1]
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
 
 
 @query("store_stats", _with(exports_sql()) + " SELECT count(DISTINCT file_id) AS files, count(DISTINCT k) AS messages, 0::BIGINT AS attachments FROM exports")
@@ -392,17 +406,21 @@ def mail_roundtrip(spark, sf_dir):
     return mail.parse_mail(files).select(F.expr("file_id div 100").alias("conv_id"), (F.col("file_id") % 100).alias("turn"), "sender", "body")
 
 
-@query("pdf_text", "SELECT item_id, text FROM benchmark WHERE false")
+@query("pdf_text", r"SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM benchmark")
 def pdf_text(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
-    return b.where("false")
+    """Each benchmark text set as a one-page PDF (escaped on the JVM) and read back."""
+    line = X.squeeze(F.col("text"))
+    hexed = F.hex(F.encode(line, "iso-8859-1"))
+    page = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< >>\nstream\nBT <"), hexed, F.lit("> Tj ET\nendstream\nendobj\n"))
+    files = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.lit("page.pdf").alias("name"), page.cast("binary").alias("content"))
+    return pdf.read_pdf(files).select(F.col("file_id").alias("item_id"), F.col("text").alias("body"))
 
 
 @query("store_stream")
 def store_stream(spark, sf_dir):
     from strandline.streaming.ingest import stream_exports
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/strandline-stream-{uuid.uuid4().hex}"
+    root = _scratch(spark)
     m = exports(spark, sf_dir).select(*MESSAGE_FIELDS)
     text_exports.render_exports(m).select("text").write.text(f"{root}/in", lineSep="\n")
     stream_exports(spark, f"{root}/in", f"{root}/store", f"{root}/state", "*.txt", "now").awaitTermination()

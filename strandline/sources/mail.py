@@ -52,7 +52,7 @@ def decode_legacy(content: Column) -> Column:
 def split_mailbox(data: bytes) -> list[bytes]:
     """A mailbox's messages: each from after its "From " line, which stands at the start or after a blank line, to the next."""
     cuts = [m for m in re.finditer(rb"(?m)^From [^\n]*\n?", data) if m.start() == 0 or data[: m.start()].endswith((b"\n\n", b"\r\n\r\n", b"\n\r\n"))]
-    ends = [m.start() for m in cuts[1:]] + [len(data)]
+    ends = [m.start() for m in cuts[1:]] + [len(data)] * bool(cuts)
     return [data[m.end() : e] for m, e in zip(cuts, ends, strict=True)]
 
 

@@ -41,7 +41,7 @@ def _headers(block: Column, end: Column) -> Column:
 
     def add(acc: Column, line: Column) -> Column:
         fresh = F.struct(F.lower(F.regexp_extract(line, X.HEADER, 1)).alias("key"), X.strip(F.regexp_extract(line, X.HEADER, 2)).alias("value"))
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         longer = F.struct(last["key"].alias("key"), X.strip(F.concat(last["value"], F.lit(" "), X.strip(line))).alias("value"))
         return F.when(line.rlike(X.HEADER), F.concat(acc, F.array(fresh))).when((F.size(acc) > 0) & (X.strip(line) != ""), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(acc)
 
@@ -50,7 +50,7 @@ def _headers(block: Column, end: Column) -> Column:
 
 def _value(headers: Column, key: str) -> Column:
     """The last value of a header; empty without one."""
-    return F.coalesce(F.element_at(F.filter(headers, lambda h: h["key"] == key), -1)["value"], F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(headers, lambda h: h["key"] == key), F.lit(-1))["value"], F.lit(""))
 
 
 def parse_exports(files: DataFrame) -> DataFrame:
