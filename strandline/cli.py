@@ -6,11 +6,13 @@ Exit codes: 0 done, 1 no files, 2 a classifier's error, 3 the verdict would lose
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from strandline.functions import text as X
 from strandline.operators import contain, forest, store, timeline, unique
 from strandline.operators.keys import file_keys
 from strandline.plans import render
@@ -38,6 +40,16 @@ def print_verdict(states) -> int:
     return 0
 
 
+def folder_events(messages, directory: str, link_base: str | None = None):
+    """Events of a directory: a tab for each sub-directory that has files (files beside them don't count), else one tab."""
+    inside = F.regexp_extract("path", r"/" + re.escape(directory.rstrip("/").rsplit("/", 1)[-1]) + r"/([^/]+)/[^/]*", 1)
+    rows = messages.withColumn("folder", inside)
+    if rows.where("folder <> ''").limit(1).count() == 0:
+        return timeline.message_events(unique.unique_messages(messages), "timeline", directory, link_base)
+    rows = rows.where("folder <> ''").withColumn("tab", X.slug(F.col("folder")))
+    return timeline.message_events(unique.unique_messages(rows, ("tab",)).select("key", "tab", "sender", "timestamp", "recipient", "subject", "attachments", "body", "path", "ts", "first_seen"), directory=directory, link_base=link_base, tab_col="tab")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="strandline")
     sub = p.add_subparsers(dest="command", required=True)
@@ -90,8 +102,7 @@ def main(args: list[str] | None = None) -> int:
         report = forest.verify_no_loss(messages, contain.redundancy(file_keys(messages), files.select("file_id", "name"))).first()
         say(report.line)
         return 0 if report.ok else 3
-    found = unique.unique_messages(messages.join(files.select("file_id", "path"), "file_id"))
-    events = timeline.message_events(found, "timeline", a.directory, a.link_base)
+    events = folder_events(messages.join(files.select("file_id", "path"), "file_id"), a.directory, a.link_base)
     if a.command == "ingest":
         render.write_draft(a.output, render.draft("Message timeline", events))
         say(f"wrote {a.output}")

@@ -32,23 +32,26 @@ def _none(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def message_events(unique: DataFrame, tab: str = "timeline", directory: str = "", link_base: str | None = None) -> DataFrame:
+def message_events(unique: DataFrame, tab: str = "timeline", directory: str = "", link_base: str | None = None, tab_col: str | None = None) -> DataFrame:
     """Events of unique messages (unique_messages(), plus path): by time, coloured by conversation, linked to their file.
 
+    All stand in one tab, or in the tabs that tab_col names (unique_messages within that column).
+
     pos: their order. Importance 2 with attachments, 1 for a conversation's first message, else 0. Conversations are
     subjects without prefixes, told apart by slug: the label is that of the first message.
     """
-    rows = ranked(unique.withColumn("f_id", F.col("first_seen.file_id")).withColumn("f_idx", F.col("first_seen.msg_idx")), ["ts", "f_id", "f_idx"]).withColumn("pos", F.col("ordinal") - 1)
+    own_tab = F.col(tab_col) if tab_col else F.lit(tab)
+    rows = ranked(unique.withColumn("tab", own_tab).withColumn("f_id", F.col("first_seen.file_id")).withColumn("f_idx", F.col("first_seen.msg_idx")), ["tab", "ts", "f_id", "f_idx"]).withColumn("pos", F.col("ordinal") - 1)
     topic = F.coalesce(_none(X.base_subject(F.col("subject"))), F.lit("(no subject)"))
     rows = rows.withColumn("topic", topic).withColumn("group_id", X.slug(F.col("topic")))
-    first = rows.groupBy("group_id").agg(F.min("pos").alias("group_pos"), F.min_by("topic", "pos").alias("group_label"))
-    rows = rows.join(first, "group_id")
+    first = rows.groupBy("tab", "group_id").agg(F.min("pos").alias("group_pos"), F.min_by("topic", "pos").alias("group_label"))
+    rows = rows.join(first, ["tab", "group_id"])
     has = F.size(F.coalesce("attachments", F.array().cast("array<string>"))) > 0
     source = F.struct(F.lit("email").alias("type"), F.lit("Open thread").alias("label"), X.href_for(F.col("path"), directory, link_base).alias("href"))
     return rows.select(
-        F.lit(tab).alias("tab"), "pos", "group_id", "group_label", "group_pos", X.iso_date(F.col("timestamp")).alias("date"),
+        "tab", "pos", "group_id", "group_label", "group_pos", X.iso_date(F.col("timestamp")).alias("date"),
         F.coalesce(_none(X.strip(X.text(F.col("subject")))), _none(X.base_subject(F.col("subject"))), F.lit("(no subject)")).alias("title"),
-        F.concat(F.lit(f"topic-{tab}-"), "group_id").alias("category"), X.display_name(F.col("sender")).alias("badge"), X.parties(F.col("sender"), F.col("recipient")).alias("parties"),
+        F.concat(F.lit("topic-"), "tab", F.lit("-"), "group_id").alias("category"), X.display_name(F.col("sender")).alias("badge"), X.parties(F.col("sender"), F.col("recipient")).alias("parties"),
         X.snippet(F.col("body"), 240).alias("summary"), F.when(has, 2).when(F.col("pos") == F.col("group_pos"), 1).otherwise(0).alias("importance"), F.lit(None).cast("string").alias("phase"), "attachments", source.alias("source"),
     )
 

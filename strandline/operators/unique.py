@@ -18,7 +18,7 @@ def unique_messages(messages: DataFrame, within: tuple[str, ...] = ()) -> DataFr
     rows = messages.withColumn("key", message_key(F.col("sender"), F.col("body"))).withColumn("ts", X.sent_at(F.col("timestamp")))
     place = F.struct("file_id", "msg_idx")
     best = rows.groupBy(*within, "key").agg(F.min_by(F.struct(*messages.columns, "ts"), F.struct("ts", "file_id", "msg_idx")).alias("row"), F.min(place).alias("first_seen"), F.count(F.lit(1)).alias("occurrences"))
-    return best.select("key", "row.*", "first_seen", "occurrences")
+    return best.select("key", "row.*", "first_seen", "occurrences")  # row has the columns of `within` too
 
 
 def duplicate_counts(messages: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def strip_quoted_signature(spark, sf_dir):
     return c.select("conv_id", "turn", X.clean_body(F.concat("text", tails)).alias("clean"))
 
 
-@query("parse_thread_export", _with(exports_sql()) + " SELECT name, turn AS msg_idx, sender, ts AS timestamp, subject, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM exports WHERE name NOT LIKE '%mid%'")
+@query("parse_thread_export", _with(exports_sql()) + " SELECT name, CAST(turn AS INTEGER) AS msg_idx, sender, ts AS timestamp, subject, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM exports WHERE name NOT LIKE '%mid%'")
 def parse_thread_export(spark, sf_dir):
     m = exports(spark, sf_dir).where("name not like '%mid%'").select(*MESSAGE_FIELDS)
     parsed = text_exports.parse_exports(text_exports.render_exports(m))
@@ -239,6 +239,14 @@ def timeline_events_query(spark, sf_dir):
     return timeline.message_events(u).select("pos", "group_id", "date", "title", "badge", "summary", "importance")
 
 
+@query("folder_timeline", _with(exports_sql()) + """
+SELECT tab, group_id, count(*) AS n_events FROM (SELECT DISTINCT 'f' || (conv_id % 3) AS tab, 'topic-' || (conv_id % 40) AS group_id, k FROM exports) GROUP BY ALL""")
+def folder_timeline(spark, sf_dir):
+    rows = exports(spark, sf_dir).withColumn("tab", F.concat(F.lit("f"), F.col("conv_id") % 3))
+    events = timeline.message_events(unique.unique_messages(rows, ("tab",)).withColumn("path", F.col("name")), tab_col="tab")
+    return timeline.conversations(events).select("tab", "group_id", "n_events")
+
+
 @query("timeline_conversations")
 def timeline_conversations(spark, sf_dir):
     u = unique.unique_messages(exports(spark, sf_dir)).withColumn("path", F.col("name"))

@@ -114,7 +114,7 @@ def test_reading_a_directory(spark, tmp_path):
     rows = {(r.name, r.msg_idx): r for r in messages.collect()}
     assert sorted(r.name for r in files.collect()) == ["a.eml", "b.mbox", "c.txt", "saved.pdf"]
     first = rows["a.eml", 0]
-    assert (first.sender, first.subject, first.timestamp, first.body, first.attachments) == ("Jörg <j@x>", "Héllo", "2025-01-06 09:30", "Hi you", ["notes.pdf"])
+    assert (first.sender, first.subject, first.timestamp, first.body, first.attachments) == ("Jörg <j@x>", "Héllo", "2025-01-06 09:30", "Hi\xa0 you", ["notes.pdf"])
     assert rows["b.mbox", 1].body == "second" and rows["c.txt", 0].body == "dash – here" and rows["saved.pdf", 0].sender == "q (x)"
 
 
@@ -189,3 +189,20 @@ def test_page_escapes_and_counts(spark, tmp_path):
 def test_fields_and_catalogue():
     assert len(MESSAGE_FIELDS) == 12 and set(catalog.SQL) <= set(catalog.QUERIES)
     assert timeline.KEY == 2
+
+
+def test_commands(spark, tmp_path, capsys):
+    from strandline import cli
+
+    for folder, body in (("one", "hello"), ("two", "other")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "a.txt").write_text(f"From: x\nSent: 2025-01-01\nSubject: S\n\n{body}\n")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("")
+    assert cli.main(["dedup", str(tmp_path / "none")]) == 1
+    assert cli.main(["dedup", str(tmp_path / "in"), "--recursive"]) == 0
+    assert cli.main(["tree", str(tmp_path / "in"), "--recursive"]) == 0
+    assert cli.main(["timeline-threads", str(tmp_path / "in"), "--recursive", "-o", str(tmp_path / "t.html")]) == 0
+    page = (tmp_path / "t.html").read_text()
+    assert 'id="tab-one"' in page and 'id="tab-two"' in page
+    assert "2 events" in capsys.readouterr().out
