@@ -113,6 +113,23 @@ def _expand(first: list[int], length: list[int]) -> np.ndarray:
     return np.concatenate([np.arange(a, a + n) for a, n in zip(first, length, strict=True)]) if first else np.empty(0, np.int64)
 
 
+def _rows(keys: list, at: list, hs: list, h2s: list | None = None) -> pa.RecordBatch:
+    """A batch of hashed positions. What occurs twice inside the batch is known to be repeated: one row of each such hash
+    goes on to meet other batches' rows, the others are marked and spread by their own place, so no hash gathers them."""
+    key, place, h = np.concatenate(keys), np.concatenate(at).astype(np.int32), np.concatenate(hs)
+    h2 = np.concatenate(h2s) if h2s is not None else np.zeros(len(h), np.int32)
+    order = np.lexsort((h2, h))
+    same = (h[order][1:] == h[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    later, known = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    later[order[1:][same]] = True
+    known[order[:-1][same]] = True
+    known |= later
+    h = h.copy()
+    h[later] = mix64(mix64(key[later].view(np.uint64)) + place[later].astype(np.uint64)).view(np.int64)
+    columns = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64())] + ([pa.array(h2, pa.int32())] if h2s is not None else [])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(known)], ["key", "at", "h", *["h2"] * (h2s is not None), "known"])
+
+
 def _gather_runs(rows: DataFrame) -> DataFrame:
     """key, at -> key, first array<int>, length array<int>: ascending runs. A row is one text's, so its size is the text's."""
 
@@ -147,7 +164,7 @@ def _gather_runs(rows: DataFrame) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """key, at, h, h2 -> key, at of the rows whose hash occurs more than once. h2 may be absent.
+    """Rows of _rows() -> key, at of those that are known to be repeated or whose hash occurs more than once.
 
     Rows are sorted by hash and run through; a run needs the memory of a batch, however long it is.
     """
@@ -165,7 +182,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
             same = np.ones(len(key) - 1, bool)
             for h in hs:
                 same &= h[1:] == h[:-1]
-            hit = np.zeros(len(key), bool)
+            hit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
             hit[1:] |= same
             hit[:-1] |= same
             head = tuple(int(h[0]) for h in hs)
@@ -213,7 +230,7 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
                     at.append(starts)
                     hs.append(hasher.hashes(hasher.prefix(words, 0), starts, hasher.anchor, 0).view(np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(hs), pa.int64())], ["key", "at", "h"])
+                yield _rows(keys, at, hs)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, twice = Hasher(window, period), Twice()
@@ -229,12 +246,12 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
                 hs.append(hasher.hashes(hasher.prefix(words, 0), starts, window, 0).view(np.int64))
                 h2s.append((hasher.hashes(hasher.prefix(words, 1), starts, window, 1) >> np.uint64(33)).astype(np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(hs), pa.int64()), pa.array(np.concatenate(h2s), pa.int32())], ["key", "at", "h", "h2"])
+                yield _rows(keys, at, hs, h2s)
 
-    found = _repeated(texts.select("key", "text").mapInArrow(anchors, "key long, at int, h long"))
+    found = _repeated(texts.select("key", "text").mapInArrow(anchors, "key long, at int, h long, known boolean"))
     found = table(_gather_runs(found), "anchors")
     held = texts.select("key", "text").join(found, "key")
-    exact = _repeated(held.mapInArrow(windows, "key long, at int, h long, h2 int"))
+    exact = _repeated(held.mapInArrow(windows, "key long, at int, h long, h2 int, known boolean"))
     return table(_gather_runs(exact), "repeated")
 
 
