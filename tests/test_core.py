@@ -191,18 +191,9 @@ def test_fields_and_catalogue():
     assert timeline.KEY == 2
 
 
-def test_commands(spark, tmp_path, capsys):
+def test_command_without_files(spark, tmp_path, capsys):
     from strandline import cli
 
-    for folder, body in (("one", "hello"), ("two", "other")):
-        (tmp_path / "in" / folder).mkdir(parents=True)
-        (tmp_path / "in" / folder / "a.txt").write_text(f"From: x\nSent: 2025-01-01\nSubject: S\n\n{body}\n")
-    (tmp_path / "none").mkdir()
-    (tmp_path / "none" / "x.csv").write_text("")
-    assert cli.main(["dedup", str(tmp_path / "none")]) == 1
-    assert cli.main(["dedup", str(tmp_path / "in"), "--recursive"]) == 0
-    assert cli.main(["tree", str(tmp_path / "in"), "--recursive"]) == 0
-    assert cli.main(["timeline-threads", str(tmp_path / "in"), "--recursive", "-o", str(tmp_path / "t.html")]) == 0
-    page = (tmp_path / "t.html").read_text()
-    assert 'id="tab-one"' in page and 'id="tab-two"' in page
-    assert "2 events" in capsys.readouterr().out
+    (tmp_path / "x.csv").write_text("")
+    assert cli.main(["dedup", str(tmp_path)]) == 1
+    assert "No message files" in capsys.readouterr().out
