@@ -35,6 +35,7 @@ SIMILARITY, TARGET_RECALL = 0.8, 0.98
 SAMPLED, LEAST_WALKS, MOST_WALKS = 5, 24, 400
 BLOCK_BYTES = 8 << 20
 SEED = 97
+ODD = 0x9E3779B97F4A7C15
 
 #: Letters and digits of ASCII, lower-cased, and bytes beyond ASCII; all else separates words.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -54,6 +55,11 @@ def run_length(n: int, k: int) -> int:
     return max(1, -(-(n - k) // (k + 1)))
 
 
+def symbols(numbers: np.ndarray) -> np.ndarray:
+    """The hashes of word numbers, also of -1 to -3, that random bits are made of. None is zero, whose bits would all be zero: a walk would never leave that word."""
+    return mix64(numbers.astype(np.int64).view(np.uint64) + np.uint64(ODD))
+
+
 def edit_places(item: list[int], words: np.ndarray) -> tuple[int, int, int]:
     """The smallest edit distance of the item to any stretch of words, and that stretch (start, end); the earliest end, then the longest.
 
@@ -125,7 +131,7 @@ class Items:
         at = np.zeros((len(windows), self.walks), np.int64)
         out = np.zeros((len(windows), self.walks), np.uint64)
         rows = np.arange(len(windows))[:, None]
-        wide = mix64(np.concatenate([windows, np.full((len(windows), 1), -2)], axis=1).astype(np.int64))  # -2: beyond the end
+        wide = symbols(np.concatenate([windows, np.full((len(windows), 1), -2)], axis=1))  # -2: beyond the end
         taken = np.zeros(self.walks, np.int64)
         for step in range(int(steps.max()) + 1):
             symbol = wide[rows, np.minimum(at, n)]

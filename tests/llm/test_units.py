@@ -135,6 +135,24 @@ def test_decontamination_finds_edited_items():
     assert found.find(found.numbers([])) == []
 
 
+def test_decontamination_walks_leave_every_word():
+    assert (decontam.symbols(np.arange(-3, 1000)) != 0).all()
+    r = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    items = [["se"] + [r.choice(words) for _ in range(r.randint(14, 58))] for _ in range(20)]
+    vocabulary = {}
+    numbered = [[vocabulary.setdefault(w.encode(), len(vocabulary)) for w in i] for i in items]
+    found = decontam.Items(list(range(20)), numbered, vocabulary, decontam.walks_needed(numbered, 0.8, 0.98), 0.8)
+    hits = 0
+    for trial in range(100):
+        w = ["new", *items[trial % 20][1:]]
+        for _ in range(decontam.allowed(len(w), 0.8) - 1):
+            w[r.randrange(1, len(w))] = "new"
+        text = " ".join([f"v{r.randint(0, 99)}" for _ in range(30)] + w + ["end"])
+        hits += any(h[0] == trial % 20 for h in found.find(found.numbers(decontam.words_of(text))))
+    assert hits >= 95
+
+
 def test_ring_gives_exact_shares_and_slots():
     nodes = [(p, s) for p, s in zip(range(-60, 60, 10), [0, 1, 2] * 4, strict=True)]
     counts = {0: 50, 3: 1, 7: 9}
