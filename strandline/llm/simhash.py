@@ -17,7 +17,7 @@ Components come from alternating large-star and small-star steps over written ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -160,8 +160,13 @@ def near_groups(docs: DataFrame, width: int = 3, hot_pairs: int = HOT_PAIRS, id_
 
 def _named(rows: DataFrame, hot_pairs: int) -> DataFrame:
     """fp, root, component_id for the distinct fingerprints of rows (doc_id, fp)."""
+    return name_components(rows, links(rows.select("fp").distinct(), hot_pairs))
+
+
+def name_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, root, component_id for the distinct fp of rows (doc_id, fp), of which edges (a, b) link some."""
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(fps.select("fp"), hot_pairs))
+    roots = components(edges)
     named = table(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(smallest, "root").select("fp", "root", "component_id")
@@ -172,9 +177,14 @@ def drop_near_copies(docs: DataFrame, width: int = 3, hot_pairs: int = HOT_PAIRS
 
     Of rows that share that doc_id, or of a component without any, the one with the smallest SHA-256 of its text stays.
     """
-    id_, fp_, root_ = "__strandline_id", "__strandline_fp", "__strandline_root"
     rows = table(fingerprints(docs, width, id_col, text_col), "fingerprints")
     named = table(_named(rows, hot_pairs), "components")
+    return keep_one(docs, rows, named, lambda t: _signed(fingerprint(t, width)), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, named: DataFrame, value: Callable[[bytes], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The one row of each component that drop_near_copies describes. rows: doc_id, fp of docs; named: as of name_components; value: a text's fp."""
+    id_, fp_, root_ = "__strandline_id", "__strandline_fp", "__strandline_root"
     if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0:
         keep = named.select(F.col("component_id").alias(id_))
         return docs.join(keep, docs[id_col].cast("long") == keep[id_], "left_semi")
@@ -184,7 +194,7 @@ def drop_near_copies(docs: DataFrame, width: int = 3, hot_pairs: int = HOT_PAIRS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts = batch.column(names.index(text_col)).cast(pa.string())
-            fps = np.array([fingerprint(t, width) for t in raw(texts)], np.uint64).view(np.int64)
+            fps = np.array([value(t) for t in raw(texts)], np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*names, fp_])
 
     whole = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp_, T.LongType())]))

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from strandline.llm import bpe, chat, decontam, exact_dedup, license_scan, quality, sharding, simhash, substring, toxicity
+from strandline.llm import bpe, chat, decontam, exact_dedup, license_scan, near_copies, quality, sharding, simhash, substring, toxicity
 
 LONG = " ".join(f"long{k % 977}" for k in range(6000))
 PASSAGE = " ".join(f"p{k}" for k in range(50))
@@ -115,6 +115,35 @@ def test_simhash_dense_balls(spark, hot):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(values))}
 
 
+def test_pipeline_drops_copies_of_five_word_similarity(spark, docs, none):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(3000)}" for _ in range(200)]
+        texts.append(list(base))
+        for edits in (1, 2, 3, 4, 8):
+            w = list(base)
+            for at in r.sample(range(200), edits):
+                w[at] = "new"
+            texts.append(w)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, rows, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    few = near_copies.drop_near_copies(docs)
+    assert few.columns == docs.columns and few.count() == len({near_copies.node_of(near_copies.shingles((t or "").encode())) for _, t in ROWS}) - 1  # two texts with PASSAGE
+    assert near_copies.drop_near_copies(none).collect() == []
+
+
 def test_substring_dedup(docs, none):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in ROWS]
     count = collections.Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
