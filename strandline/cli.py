@@ -97,7 +97,7 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "dedup":
         return print_verdict(contain.verdict(file_keys(messages), files.select("file_id", "name")))
     if a.command == "tree":
-        for r in forest.forest_lines(forest.forest(messages)).orderBy("path").toLocalIterator():
+        for r in forest.forest_lines(forest.forest(messages)).orderBy("root_place", "place").toLocalIterator():
             say(r.line)
         report = forest.verify_no_loss(messages, contain.redundancy(file_keys(messages), files.select("file_id", "name"))).first()
         say(report.line)

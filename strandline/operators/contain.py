@@ -2,96 +2,128 @@
 
 A set-containment self-join without comparing all pairs of files:
 
-1. Files with equal key sets collapse to one set (four hashes of their keys, combined by xor, and their number).
-2. A set's superset must hold its rarest key, so candidates come from an equality join on that key alone.
-3. A candidate is a superset if it holds as many of the set's keys as the set has: an equality join and a count.
-4. Verdicts come from sets and their smallest and largest name: linear in files. Lists of superseders are expanded only
-   where they are asked for, as their size is the answer's.
-
-A file without keys is contained in every file with keys; this branch has no key to join on and is added by aggregates.
+1. Files with equal key sets are members of one set, known by the number of its keys and four hashes of them combined by
+   xor. Files without keys are members of the empty set, which every other set contains.
+2. A set's supersets must hold its rarest key, so candidates come from an equality join on that key; they must also hold
+   two other keys of the set, the rarest of their kind, before any key is counted.
+3. What is left is a superset if it holds as many of the set's keys as the set has: an equality join and a count.
+4. The verdict is an aggregate of sets: linear in files and set pairs. Pairs stand between sets (`links`), files are told
+   by `members`; lists of names (`lists`) are expanded only where they are asked for, as their size is the answer's.
+
+Keys, sets and pairs are written as tables: what computes the keys is planned and run once.
 Files of one name are never compared with each other.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.scratch import drop, table
+
 WORDS = 4
+#: Keys of a set that a candidate must hold before it is compared with the whole set.
+PROBES = 3
+
+
+@dataclass
+class Containment:
+    """members: file_id, name, n_keys, set_id. sets: set_id, n_keys, n_files, low and high (its smallest and largest name).
+    pairs: a, b: each set and every set that properly contains it."""
+
+    members: DataFrame
+    sets: DataFrame
+    pairs: DataFrame
+
+
+def containment(keys: DataFrame, files: DataFrame) -> Containment:
+    """keys: file_id, key (distinct); files: file_id, name. A file without keys has the empty set."""
+    keys = table(keys.select("file_id", "key"), "keys")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "key")).alias(f"x{k}") for k in range(WORDS)]
+    by_file = keys.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_keys"), *marks)
+    named = files.select("file_id", "name").join(by_file, "file_id", "left").na.fill(0)
+    set_id = F.md5(F.concat_ws(",", "n_keys", *[f"x{k}" for k in range(WORDS)]))
+    members = table(named.select("file_id", "name", "n_keys", set_id.alias("set_id")), "members")
+    sets = members.groupBy("set_id").agg(F.first("n_keys").alias("n_keys"), F.count(F.lit(1)).alias("n_files"), F.min("name").alias("low"), F.max("name").alias("high"), F.min("file_id").alias("first"))
+    sets = table(sets, "sets")
+    set_keys = table(keys.join(sets.select(F.col("first").alias("file_id"), "set_id", "n_keys"), "file_id").select("set_id", "n_keys", "key"), "set-keys")
+    drop(keys)
+    nothing = sets.where("n_keys = 0").select(F.col("set_id").alias("a"))  # one row at most
+    over_nothing = sets.where("n_keys > 0").select(F.col("set_id").alias("b")).crossJoin(F.broadcast(nothing)).select("a", "b")
+    pairs = table(supersets(set_keys).unionByName(over_nothing), "supersets")
+    drop(set_keys)
+    return Containment(members, sets.drop("first"), pairs)
+
+
+def supersets(set_keys: DataFrame) -> DataFrame:
+    """a, b: each set and every set that properly contains it. set_keys: set_id, n_keys, key; empty sets have no row."""
+    common = set_keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    # The rarest key of each third of the keys: the rarest of all is among them, and no set's keys are gathered.
+    third = F.pmod(F.xxhash64(F.lit(WORDS), "key"), F.lit(PROBES))
+    rare = [F.min(F.when(third == k, F.struct("df", "key"))).alias(f"p{k}") for k in range(PROBES)]
+    probes = set_keys.join(common, "key").groupBy("set_id").agg(F.first("n_keys").alias("n_a"), *rare)
+    found = [F.col(f"p{k}") for k in range(PROBES)]
+    probes = probes.select(F.col("set_id").alias("a"), "n_a", F.least(*found)["key"].alias("key"), *[p["key"].alias(f"k{k}") for k, p in enumerate(found)])
+    held = set_keys.select(F.col("set_id").alias("b"), F.col("n_keys").alias("n_b"), "key")
+    near = probes.join(held, "key").where("n_b > n_a")
+    for k in range(PROBES):  # without a key of this third the rarest one stands in, which b holds
+        asked = near.withColumn("asked", F.coalesce(f"k{k}", "key"))
+        near = asked.join(held.select(F.col("b").alias("b_"), F.col("key").alias("key_")), (F.col("b") == F.col("b_")) & (F.col("asked") == F.col("key_")), "left_semi").drop("asked")
+    probed = sum((F.col(f"k{k}").isNotNull().cast("long") for k in range(PROBES)), F.lit(0).cast("long"))
+    near = table(near.select("a", "b", "n_a", probed.alias("probed")), "candidates")
+    of_a = set_keys.select(F.col("set_id").alias("a"), "key")
+    shared = near.where("probed < n_a").join(of_a, "a").join(held.select("b", "key"), ["b", "key"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("n_a").alias("n_a"))
+    return near.where("probed = n_a").select("a", "b").unionByName(shared.where("n = n_a").select("a", "b"))
 
 
-def key_sets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets: file_id, set_id, n_keys; set_keys: set_id, key): files by their key set. set_id is its smallest file_id."""
-    by_file = keys.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_keys"), *[F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in range(WORDS)])
-    mark = ["n_keys", *[f"x{k}" for k in range(WORDS)]]
-    first = by_file.groupBy(*mark).agg(F.min("file_id").alias("set_id"))
-    sets = by_file.join(first, mark).select("file_id", "set_id", "n_keys")
-    return sets, keys.join(sets.where("file_id = set_id").select("file_id", "set_id"), "file_id").select("set_id", "key")
+def states(parts: Containment) -> DataFrame:
+    """file_id, name, n_keys, redundant, set_id, n_supersets (distinct sets that properly contain the file's): linear in files and set pairs."""
+    names = parts.sets.select(F.col("set_id").alias("b"), "low", "high")
+    above = parts.pairs.join(names, "b").groupBy("a").agg(F.min("low").alias("up_low"), F.max("high").alias("up_high"), F.count(F.lit(1)).alias("n_supersets"))
+    per_set = parts.sets.select("set_id", "low").join(above, F.col("set_id") == F.col("a"), "left").drop("a")
+    rows = parts.members.join(per_set, "set_id")
+    bigger = F.coalesce((F.col("up_low") != F.col("name")) | (F.col("up_high") != F.col("name")), F.lit(False))
+    redundant = (F.col("low") < F.col("name")) | bigger
+    return rows.select("file_id", "name", "n_keys", redundant.alias("redundant"), "set_id", F.coalesce("n_supersets", F.lit(0)).alias("n_supersets"))
 
 
-def supersets(sets: DataFrame, set_keys: DataFrame) -> DataFrame:
-    """a, b: each set and every set that properly contains it."""
-    sizes = sets.select("set_id", "n_keys").distinct()
-    df = set_keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    rarest = set_keys.join(df, "key").groupBy("set_id").agg(F.min_by("key", F.struct("df", "key")).alias("key"))
-    a = rarest.join(sizes, "set_id").select(F.col("set_id").alias("a"), F.col("n_keys").alias("n_a"), "key")
-    b = set_keys.join(sizes, "set_id").select(F.col("set_id").alias("b"), F.col("n_keys").alias("n_b"), "key")
-    candidates = a.join(b, (a["key"] == b["key"]) & (F.col("n_b") > F.col("n_a"))).select("a", "b", "n_a")
-    of_a = set_keys.select(F.col("set_id").alias("a"), "key")
-    of_b = set_keys.select(F.col("set_id").alias("b"), "key")
-    shared = candidates.join(of_a, "a").join(of_b, ["b", "key"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("n_a").alias("n_a"))
-    return shared.where("n = n_a").select("a", "b")
-
-
-def _parts(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs of supersets), kept for the steps that share them; both are as small as files and set pairs."""
-    sets, set_keys = key_sets(keys.persist())
-    sets = sets.persist()
-    return sets, supersets(sets, set_keys.persist()).persist()
-
-
-def superseders(keys: DataFrame, files: DataFrame, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """file_id, name, by_id, by_name: every file with every file that makes it redundant."""
-    sets, pairs = parts or _parts(keys)
-    named = files.join(sets, "file_id", "left")
-    full, empty = named.where("set_id is not null"), named.where("set_id is null")
-    own = full.select("file_id", "name", F.col("set_id").alias("a"))
-    other = full.select(F.col("file_id").alias("by_id"), F.col("name").alias("by_name"), F.col("set_id").alias("b"))
-    larger = own.join(pairs, "a").join(other, "b").where("name <> by_name")
-    equal = own.join(other, F.col("a") == F.col("b")).where("by_name < name")
-    # No keys: all files with keys, and files without of smaller names. The files without keys are what is broken, so few.
-    nothing = empty.select("file_id", "name", F.lit(1).alias("one"))
-    over = full.select(F.col("file_id").alias("by_id"), F.col("name").alias("by_name"), F.lit(1).alias("one")).join(nothing, "one").where("name <> by_name")
-    among = empty.select(F.col("file_id").alias("by_id"), F.col("name").alias("by_name"), F.lit(1).alias("one")).join(nothing, "one").where("by_name < name")
-    columns = ["file_id", "name", "by_id", "by_name"]
-    return larger.select(*columns).unionByName(equal.select(*columns)).unionByName(over.select(*columns)).unionByName(among.select(*columns))
-
-
-def redundancy(keys: DataFrame, files: DataFrame, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """file_id, name, n_keys, redundant: the verdict alone, linear in files and set pairs."""
-    sets, pairs = parts or _parts(keys)
-    named = files.join(sets, "file_id", "left").withColumn("n_keys", F.coalesce("n_keys", F.lit(0)))
-    names = named.where("set_id is not null").groupBy("set_id").agg(F.min("name").alias("low"), F.max("name").alias("high"))
-    above = pairs.join(names.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.min("low").alias("up_low"), F.max("high").alias("up_high"))
-    full = named.where("set_id is not null").join(names, "set_id").join(above, F.col("set_id") == F.col("a"), "left")
-    bigger = F.coalesce((F.col("up_low") != F.col("name")) | (F.col("up_high") != F.col("name")), F.lit(False))
-    full = full.select("file_id", "name", "n_keys", ((F.col("low") < F.col("name")) | bigger).alias("redundant"))
-    bounds = named.agg(F.min(F.when(F.col("n_keys") > 0, F.col("name"))).alias("low"), F.max(F.when(F.col("n_keys") > 0, F.col("name"))).alias("high"), F.min(F.when(F.col("n_keys") == 0, F.col("name"))).alias("first"))
-    empty = named.where("set_id is null").crossJoin(F.broadcast(bounds))  # one row
-    covered = F.coalesce((F.col("low") != F.col("name")) | (F.col("high") != F.col("name")), F.lit(False)) | (F.col("first") < F.col("name"))
-    return full.unionByName(empty.select("file_id", "name", "n_keys", covered.alias("redundant")))
+def redundancy(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, name, n_keys, redundant: the verdict alone."""
+    return states(containment(keys, files)).select("file_id", "name", "n_keys", "redundant")
 
 
-def verdict(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, name, n_keys, redundant, superseded_by (names in order), covered_by (the kept ones of them, else all)."""
-    parts = _parts(keys)
-    states = redundancy(keys, files, parts).persist()
-    pairs = superseders(keys, files, parts).join(states.select(F.col("file_id").alias("by_id"), F.col("redundant").alias("by_redundant")), "by_id")
-    lists = pairs.groupBy("file_id").agg(F.array_sort(F.collect_list("by_name")).alias("superseded_by"), F.array_sort(F.collect_list(F.when(~F.col("by_redundant"), F.col("by_name")))).alias("kept_by"))
+def links(parts: Containment) -> DataFrame:
+    """name, by_name: each set and each set that properly contains it, both told by the smallest name among their files.
+
+    With `members` (set_id) this says everything that `lists` does, in as many rows as there are set pairs.
+    """
+    named = parts.sets.select("set_id", "low")
+    left, right = named.select(F.col("set_id").alias("a"), F.col("low").alias("name")), named.select(F.col("set_id").alias("b"), F.col("low").alias("by_name"))
+    return parts.pairs.join(left, "a").join(right, "b").select(F.col("a").alias("set_id"), "name", F.col("b").alias("by_set_id"), "by_name")
+
+
+def lists(parts: Containment, found: DataFrame) -> DataFrame:
+    """file_id, name, n_keys, redundant, superseded_by (names in order), covered_by (the kept ones of them, else all).
+
+    found: states(parts). For what a person reads: every file gets the names of all files that make it redundant, so a
+    corpus with a million equal files has answers of a million names. The names of a set are put together once.
+    """
     none: Column = F.array().cast("array<string>")
-    out = states.join(lists, "file_id", "left").withColumn("superseded_by", F.coalesce("superseded_by", none))
-    covered = F.when(F.size(F.coalesce("kept_by", none)) > 0, F.col("kept_by")).otherwise(F.col("superseded_by"))
-    return out.select("file_id", "name", "n_keys", "redundant", "superseded_by", covered.alias("covered_by"))
+    some = lambda c: F.coalesce(c, none)
+    names = found.groupBy("set_id").agg(F.collect_list("name").alias("own"), F.collect_list(F.when(~F.col("redundant"), F.col("name"))).alias("own_kept"))
+    up = parts.pairs.join(names.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.flatten(F.collect_list("own")).alias("up"), F.flatten(F.collect_list("own_kept")).alias("up_kept"))
+    rows = found.join(names, "set_id").join(up, F.col("set_id") == F.col("a"), "left")
+    over = lambda up, own: F.array_sort(F.concat(F.filter(some(F.col(up)), lambda x: x != F.col("name")), F.filter(F.col(own), lambda x: x < F.col("name"))))
+    rows = rows.select("file_id", "name", "n_keys", "redundant", over("up", "own").alias("superseded_by"), over("up_kept", "own_kept").alias("kept_by"))
+    return rows.withColumn("covered_by", F.when(F.size("kept_by") > 0, F.col("kept_by")).otherwise(F.col("superseded_by"))).drop("kept_by")
+
+
+def verdict(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """The verdict with its lists: see lists()."""
+    parts = containment(keys, files)
+    return lists(parts, table(states(parts), "states"))
 
 
 def keep(states: DataFrame) -> DataFrame:

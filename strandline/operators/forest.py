@@ -1,18 +1,23 @@
 """The reply forest and the proof that the verdict loses nothing.
 
 A message is known by its message-id, else by its content key. Its parent is the first of In-Reply-To and the
-References from last to first that names another message at hand. Depths and paths come from a breadth-first walk of
-written levels: as many joins as the longest reply chain, each on one level only. Messages in a reply cycle have no
-root; they are in `stranded`.
+References from last to first that names another message at hand.
+
+Depths, roots and the reading order come from one Euler tour: every message is entered and left once, and each of these
+two visits knows the next one. Pointer doubling on that list takes as many rounds as the logarithm of the largest
+tree's size, each an equality join on a table of short numbers, however deep the replies go and however many there are
+to one message. Messages in a reply cycle have no root, so their list has no end; they are in `stranded`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators.keys import message_key
+from strandline.operators.ranking import ranked
+from strandline.scratch import drop, table
 
 
 def identity(messages: DataFrame) -> DataFrame:
@@ -29,47 +34,63 @@ def nodes(messages: DataFrame) -> DataFrame:
 
 
 def parents(found: DataFrame) -> DataFrame:
-    """node, parent (null for roots)."""
+    """node, parent: nodes without a parent have no row."""
     refs = F.transform(F.reverse(F.coalesce("references", F.array().cast("array<string>"))), X.message_ref)
     candidates = F.concat(F.array(X.message_ref(F.col("in_reply_to"))), refs)
     asked = found.select("node", F.posexplode(candidates).alias("pos", "mid")).where("mid <> ''")
     known = found.where("mid <> ''").select("mid", F.col("node").alias("target"))
-    hit = asked.join(known, "mid").where("target <> node").groupBy("node").agg(F.min_by("target", "pos").alias("parent"))
-    return found.select("node").join(hit, "node", "left")
+    return asked.join(known, "mid").where("target <> node").groupBy("node").agg(F.min_by("target", "pos").alias("parent"))
 
 
-def forest(messages: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """root, node, parent, depth, path and the message: parents before children in order of path.
+def forest(messages: DataFrame) -> DataFrame:
+    """root, node, parent, depth, root_place, place and the message.
 
-    path is an array of places among siblings, by time and then subject. Ends when a level is empty.
+    Roots stand by time and then subject (root_place), and so do the replies to one message; place counts a tree's
+    messages in reading order, from 0: a message, then each of its replies with all that follows from it.
     """
-    found = nodes(messages)
-    edges = found.join(parents(found), "node")
     subject = F.coalesce(F.nullif(X.text(F.col("subject")), F.lit("")), F.lit("(no subject)"))
-    order = Window.partitionBy("parent").orderBy("ts", "title", "file_id", "msg_idx")
-    edges = edges.withColumn("title", subject).checkpoint() if messages.sparkSession.sparkContext.getCheckpointDir() else edges.withColumn("title", subject).cache()
-    # Siblings share a parent and are few; roots are ranked apart by ranges, as there may be any number of them.
-    replies = edges.where("parent is not null").withColumn("ordinal", F.row_number().over(order).cast("long"))
-    roots = ranked(edges.where("parent is null"), ["ts", "title", "file_id", "msg_idx"])
-    level = roots.select(F.col("node").alias("root"), "node", "parent", F.lit(0).alias("depth"), F.array("ordinal").alias("path"))
-    out = level
-    link = replies.select("node", "parent", "ordinal")
-    for _ in range(max_depth):
-        up = level.select("root", F.col("node").alias("parent"), "depth", "path")
-        level = link.join(up, "parent").select("root", "node", "parent", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("ordinal")).alias("path")).cache()
-        if level.limit(1).count() == 0:
-            break
-        out = out.unionByName(level)
-    return out.join(edges.drop("parent"), "node")
+    found = table(nodes(messages).withColumn("title", subject), "nodes")
+    edges = found.select("node", "ts", "title", "file_id", "msg_idx").join(parents(found), "node", "left")
+    # One order for all: roots first, then the replies to one message side by side.
+    placed = table(ranked(edges, ["parent", "ts", "title", "file_id", "msg_idx"]).select("node", "parent", F.col("ordinal").alias("id")), "placed")
+    walked = tour(placed)
+    names = placed.select(F.col("node").alias("root"), F.col("id").alias("root_place"))
+    out = placed.join(walked, "id").join(names, "root_place").drop("id")
+    return out.join(found, "node")
+
 
+def tour(placed: DataFrame) -> DataFrame:
+    """id, root_place (the root's id), depth, place; nodes in a cycle have no row.
 
-def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows plus ordinal, their place in the order of `by`, from 1: ranges are sorted apart and offset by counts."""
-    spread = rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()).cache()
-    counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row for each task
-    local = F.row_number().over(Window.partitionBy("part").orderBy(*by))
-    return spread.withColumn("local", local).join(F.broadcast(offsets), "part").withColumn("ordinal", (F.col("local") + F.col("before")).cast("long")).drop("local", "before", "part")
+    placed: node, parent (null for roots), id: from 1, the children of one parent numbered side by side.
+    """
+    family = placed.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    family = table(family.join(placed.select("node", F.col("id").alias("up")), "node").select("up", "first", "last"), "families")
+    rows = placed.select("id", F.col("parent").isNull().alias("is_root"))
+    rows = rows.join(family.select(F.col("up").alias("id"), "first"), "id", "left").join(family.select(F.col("last").alias("id"), "up"), "id", "left")
+    # Visit 2 id enters, 2 id + 1 leaves. After a message's last reply is left, the message is left.
+    enter = F.struct((F.col("id") * 2).alias("visit"), F.coalesce(F.col("first") * 2, F.col("id") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("rise"))
+    after = F.when(~F.col("is_root"), F.coalesce(F.col("up") * 2 + 1, F.col("id") * 2 + 2))
+    leave = F.struct((F.col("id") * 2 + 1).alias("visit"), after.alias("next"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("rise"))
+    # entered and rise: sums over the visits from this one up to the next, which is not counted; end: the list's last visit.
+    steps = rows.select(F.explode(F.array(enter, leave)).alias("v")).select("v.*").withColumn("end", F.when(F.col("next").isNull(), F.col("visit")))
+    steps = table(steps, "tour")
+    open_before = None
+    while True:
+        # An open list of any length gets new closed visits in each round; if none closes, the rest are cycles.
+        still_open = steps.where("end is null").count()
+        if still_open == 0 or still_open == open_before:
+            break
+        open_before = still_open
+        ahead = steps.select(F.col("visit").alias("next"), F.col("next").alias("next2"), F.col("entered").alias("entered2"), F.col("rise").alias("rise2"), F.col("end").alias("end2"))
+        moved = steps.where("end is null").join(ahead, "next").select("visit", F.col("next2").alias("next"), (F.col("entered") + F.col("entered2")).alias("entered"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("end2").alias("end"))
+        after = table(steps.where("end is not null").unionByName(moved), "tour")
+        drop(steps)
+        steps = after
+    done = steps.where("end is not null and visit % 2 = 0").select(F.shiftright("visit", 1).alias("id"), F.shiftright("end", 1).alias("root_place"), "entered", "rise")
+    whole = done.where("id = root_place").select("root_place", F.col("entered").alias("size"))
+    # From a visit to the end: rise is minus the depth, and entered counts the message and all after it.
+    return done.join(whole, "root_place").select("id", "root_place", (-F.col("rise")).cast("int").alias("depth"), (F.col("size") - F.col("entered")).alias("place"))
 
 
 def stranded(messages: DataFrame, walked: DataFrame) -> DataFrame:
@@ -78,27 +99,37 @@ def stranded(messages: DataFrame, walked: DataFrame) -> DataFrame:
 
 
 def forest_lines(walked: DataFrame) -> DataFrame:
-    """path, line: one line of text for each message, indented by depth."""
+    """root_place, place, line: one line of text for each message, indented by depth."""
     stamp = F.when(X.text(F.col("timestamp")) != "", F.concat(F.lit("["), "timestamp", F.lit("] "))).otherwise(F.lit(""))
     bullet = F.when(F.col("depth") > 0, F.lit("- ")).otherwise(F.lit("* "))
-    return walked.select("path", F.concat(F.repeat(F.lit("  "), F.col("depth")), bullet, stamp, "title", F.lit("  ("), X.who(F.col("sender")), F.lit(")")).alias("line"))
+    return walked.select("root_place", "place", F.concat(F.repeat(F.lit("  "), F.col("depth")), bullet, stamp, "title", F.lit("  ("), X.who(F.col("sender")), F.lit(")")).alias("line"))
 
 
-def verify_no_loss(messages: DataFrame, states: DataFrame) -> DataFrame:
-    """One row: files_total, branches_kept, unique_messages, n_lost, lost (in order), collapsed, ok, line.
-
-    lost: identities that no kept file has, nor their content. collapsed: their content is kept under another identity.
-    """
+def missing(messages: DataFrame, states: DataFrame) -> DataFrame:
+    """node, said, held: the identities that no kept file has; held: whether a kept message says the same under another identity."""
     rows = identity(messages)
     first = rows.groupBy("node").agg(F.min_by(F.struct("key", "sender", "subject"), F.struct("file_id", "msg_idx")).alias("row")).select("node", "row.*")
     kept = rows.join(states.where("not redundant").select("file_id"), "file_id", "left_semi")
-    missing = first.join(kept.select("node").distinct(), "node", "left_anti")
-    held = kept.select("key").distinct().withColumn("held", F.lit(True))
-    missing = missing.join(held, "key", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    gone = first.join(kept.select("node").distinct(), "node", "left_anti")
+    gone = gone.join(kept.select("key").distinct().withColumn("held", F.lit(True)), "key", "left")
     said = F.concat(X.who(F.col("sender")), F.lit(": "), F.coalesce(F.nullif(X.text(F.col("subject")), F.lit("")), F.lit("(no subject)")))
-    loss = missing.agg(F.count_if(~F.col("held")).alias("n_lost"), F.array_sort(F.collect_list(F.when(~F.col("held"), said))).alias("lost"), F.count_if("held").alias("collapsed"))
+    return gone.select("node", said.alias("said"), F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def lost(messages: DataFrame, states: DataFrame) -> DataFrame:
+    """node, said: messages that no kept file has, nor their content."""
+    return missing(messages, states).where("not held").select("node", "said")
+
+
+def verify_no_loss(messages: DataFrame, states: DataFrame) -> DataFrame:
+    """One row: files_total, branches_kept, unique_messages, n_lost, collapsed, ok, line; what is lost, lost() tells.
+
+    lost: identities that no kept file has, nor their content. collapsed: their content is kept under another identity.
+    """
+    loss = missing(messages, states).agg(F.count_if(~F.col("held")).alias("n_lost"), F.count_if("held").alias("collapsed"))
     total = states.agg(F.count(F.lit(1)).alias("files_total"), F.count_if(~F.col("redundant")).alias("branches_kept"))
-    out = total.crossJoin(first.agg(F.count(F.lit(1)).alias("unique_messages"))).crossJoin(loss)  # one row each
+    unique = identity(messages).select("node").distinct().agg(F.count(F.lit(1)).alias("unique_messages"))
+    out = total.crossJoin(unique).crossJoin(loss)  # one row each
     line = F.format_string("Collapsed %d files -> %d branches; %d unique messages, %d lost.", "files_total", "branches_kept", "unique_messages", "n_lost")
     more = F.when(F.col("collapsed") > 0, F.format_string(" (%d cross-format duplicate%s collapsed)", "collapsed", F.when(F.col("collapsed") == 1, F.lit("")).otherwise(F.lit("s")))).otherwise(F.lit(""))
     return out.withColumn("ok", F.col("n_lost") == 0).withColumn("line", F.concat(line, more))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
-from strandline.operators.forest import ranked
+from strandline.operators.ranking import ranked
 from strandline.operators.timeline import CONVERSATION_COLORS, GREY
 
 UNCATEGORIZED = "uncategorized"

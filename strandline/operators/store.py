@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators.contain import verdict
-from strandline.operators.forest import ranked
+from strandline.operators.ranking import ranked
 from strandline.operators.keys import attachment_key, message_key
 
 FILES = "file_id long, path string, name string, ingested_at string"

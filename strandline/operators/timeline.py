@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
-from strandline.operators.forest import ranked
+from strandline.operators.ranking import ranked
 
 # The colours that conversations get in turn, those of undeclared categories, and the grey of the rest.
 CONVERSATION_COLORS = ["#1E88E5", "#E11D48", "#1D9E75", "#7C3AED", "#E89C1B", "#0EA5E9", "#DB2777", "#16A34A", "#9333EA", "#0D9488", "#D97706", "#6366F1"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from strandline.functions import text as X
 from strandline.operators import contain, forest, keys, organize, store, timeline, unique
 from strandline.plans.fixtures import EVENTS_SQL, FORKS, PAIRS_SQL, exports, exports_sql, files_of, read, timeline_events
 from strandline.schema import MESSAGE_FIELDS
+from strandline.scratch import new_path
 from strandline.sources import mail, pdf, text_exports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,14 +351,8 @@ def _batch(spark, sf_dir, condition: str) -> tuple[DataFrame, DataFrame]:
     return m.select(*MESSAGE_FIELDS), files_of(m).withColumn("path", F.col("name"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a local one where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandline-")
-    return f"{shared.rstrip('/')}/strandline-{uuid.uuid4().hex}"
-
-
 def _stored(spark, sf_dir) -> tuple[store.Tables, dict]:
-    s = store.Store(spark, _scratch(spark))
+    s = store.Store(spark, new_path(spark, "store"))
     s.add(*_batch(spark, sf_dir, "conv_id % 2 = 0"), "first")
     counts = s.add(*_batch(spark, sf_dir, "true"), "second")
     return s.read(), counts
@@ -428,7 +421,7 @@ def pdf_text(spark, sf_dir):
 def store_stream(spark, sf_dir):
     from strandline.streaming.ingest import stream_exports
 
-    root = _scratch(spark)
+    root = new_path(spark, "store")
     m = exports(spark, sf_dir).select(*MESSAGE_FIELDS)
     text_exports.render_exports(m).select("text").write.text(f"{root}/in", lineSep="\n")
     stream_exports(spark, f"{root}/in", f"{root}/store", f"{root}/state", "*.txt", "now").awaitTermination()

@@ -6,12 +6,15 @@ so they are never opened. Order is part of the data: file_id is the place in the
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
-from strandline.operators.forest import ranked
+from strandline.operators.ranking import ranked
 from strandline.schema import MESSAGE, MESSAGE_FIELDS
+from strandline.scratch import table
 from strandline.sources import mail, pdf, text_exports
 
 EXTENSIONS = ("txt", "eml", "mbox")
@@ -42,14 +45,26 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")).otherwise(mail.decode_legacy(plain))
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Messages of files (file_id, name, path, content), each by its extension; unknown ones as text exports."""
-    kind = extension(F.col("path"))
-    texts = files.where(~kind.isin("eml", "mbox", "pdf")).select("file_id", "name", decoded(F.col("content")).alias("text"))
-    out = text_exports.parse_exports(texts)
-    out = out.unionByName(mail.parse_mail(files.where(kind.isin("eml", "mbox")).select("file_id", "name", "content", kind.alias("kind"))))
-    pages = pdf.read_pdf(files.where(kind == "pdf").select("file_id", "name", "content")).cache()
-    return out.unionByName(pdf_messages(pages))
+KINDS = ("text", "mail", "pdf")
+
+
+def kind_of(path: Column) -> Column:
+    """The reader of a file: one of KINDS, by its extension; unknown ones are read as text exports."""
+    ext = extension(path)
+    return F.when(ext.isin("eml", "mbox"), F.lit("mail")).when(ext == "pdf", F.lit("pdf")).otherwise(F.lit("text"))
+
+
+def parse_files(files: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Messages of files (file_id, name, path, content), each by its extension. kinds: those of KINDS that occur."""
+    of = lambda kind: files.where(kind_of(F.col("path")) == kind)
+    parts = []
+    if "text" in kinds:
+        parts.append(text_exports.parse_exports(of("text").select("file_id", "name", decoded(F.col("content")).alias("text"))))
+    if "mail" in kinds:
+        parts.append(mail.parse_mail(of("mail").select("file_id", "name", "content", extension(F.col("path")).alias("kind"))))
+    if "pdf" in kinds:
+        parts.append(pdf_messages(table(pdf.read_pdf(of("pdf").select("file_id", "name", "content")), "pdf-text")))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else empty_messages(files.sparkSession)
 
 
 def pdf_messages(pages: DataFrame) -> DataFrame:
@@ -66,19 +81,25 @@ def read_messages(spark: SparkSession, directory: str, recursive: bool = False,
     attachment and that hold messages. Files of other kinds stay in `files` even without any message.
     """
     listed = list_files(spark, directory, recursive, pattern)
-    files = with_file_ids(listed).cache()
-    messages = parse_files(listed.drop("name").join(files, "path")).cache()
+    files = table(with_file_ids(listed), "files")
+    messages = _messages(listed, files)
     if not include_pdf or pattern:
         return messages, files
-    named = messages.select(F.explode("attachments").alias("name")).select(F.lower("name").alias("low")).distinct()
+    named = messages.select(F.explode("attachments").alias("name")).select(F.lower(X.strip(name_of(F.col("name")))).alias("low")).distinct()
     pdfs = list_files(spark, directory, recursive, "*.pdf")
     wanted = pdfs.select("path", "name").join(named, F.lower(pdfs["name"]) == named["low"], "left_anti")
-    pdf_files = with_file_ids(wanted, files.count()).cache()
-    from_pdf = parse_files(pdfs.drop("name").join(pdf_files, "path")).cache()
+    pdf_files = table(with_file_ids(wanted, files.count()), "files")
+    from_pdf = _messages(pdfs, pdf_files)
     readable = pdf_files.join(from_pdf.select("file_id").distinct(), "file_id", "left_semi").select("path", "name", "file_id")
     return messages.unionByName(from_pdf), files.unionByName(readable)
 
 
+def _messages(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """The files' messages, parsed once and written: no later step carries the parser's plan. Only the readers that the files need are run."""
+    kinds = tuple(r.kind for r in files.select(kind_of(F.col("path")).alias("kind")).distinct().collect())  # three at most
+    return table(parse_files(listed.drop("name").join(files, "path"), kinds), "messages")
+
+
 def uploads(spark: SparkSession, records: list[dict]) -> tuple[DataFrame, DataFrame]:
     """(files with content, skipped names) of upload records {name, content, encoding}: base64 content is decoded, names
     are made safe, of equal names the last counts, other kinds of files are skipped."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandline.operators.forest import ranked
+from strandline.operators.ranking import ranked
 from strandline.operators.store import Store
 from strandline.sources.files import decoded, name_of, parse_files
 from strandline.sources.text_exports import parse_exports

@@ -138,9 +138,9 @@ THREAD = [
 def test_forest_and_loss_proof(spark):
     messages = spark.createDataFrame(THREAD, MESSAGE)
     walked = forest.forest(messages).cache()
-    assert [(r.body, r.depth) for r in walked.orderBy("path").collect()] == [("open", 0), ("early", 1), ("late", 1), ("LATE ", 0)]
+    assert [(r.body, r.depth) for r in walked.orderBy("root_place", "place").collect()] == [("open", 0), ("early", 1), ("late", 1), ("LATE ", 0)]
     assert forest.stranded(messages, walked).count() == 2
-    assert [r.line for r in forest.forest_lines(walked).orderBy("path").collect()][1] == "  - [2025-01-01 9:30] S  (c)"
+    assert [r.line for r in forest.forest_lines(walked).orderBy("root_place", "place").collect()][1] == "  - [2025-01-01 9:30] S  (c)"
     files = spark.createDataFrame([(0, "f"), (1, "g")], "file_id long, name string")
     kept = forest.verify_no_loss(messages, files.withColumn("redundant", F.col("file_id") == 1)).first()
     assert (kept.n_lost, kept.collapsed, kept.ok) == (2, 1, False) and kept.line.endswith("(1 cross-format duplicate collapsed)")
