@@ -10,8 +10,8 @@ from strandline.llm import bpe, chat, decontam, exact_dedup, license_scan, quali
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": toxicity.op1_toxicity, "op2_exact_dedup": exact_dedup.op2_exact_dedup, "op3_license_scan": license_scan.op3_license_scan, "op4_simhash": simhash.op4_simhash, "op5_quality": quality.op5_quality, "op6_sharding": sharding.op6_sharding, "op7_decontamination": decontam.op7_decontamination, "op8_chat_formatting": chat.op8_chat_formatting, "op9_bpe": bpe.op9_bpe, "op10_substring_dedup": substring.op10_substring_dedup}
+    return {"op1_toxicity": toxicity.op1_toxicity, "op2_exact_dedup": exact_dedup.op2_exact_dedup, "op3_license_scan": license_scan.op3_license_scan, "op4_simhash": simhash.op4_simhash, "op5_quality": quality.op5_quality, "op6_sharding": sharding.op6_sharding, "op7_decontamination": decontam.op7_decontamination, "op8_chat_formatting": chat.op8_chat_formatting, "op9_bpe": bpe.op9_bpe, "op10_substring_dedup": substring.op10_substring_dedup, "license_base_places": license_scan.base_places}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL, "op10_substring_dedup": substring.OP10_SQL, "license_base_places": license_scan.BASE_SQL}

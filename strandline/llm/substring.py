@@ -10,7 +10,8 @@ judged by a 95-bit hash of its whole word sequence: it is repeated if the hash o
 comparison of pairs, so a passage in thousands of documents costs as much for each as one in two.
 
 All is keyed by the text's hash, not by doc_id: equal texts have equal windows, and of a group of copies each task
-hashes two.
+hashes two. Hashes that a task meets again and again go on twice (Meetings), so a boilerplate passage or a text that
+makes up a third of the corpus meets as some rows a task, not as one for each document.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Remembered, mix64, raw, read, small_batches, table
+from strandline.llm.common import Remembered, mix64, raw, read, small_batches
+from strandline.scratch import drop, table
 
 WINDOW, PERIOD = 35, 21
+#: Keys shared by different texts that are broadcast at most; more of them are joined by a shuffle.
+MOST_SHARED = 100_000
 #: Multipliers of the two rolling hashes, odd.
 _B = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _B], np.uint64)
@@ -113,21 +117,46 @@ def _expand(first: list[int], length: list[int]) -> np.ndarray:
     return np.concatenate([np.arange(a, a + n) for a, n in zip(first, length, strict=True)]) if first else np.empty(0, np.int64)
 
 
-def _rows(keys: list, at: list, hs: list, h2s: list | None = None) -> pa.RecordBatch:
-    """A batch of hashed positions. What occurs twice inside the batch is known to be repeated: one row of each such hash
-    goes on to meet other batches' rows, the others are marked and spread by their own place, so no hash gathers them."""
-    key, place, h = np.concatenate(keys), np.concatenate(at).astype(np.int32), np.concatenate(hs)
-    h2 = np.concatenate(h2s) if h2s is not None else np.zeros(len(h), np.int32)
-    order = np.lexsort((h2, h))
-    same = (h[order][1:] == h[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-    later, known = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    later[order[1:][same]] = True
-    known[order[:-1][same]] = True
-    known |= later
-    h = h.copy()
-    h[later] = mix64(mix64(key[later].view(np.uint64)) + place[later].astype(np.uint64)).view(np.int64)
-    columns = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64())] + ([pa.array(h2, pa.int32())] if h2s is not None else [])
-    return pa.RecordBatch.from_arrays([*columns, pa.array(known)], ["key", "at", "h", *["h2"] * (h2s is not None), "known"])
+def _spread(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix64(mix64(key.view(np.uint64)) + place.astype(np.uint64)).view(np.int64)
+
+
+class Meetings:
+    """What a task has given out of each hash, in a table of fixed size: how often it was seen, up to two.
+
+    One row of a hash goes on under the hash itself, so that it meets other tasks' rows; a second one goes when the hash
+    is first seen again, so that the first one is found. All later ones are known to be repeated and are spread by their
+    own place. So a passage that is in every document meets as two rows a task, and no more often than a hash is pushed
+    out of the table by another.
+    """
+
+    def __init__(self, bits: int = 20):
+        self.mask = np.int64((1 << bits) - 1)
+        self.hash, self.seen = np.zeros((1 << bits, 2), np.int64), np.zeros(1 << bits, np.int8)
+
+    def rows(self, keys: list, at: list, hs: list, h2s: list | None = None) -> pa.RecordBatch:
+        """A batch key, at, h, (h2,) known of hashed positions."""
+        key, place, h = np.concatenate(keys), np.concatenate(at).astype(np.int32), np.concatenate(hs)
+        h2 = np.concatenate(h2s) if h2s is not None else np.zeros(len(h), np.int32)
+        order = np.lexsort((h2, h))
+        first = np.ones(len(h), bool)
+        first[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        heads = np.nonzero(first)[0]
+        several = np.diff(np.append(heads, len(h))) > 1
+        lead = order[heads]  # one position of each distinct hash
+        slot = h[lead] & self.mask
+        before = np.where((self.hash[slot, 0] == h[lead]) & (self.hash[slot, 1] == h2[lead]), self.seen[slot], 0)
+        self.hash[slot, 0], self.hash[slot, 1] = h[lead], h2[lead]
+        self.seen[slot] = np.where((before > 0) | several, 2, 1)
+        known = (~first).copy()
+        known[heads] = several | (before > 0)
+        goes = np.zeros(len(h), bool)
+        goes[heads] = before < 2
+        known_at, goes_at = np.empty(len(h), bool), np.empty(len(h), bool)
+        known_at[order], goes_at[order] = known, goes
+        h = np.where(goes_at, h, _spread(key, place))
+        columns = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64())] + ([pa.array(h2, pa.int32())] if h2s is not None else [])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(known_at)], ["key", "at", "h", *["h2"] * (h2s is not None), "known"])
 
 
 def _gather_runs(rows: DataFrame) -> DataFrame:
@@ -164,9 +193,10 @@ def _gather_runs(rows: DataFrame) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows of _rows() -> key, at of those that are known to be repeated or whose hash occurs more than once.
+    """Rows of Meetings.rows() -> key, at of those that are known to be repeated or whose hash occurs more than once.
 
-    Rows are sorted by hash and run through; a run needs the memory of a batch, however long it is.
+    Rows are sorted by hash and run through; a run needs the memory of a batch, however long it is. Copies of a text give
+    the same place under the same hash: of these one goes on from each batch.
     """
     exact = "h2" in rows.columns
     by = ["h", "h2"] if exact else ["h"]
@@ -192,6 +222,11 @@ def _repeated(rows: DataFrame) -> DataFrame:
                 if not last[3]:
                     extra = last[1], last[2]
             out_key, out_at = key[hit], at[hit]
+            if (hit[1:] & same).any():
+                order = np.lexsort((out_at, out_key))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(out_key[order]) != 0) | (np.diff(out_at[order]) != 0)
+                out_key, out_at = out_key[order][new], out_at[order][new]
             if extra:
                 out_key, out_at = np.append(out_key, extra[0]), np.append(out_at, extra[1])
             last = tuple(int(h[-1]) for h in hs), int(key[-1]), int(at[-1]), bool(hit[-1])
@@ -219,7 +254,7 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
     """key, text -> key, first, length: for each distinct text with any, the starts of its repeated windows as runs."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, twice = Hasher(window, period), Twice()
+        hasher, twice, meetings = Hasher(window, period), Twice(), Meetings()
         for batch in small_batches(batches, 256):
             keys, at, hs = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
@@ -230,10 +265,10 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
                     at.append(starts)
                     hs.append(hasher.hashes(hasher.prefix(words, 0), starts, hasher.anchor, 0).view(np.int64))
             if keys:
-                yield _rows(keys, at, hs)
+                yield meetings.rows(keys, at, hs)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, twice = Hasher(window, period), Twice()
+        hasher, twice, meetings = Hasher(window, period), Twice(), Meetings()
         for batch in small_batches(batches, 64):
             keys, at, hs, h2s = [], [], [], []
             for key, text, first, length in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -246,7 +281,7 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
                 hs.append(hasher.hashes(hasher.prefix(words, 0), starts, window, 0).view(np.int64))
                 h2s.append((hasher.hashes(hasher.prefix(words, 1), starts, window, 1) >> np.uint64(33)).astype(np.int32))
             if keys:
-                yield _rows(keys, at, hs, h2s)
+                yield meetings.rows(keys, at, hs, h2s)
 
     found = _repeated(texts.select("key", "text").mapInArrow(anchors, "key long, at int, h long, known boolean"))
     found = table(_gather_runs(found), "anchors")
@@ -255,16 +290,32 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
     return table(_gather_runs(exact), "repeated")
 
 
-def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_key(texts: DataFrame, bits: int = 64) -> DataFrame:
+    """texts plus key, a number for each distinct text: `bits` bits of its hash, and another hash for texts whose key is not theirs alone."""
+    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
+    keyed = texts.withColumn("key", F.shiftright(F.xxhash64("text"), 64 - bits)).withColumn("__alt", F.xxhash64(F.lit(1), "text"))
+    shared = keyed.select("key", "__alt").groupBy("key").agg(F.min("__alt").alias("low"), F.max("__alt").alias("high")).where("low <> high").select("key", F.lit(True).alias("__shared"))
+    shared = table(shared, "shared-keys")
+    n = shared.count()  # none, or as many as 64 bits collide: 70 or so among 5e10 texts
+    if not n:
+        drop(shared)
+        return keyed.drop("__alt")
+    if n <= MOST_SHARED:
+        shared = F.broadcast(shared)
+    return keyed.join(shared, "key", "left").withColumn("key", F.when(F.col("__shared"), F.col("__alt")).otherwise(F.col("key"))).drop("__alt", "__shared")
+
+
+def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
 
     Words are cut at ASCII white space. A word goes if a window of `window` words that covers it also starts somewhere
     else, in the same text, another or a copy. Null or empty text, and texts shorter than a window: nothing goes. Null
     doc_id stays null; repeated rows are copies of each other. Empty table: no rows. Other columns are not read.
-    Texts are told apart by 64 bits and windows by 95, so wrong joins are as unlikely as their collisions.
+    Texts are told apart by 128 bits (those that share 64 get others) and windows by 95, so wrong joins are as unlikely
+    as their collisions. key_bits: fewer bits in the first place, for tests.
     """
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    texts = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = with_key(texts, key_bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -284,3 +335,18 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, period: int =
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_passages(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Words and windows one by one; a window's words are joined by a space, which no word holds.
+OP10_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM texts)),
+again AS (SELECT doc_id, p FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+marked AS (
+  SELECT words.*, max(again.p) OVER (PARTITION BY words.doc_id ORDER BY words.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN again USING (doc_id, p)),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept USING (doc_id)
+"""
