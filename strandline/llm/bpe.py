@@ -14,6 +14,7 @@ reads it; executors get its tables in a broadcast (a vocabulary's size, not the
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
@@ -35,6 +36,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0               
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Tokens that are decoded at once.
 DECODE_SLICE = 1 << 16
+#: Words, pieces and pairs of tokens that a worker remembers, in two generations of so many each: about 90 MB.
+REMEMBER = 120_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -46,8 +49,9 @@ def byte_symbols() -> dict[str, int]:
 
 def load(path: str) -> dict:
     """The tables of a tokenizer file. Raises ValueError for kinds of tokenizers that this encoder doesn't reproduce."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+    with open(path, "rb") as file:
+        data = file.read()
+    spec = json.loads(data)
     model, pre = spec["model"], spec["pre_tokenizer"] or {}
     odd = spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True)
     odd = odd or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
@@ -58,13 +62,13 @@ def load(path: str) -> dict:
     ids = {plain(t): i for t, i in model["vocab"].items()}
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-    return {"ids": ids, "merges": [(plain(a), plain(b)) for a, b in merges], "added": added}
+    return {"ids": ids, "merges": [(plain(a), plain(b)) for a, b in merges], "added": added, "digest": hashlib.sha256(data).hexdigest()}
 
 
 class Codec:
     """Encoder and decoder over load()'s tables."""
 
-    def __init__(self, tables: dict, remember: int = 250_000):
+    def __init__(self, tables: dict, remember: int = REMEMBER):
         ids: dict[bytes, int] = tables["ids"]
         # Ranks: single bytes, then what the merges make, in their order.
         rank: dict[bytes, int] = {bytes([b]): b for b in range(256)}
@@ -164,16 +168,16 @@ def _broadcast(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load(path))
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def _codec(shared) -> Codec:
-    """One codec for each worker process: its memory of frequent words outlives a task."""
+    """One codec for each worker process, known by the digest of its tables: its memory of frequent words outlives a task."""
     tables = shared.value
-    if id(tables) not in _codecs:
+    if tables["digest"] not in _codecs:
         _codecs.clear()
-        _codecs[id(tables)] = Codec(tables)
-    return _codecs[id(tables)]
+        _codecs[tables["digest"]] = Codec(tables)
+    return _codecs[tables["digest"]]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:

@@ -1,9 +1,7 @@
-"""What the operators of this folder share: scratch tables, Arrow batches, bounded caches."""
+"""What the operators of this folder share: Arrow batches, bounded caches, hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,35 +11,6 @@ from pyspark.sql import functions as F
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: a lost executor costs no recomputation.
-
-    The job's shuffle files are not needed once the table is there, so Spark may drop them.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/strandline/{uuid.uuid4().hex}-{name}"
-    before = spark.conf.get(CLEANUP, None)
-    try:
-        spark.conf.set(CLEANUP, "true")
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix64, read, table
+from strandline.llm.common import mix64, read
+from strandline.scratch import drop, table
 
 #: Digests in one shard and rows that one lookup task takes of it, about.
 SHARD_KEYS = 50_000
@@ -171,8 +172,10 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, id_col: str
     if not given:
         history = table(winners(rows).where("size > 1"), "history")
     shards = max(1, -(-history.count() // SHARD_KEYS))
-    found = look_up(rows, build_index(history, shards), shards)
-    found = table(found, "found")
+    found = table(look_up(rows, build_index(history, shards), shards), "found")
+    drop(rows)
+    if not given:
+        drop(history)
     members = found.where("member")
     alone = found.where("not member").drop("winner", "winner_id", "size")
     own = winners(alone.select("doc_id", "locator", "digest")).withColumnRenamed("doc_id", "winner_id")
@@ -185,21 +188,20 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, id_col: str
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups() keeps, with all columns as they are."""
-    mark, digest, rank = "__strandline_id", "__strandline_digest", "__strandline_n"
-    groups = exact_groups(docs, None, id_col, text_col).where("kept").select(F.col("doc_id").alias(mark), F.hex("digest").alias(digest))
+    mark, digest = "__strandline_id", "__strandline_digest"
+    groups = table(exact_groups(docs, None, id_col, text_col).select(F.col("doc_id").alias(mark), F.hex("digest").alias(digest), "kept"), "groups")
     text = F.upper(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
-    same = (groups[digest] == text) & groups[mark].eqNullSafe(docs[id_col].cast("long"))
-    rows = docs.join(groups, same, "left_semi")
-    # Rows that repeat both doc_id and text pass all at once; one stays. The count is by partial aggregates.
-    columns = rows.columns
-    key = [rows[id_col].cast("long").alias(mark), F.sha2(F.coalesce(rows[text_col].cast("string"), F.lit("")), 256).alias(digest)]
-    again = rows.groupBy(*key).agg(F.count(F.lit(1)).alias(rank)).where(F.col(rank) > 1)
+    same = lambda rows: (rows[digest] == text) & rows[mark].eqNullSafe(docs[id_col].cast("long"))
+    kept = groups.where("kept").select(mark, digest)
+    # Rows that repeat both doc_id and text can't be told apart by them: of these one stays. Mostly there are none.
+    again = groups.groupBy(mark, digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(mark, digest)
     if again.limit(1).count() == 0:
-        return rows
-    keyed = rows.select(F.struct(*[rows[c] for c in columns]).alias("row"), *key)
-    one = keyed.join(again, (keyed[mark].eqNullSafe(again[mark])) & (keyed[digest] == again[digest]), "left_semi").groupBy(mark, digest).agg(F.first("row").alias("row"))
-    rest = keyed.join(again, (keyed[mark].eqNullSafe(again[mark])) & (keyed[digest] == again[digest]), "left_anti")
-    return rest.select("row").unionByName(one.select("row")).select("row.*")
+        return docs.join(kept, same(kept), "left_semi")
+    once = kept.join(again, kept[mark].eqNullSafe(again[mark]) & (kept[digest] == again[digest]), "left_anti")
+    several = docs.join(again, same(again), "left_semi").withColumn(mark, docs[id_col].cast("long")).withColumn(digest, text)
+    several = several.join(kept, several[mark].eqNullSafe(kept[mark]) & (several[digest] == kept[digest]), "left_semi")
+    one = several.groupBy(mark, digest).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return docs.join(once, same(once), "left_semi").unionByName(one)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import LOWER, raw, read, small_batches, table
+from strandline.llm.common import LOWER, raw, read, small_batches
+from strandline.scratch import drop, table
 
 SEED = 42
 BITS, SEGMENT, RADIUS = 64, 32, 3
@@ -112,11 +113,12 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """a, b: links between distinct fingerprints that join exactly those within RADIUS, directly or over others."""
-    # One key has a fingerprint at most once, so it holds 1 of 66 index rows at most: one window over the index is even.
-    key = Window.partitionBy("key")
-    rows = _variants(fps).withColumn("n", F.count(F.lit(1)).over(key)).withColumn("ones", F.count_if(F.col("side")).over(key))
-    pairs = F.when(F.col("side").isNull(), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("ones") * (F.col("n") - F.col("ones")))
-    met = table(rows.where("n > 1").select("fp", "key", "side", pairs.alias("pairs")).where("pairs > 0"), "simhash-met")
+    rows = _variants(fps)
+    # Sizes by partial aggregates; a key that very many fingerprints share is split in the join, not gathered in a window.
+    size, ones = F.count(F.lit(1)), F.count_if("side")
+    pairs = F.when(F.bool_and(F.col("side").isNull()), size * (size - 1) / 2).otherwise(ones * (size - ones))
+    sizes = rows.groupBy("key").agg(size.alias("n"), pairs.cast("long").alias("pairs")).where("n > 1 and pairs > 0").select("key", "pairs")
+    met = table(rows.join(sizes, "key").select("fp", "key", "side", "pairs"), "simhash-met")
     cold = met.where(F.col("pairs") <= hot_pairs).drop("pairs")
     left, right = cold.alias("l"), cold.alias("r")
     sides = F.coalesce(F.col("l.side") < F.col("r.side"), F.col("l.fp") < F.col("r.fp"))
@@ -140,7 +142,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = table(small, "links")
+        used, e = e, table(small, "links")
+        drop(used)
         after = mark(e)
         if after == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
