@@ -2,13 +2,15 @@
 
 Every shard owns `vnodes` points of a 64-bit ring; a row's point is the hash of its doc_id, and it belongs to
 the next virtual node clockwise. A shard holds at most its share of the rows (N // shards, the first N % shards
-shards one more). Rows are taken in ring order; a row whose shard is full continues clockwise to the next virtual
-node of a shard that has room. So row counts differ by one at most, and a row leaves its own shard only where that
-shard is full.
+shards one more). A shard's own rows come first: in ring order, as many as it has room for stay. The others continue
+clockwise to the next virtual node of a shard that still has room when all own rows are placed. So row counts differ by
+one at most, no row leaves its shard for the sake of a stranger, and no more rows move than any placement with these
+counts must move.
 
 What is decided one after another is only how many rows of each arc (the stretch of one virtual node) go to which
 shard: shards x vnodes counts, whatever the input's size. A row's place in its arc comes from counts of fine ring
-cells plus a row_number inside a cell, so no task sees more than about N / 65536 rows of one group.
+cells plus a row_number inside a cell. A cell with very many rows (one doc_id, or no doc_id and one text, may hold a
+third of them) is cut into parts by the rows' own numbers, so no task ranks many more than PART_ROWS rows of one group.
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The ring is cut into so many cells; a cell is the unit that one window task ranks.
+from strandline.scratch import table
+
+#: The ring is cut into so many cells; a part of a cell is the unit that one window ranks.
 CELL_BITS = 16
-ALLOT = "arc int, parts array<struct<lo:long,hi:long,shard:int,base:long>>"
+PART_ROWS = 200_000
+VNODES = 256
+ALLOT = "arc int, own int, parts array<struct<lo:long,hi:long,shard:int,base:long>>"
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -28,29 +34,30 @@ def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]
     return sorted((r.point, r.shard) for r in rows)
 
 
-def allot(nodes: list[tuple[int, int]], counts: dict[int, int], shards: int) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
-    """For each arc: which ranks go to which shard, and the slot of the first of them."""
+def allot(nodes: list[tuple[int, int]], counts: dict[int, int], shards: int) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """For each arc: its own shard, and which ranks go to which shard with the slot of the first of them."""
     total = sum(counts.values())
     room = [total // shards + (s < total % shards) for s in range(shards)]
     used = [0] * shards
-    out = []
-    for arc in range(len(nodes)):
-        left, rank, parts, at = counts.get(arc, 0), 0, [], arc
-        while left:
-            shard = nodes[at % len(nodes)][1]
-            take = min(left, room[shard] - used[shard])
-            if take:
-                parts.append((rank, rank + take, shard, used[shard]))
-                used[shard] += take
-                rank += take
-                left -= take
+    parts: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def place(arc: int, rank: int, n: int, shard: int) -> int:
+        take = min(n, room[shard] - used[shard])
+        if take:
+            parts.setdefault(arc, []).append((rank, rank + take, shard, used[shard]))
+            used[shard] += take
+        return take
+
+    stay = {arc: place(arc, 0, n, nodes[arc][1]) for arc, n in sorted(counts.items())}
+    for arc, n in sorted(counts.items()):
+        rank, at = stay[arc], arc + 1
+        while rank < n:
+            rank += place(arc, rank, n - rank, nodes[at % len(nodes)][1])
             at += 1
-        if parts:
-            out.append((arc, parts))
-    return out
+    return [(arc, nodes[arc][1], found) for arc, found in sorted(parts.items())]
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, vnodes: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (from 0 without gaps in each shard), own_shard (the ring's first choice).
 
     Null text: size 1 and the checksum of nothing. Null doc_id: the text's hash places the row. Repeated rows are rows
@@ -76,18 +83,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, vnodes: int = 64, id_col:
 
     # The last arc wraps around: its rows beyond the last node come before those below the first, in ring order from the top.
     order = F.when((F.col("arc") == 0) & (F.col("point") > F.lit(nodes[-1][0])), F.col("cell") - (1 << CELL_BITS)).otherwise(F.col("cell"))
-    rows = rows.withColumn("cell", order)
-    counts = rows.groupBy("arc", "cell").agg(F.count(F.lit(1)).alias("n"))
-    per_arc = {r.arc: r.n for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
-    parts = spark.createDataFrame(allot(nodes, per_arc, shards), ALLOT)
-
-    before = counts.select("arc", "cell", (F.sum("n").over(Window.partitionBy("arc").orderBy("cell")) - F.col("n")).alias("before"))
-    place = Window.partitionBy("arc", "cell").orderBy("point", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("place", F.row_number().over(place) - 1).join(before, ["arc", "cell"])
-    ranked = ranked.withColumn("rank", F.col("place") + F.col("before")).join(F.broadcast(parts), "arc")
-    ranked = ranked.withColumn("part", F.filter("parts", lambda p: (p.lo <= F.col("rank")) & (F.col("rank") < p.hi))[0])
-    owners = F.array(*[F.lit(s) for _, s in nodes])
-    return ranked.select("doc_id", "size", "text_crc32", F.col("part.shard").alias("shard"), (F.col("part.base") + F.col("rank") - F.col("part.lo")).alias("slot"), F.get(owners, F.col("arc")).alias("own_shard"))
+    # Written once: a row's own number, and so its part, is the same for the counts and for the ranks.
+    rows = table(rows.withColumn("cell", order).withColumn("number", F.monotonically_increasing_id()), "ring")
+    cells = rows.groupBy("arc", "cell").agg(F.count(F.lit(1)).alias("n"))
+    large = cells.where(F.col("n") > PART_ROWS).select("arc", "cell", F.ceil(F.col("n") / PART_ROWS).alias("n_parts"))  # 65 536 and an arc's ends at most
+    rows = rows.join(F.broadcast(large), ["arc", "cell"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("number"), F.col("n_parts")), F.lit(0).cast("long"))).drop("n_parts")
+    counts = rows.groupBy("arc", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
+    per_arc = {r.arc: r.n for r in cells.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards x vnodes at most
+    goes = spark.createDataFrame(allot(nodes, per_arc, shards), ALLOT)
+
+    before = counts.select("arc", "cell", "part", (F.sum("n").over(Window.partitionBy("arc").orderBy("cell", "part")) - F.col("n")).alias("before"))
+    place = Window.partitionBy("arc", "cell", "part").orderBy("point", "doc_id", "text_crc32", "size")
+    ranked = rows.withColumn("place", F.row_number().over(place) - 1).join(before, ["arc", "cell", "part"])
+    ranked = ranked.withColumn("rank", F.col("place") + F.col("before")).join(F.broadcast(goes), "arc")
+    ranked = ranked.withColumn("to", F.filter("parts", lambda p: (p.lo <= F.col("rank")) & (F.col("rank") < p.hi))[0])
+    return ranked.select("doc_id", "size", "text_crc32", F.col("to.shard").alias("shard"), (F.col("to.base") + F.col("rank") - F.col("to.lo")).alias("slot"), F.col("own").alias("own_shard"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
