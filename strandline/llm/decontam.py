@@ -4,12 +4,14 @@ The CGK embedding copies a sequence along a random walk: at each of 3n steps it
 random bit that depends on the step and the word, stays or moves on. Two sequences at a small edit distance meet in most
 steps, so edit distance becomes Hamming distance. A signature samples a few steps of one walk; many walks are repeated
 until an item at the allowed edit distance is found with the wanted probability (target_recall). How many, is estimated
-on the benchmark itself, by editing its items at random as far as allowed. Windows whose signature equals an item's are
-verified by the exact edit distance of words.
+on the benchmark itself, for each class of lengths, by editing its items at random as far as allowed. Windows whose
+signature equals an item's are verified by the exact edit distance of words. A class that would need more than MOST_WALKS
+is not left to chance: its windows are all verified.
 
 Windows are of an item's length, at every place of a text that can hold a match: with at most k edits among n words, some
 ceil((n - k) / (k + 1)) consecutive words stay as they are, so places without such a run of any item need no window.
-This rules out nothing that could match. Only then random walks are run, on windows around the runs.
+This rules out nothing that could match. Only then random walks are run, on windows around the runs: they thin out the
+verification, which for a text with many common runs is the dear part.
 
 The benchmark goes to executors in a broadcast, in blocks of at most BLOCK_BYTES of text, whatever its size; documents are
 read once for each block and never shuffled.
@@ -33,6 +35,8 @@ from strandline.llm.common import mix64, raw, read, small_batches
 
 SIMILARITY, TARGET_RECALL = 0.8, 0.98
 SAMPLED, LEAST_WALKS, MOST_WALKS = 5, 24, 400
+#: Words of an item beyond which its windows are verified without walks, whose cost grows with the square of its length.
+LONGEST_WALK = 256
 BLOCK_BYTES = 8 << 20
 SEED = 97
 ODD = 0x9E3779B97F4A7C15
@@ -82,6 +86,20 @@ def edit_places(item: list[int], words: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(start[end]), end
 
 
+def stretches(item: list[int], words: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of separate stretches of words within `most` edits of the item: the best one, then those beside it."""
+    out, parts = [], [(0, len(words))]
+    while parts:
+        a, b = parts.pop()
+        if b - a < max(1, len(item) - most):
+            continue
+        edits, start, end = edit_places(item, words[a:b])
+        if edits <= most and end > start:
+            out.append((edits, a + start, a + end))
+            parts += [(a, a + start), (a + end, b)]
+    return sorted(out, key=lambda x: x[1])
+
+
 @dataclass
 class Items:
     """A block of the benchmark, as executors need it."""
@@ -89,14 +107,14 @@ class Items:
     ids: list[int]
     words: list[list[int]]
     vocabulary: dict[bytes, int]
-    walks: int
+    walks: dict[int, int]  # by item length; 0: windows are verified without walks
     similarity: float
 
     def __post_init__(self):
         rng = np.random.default_rng(SEED)
-        longest = max(map(len, self.words))
         self.k = [allowed(len(w), self.similarity) for w in self.words]
-        self.seeds = rng.integers(1, 1 << 63, (self.walks, 3 * longest), np.uint64) * np.uint64(2) + np.uint64(1)  # multipliers of the random bits, by walk and step
+        longest = max((n for n, walks in self.walks.items() if walks), default=0)
+        self.seeds = rng.integers(1, 1 << 63, (max(self.walks.values()), 3 * longest), np.uint64) * np.uint64(2) + np.uint64(1)  # multipliers of the random bits, by walk and step
         self.by_run: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         runs = defaultdict(list)
         for i, (w, k) in enumerate(zip(self.words, self.k, strict=True)):
@@ -112,7 +130,9 @@ class Items:
         for i, w in enumerate(self.words):
             lengths[len(w)].append(i)
         for n, members in lengths.items():
-            self.steps[n] = np.sort(rng.integers(0, 3 * n, (self.walks, SAMPLED)), axis=1)
+            if not self.walks[n]:
+                continue
+            self.steps[n] = np.sort(rng.integers(0, 3 * n, (self.walks[n], SAMPLED)), axis=1)
             codes = self.signature(np.array([self.words[i] for i in members]), n)  # items, walks
             order = np.argsort(codes, axis=0, kind="stable")
             self.signatures[n] = np.array(members)[order].T, np.take_along_axis(codes, order, 0).T
@@ -127,30 +147,31 @@ class Items:
 
     def signature(self, windows: np.ndarray, n: int) -> np.ndarray:
         """A number for each window and walk, made of the words at the walk's sampled steps. windows: rows of n word numbers."""
-        steps = self.steps[n]
-        at = np.zeros((len(windows), self.walks), np.int64)
-        out = np.zeros((len(windows), self.walks), np.uint64)
+        steps, walks = self.steps[n], self.walks[n]
+        at = np.zeros((len(windows), walks), np.int64)
+        out = np.zeros((len(windows), walks), np.uint64)
         rows = np.arange(len(windows))[:, None]
         wide = symbols(np.concatenate([windows, np.full((len(windows), 1), -2)], axis=1))  # -2: beyond the end
-        taken = np.zeros(self.walks, np.int64)
+        taken = np.zeros(walks, np.int64)
         for step in range(int(steps.max()) + 1):
             symbol = wide[rows, np.minimum(at, n)]
             while True:
-                now = (taken < SAMPLED) & (steps[np.arange(self.walks), np.minimum(taken, SAMPLED - 1)] == step)
+                now = (taken < SAMPLED) & (steps[np.arange(walks), np.minimum(taken, SAMPLED - 1)] == step)
                 if not now.any():
                     break
                 out[:, now] = mix64(out[:, now] + symbol[:, now] + np.uint64(1))
                 taken[now] += 1
-            at += (symbol * self.seeds[:, step] >> np.uint64(63)).astype(np.int64)  # the word's bit in this walk and step
+            at += (symbol * self.seeds[:walks, step] >> np.uint64(63)).astype(np.int64)  # the word's bit in this walk and step
         return out
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The words' numbers in the benchmark; -1 for words that it doesn't have."""
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
-    def places(self, numbers: np.ndarray) -> set[tuple[int, int]]:
-        """(length, start) of the windows that hold a run of an item, at each start where that item could begin."""
-        out: set[tuple[int, int]] = set()
+    def places(self, numbers: np.ndarray) -> tuple[dict[int, set[int]], dict[int, set[int]]]:
+        """The starts of windows that hold a run of an item, at each start where that item could begin: by length, and by
+        item for lengths without walks."""
+        out: tuple[dict[int, set[int]], dict[int, set[int]]] = defaultdict(set), defaultdict(set)
         known = numbers >= 0
         for q, (codes, item, offset) in self.by_run.items():
             if len(numbers) < q:
@@ -169,61 +190,68 @@ class Items:
                 for i, o in zip(item[a:b].tolist(), offset[a:b].tolist(), strict=True):
                     n, k = len(self.words[i]), self.k[i]
                     # A window may reach beyond the text by as many words as the item may lack.
-                    out.update((n, s) for s in range(max(p - o - k, -k), min(p - o + k, len(numbers) - n + k) + 1))
+                    starts = range(max(p - o - k, -k), min(p - o + k, len(numbers) - n + k) + 1)
+                    (out[0][n] if self.walks[n] else out[1][i]).update(starts)
         return out
 
     def find(self, numbers: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of the items that the text holds within their edits, each at its best place."""
-        windows = defaultdict(list)
-        for n, s in self.places(numbers):
-            windows[n].append(s)
-        hits: dict[int, tuple[int, int]] = {}  # item: first and last start of its windows
-        for n, starts in windows.items():
-            starts.sort()
+        """(item, edits, start, end) of the items that the text holds within their edits, one for each separate stretch."""
+        windows, hits = self.places(numbers)  # hits: the starts of an item's windows that are to be verified
+        for n, found in windows.items():
+            starts = sorted(found)
+            members, own = self.signatures[n]
             for k in range(0, len(starts), 256):
                 part = np.array(starts[k : k + 256])
                 cells = part[:, None] + np.arange(n)
                 w = np.where((cells >= 0) & (cells < len(numbers)), numbers[np.clip(cells, 0, len(numbers) - 1)], -3)
                 codes = self.signature(w, n)
-                members, own = self.signatures[n]
-                for walk in range(self.walks):
+                for walk in range(self.walks[n]):
                     lo = np.searchsorted(own[walk], codes[:, walk], "left")
                     hi = np.searchsorted(own[walk], codes[:, walk], "right")
                     for x in np.nonzero(hi > lo)[0]:
                         for i in members[walk][lo[x] : hi[x]].tolist():
-                            a, b = hits.get(i, (int(part[x]), int(part[x])))
-                            hits[i] = min(a, int(part[x])), max(b, int(part[x]))
+                            hits[i].add(int(part[x]))
         out = []
-        for i, (a, b) in sorted(hits.items()):
+        for i, found in sorted(hits.items()):
             n, k = len(self.words[i]), self.k[i]
-            first = max(0, a - k)
-            edits, start, end = edit_places(self.words[i], numbers[first : b + n + k])
-            if edits <= k:
-                out.append((i, edits, first + start, first + end))
+            starts = np.array(sorted(found))
+            for near in np.split(starts, np.nonzero(np.diff(starts) > n + 2 * k)[0] + 1):
+                first = max(0, int(near[0]) - k)
+                out += [(i, edits, first + a, first + b) for edits, a, b in stretches(self.words[i], numbers[first : int(near[-1]) + n + k], k)]
         return out
 
 
-def walks_needed(words: list[list[int]], similarity: float, target_recall: float, trials: int = 60) -> int:
-    """Walks after which an item with as many random edits as allowed shares a signature with the wanted probability.
+def walks_needed(words: list[list[int]], similarity: float, target_recall: float, trials: int = 40) -> dict[int, int]:
+    """By item length: walks after which an item with as many random edits as allowed shares a signature with the wanted probability.
 
-    The share of walks that meet, in the worst tenth of the trials, stands for all.
+    Lengths of one power of two are a class. In each the share of walks that meet, in the worst tenth of the trials,
+    stands for all. 0 where more than MOST_WALKS would be needed.
     """
-    if target_recall <= 0:
-        return LEAST_WALKS
-    rng = np.random.default_rng(SEED + 1)
-    met = []
-    for i in rng.integers(0, len(words), trials):
-        item = list(words[i])
-        n, k = len(item), allowed(len(item), similarity)
-        edited = list(item)
-        for _ in range(k):
-            at, kind = int(rng.integers(0, len(edited))), int(rng.integers(0, 3))
-            edited[at : at + (kind != 1)] = [] if kind == 0 and len(edited) > 1 else [-1]
-        probe = Items([0], [item], {}, 200, similarity)
-        whole = np.array([(edited + [-3] * n)[:n]])
-        met.append(float((probe.signature(whole, n) == probe.signature(np.array([item]), n)).mean()))
-    p = max(float(np.quantile(met, 0.1)), 0.01)
-    return int(np.clip(np.ceil(np.log(1 - min(target_recall, 0.9999)) / np.log(1 - min(p, 0.999))), LEAST_WALKS, MOST_WALKS))
+    classes = defaultdict(list)
+    for w in words:
+        classes[len(w).bit_length()].append(w)
+    out: dict[int, int] = {}
+    for size, members in classes.items():
+        rng = np.random.default_rng(SEED + size)
+        met = []
+        for i in rng.integers(0, len(members), trials):
+            item = list(members[i])
+            n, k = len(item), allowed(len(item), similarity)
+            if n > LONGEST_WALK:
+                met.append(0.0)
+                continue
+            edited = list(item)
+            for _ in range(k):
+                at, kind = int(rng.integers(0, len(edited))), int(rng.integers(0, 3))
+                edited[at : at + (kind != 1)] = [] if kind == 0 and len(edited) > 1 else [-1]
+            probe = Items([0], [item], {}, {n: 200}, similarity)
+            whole = np.array([(edited + [-3] * n)[:n]])
+            met.append(float((probe.signature(whole, n) == probe.signature(np.array([item]), n)).mean()))
+        p = float(np.quantile(met, 0.1))
+        need = np.ceil(np.log(1 - min(target_recall, 0.9999)) / np.log(1 - min(p, 0.999))) if p > 0 else np.inf
+        walks = 0 if need > MOST_WALKS else max(LEAST_WALKS, int(need))
+        out |= {len(w): 0 if len(w) > LONGEST_WALK else walks for w in members}
+    return out
 
 
 def blocks(benchmark: DataFrame, similarity: float, target_recall: float) -> Iterator[Items]:
@@ -252,9 +280,10 @@ SCHEMA = "doc_id long, item_id long, edits int, item_words int, similarity doubl
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document and each benchmark item it holds, with columns of SCHEMA; documents without any have no row.
+    """One row for each document, benchmark item it holds and separate stretch that holds it, with columns of SCHEMA; documents without any have no row.
 
-    A document holds an item if a stretch of its words is within (1 - similarity) x item words of it, in edits of words.
+    A document holds an item if a stretch of its words is within (1 - similarity) x item words of it, in edits of words:
+    of overlapping stretches the one with the fewest edits counts, of ties the one that ends first, then the longest.
     Case and ASCII punctuation don't count. Null or empty texts hold nothing and are held by nothing. Null ids stay null,
     repeated rows have rows of their own. Empty tables: no rows. Other columns are not read. No shuffle.
     """
