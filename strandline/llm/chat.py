@@ -3,10 +3,13 @@
 In a participant's perspective that participant's turns are the assistant's, all others' are a named user's. A
 rendered turn is header + text + end; concatenated by seq, the turns of one perspective are the rendered dialogue.
 The loss mask is a span: an assistant turn's text and end mark count, everything else doesn't. start and end place a
-turn in its rendered dialogue (in characters), mask_start and mask_end the part that counts.
+turn in its rendered dialogue (in characters), mask_start and mask_end the part that counts. What reads like a marker
+in a name or a text is broken up, so no turn can pass for another speaker's.
 
 One row is one turn of one perspective, so a dialogue of any length is never gathered in one place. Running positions
-are sums inside blocks of turns plus sums of blocks: a hot conversation is spread over tasks.
+are sums inside blocks of turns plus sums of blocks. Equal rows are one row with a count until the end. A block with
+very many rows (turns without a number, or one number for all) is cut further by turn, name and the text's beginning,
+so a hot conversation is spread over tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.scratch import table
+
 #: Roles that give context and are no party of the talk: named users in every perspective.
 CONTEXT_ROLES = ("system",)
 NO_NAME = "unnamed"
@@ -21,6 +26,8 @@ HEADER = "<|im_start|>{role}{name}\n"
 END = "<|im_end|>\n"
 #: Turn numbers of one block; a conversation's blocks are ranked and summed in parallel.
 BLOCK = 64
+#: Rows of a block beyond which it is cut by turn, name and this many characters of the text.
+LARGE_BLOCK, PREFIX = 100_000, 3
 
 
 def _header(is_own: Column, role: Column) -> Column:
@@ -28,40 +35,58 @@ def _header(is_own: Column, role: Column) -> Column:
     return F.when(is_own, F.lit(HEADER.format(role="assistant", name=""))).otherwise(user)
 
 
-def rotate_perspectives(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES, block: int = BLOCK) -> DataFrame:
+def plain(c: Column) -> Column:
+    """Text in which no marker can stand: a space parts the beginning of what could be one."""
+    return F.replace(c, F.lit("<|"), F.lit("< |"))
+
+
+def rotate_perspectives(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES, block: int = BLOCK, large: int = LARGE_BLOCK) -> DataFrame:
     """conv_id, perspective, seq, turn, chat_role, name, rendered, mask, start, end, mask_start, mask_end.
 
     Participants are the distinct roles of a conversation but the context roles; where only context roles speak, they
     are the participants, so no conversation is lost. Order: turn (null first), then role, then text; equal rows are
-    turns of their own. Null or empty role: "unnamed". Null text: an empty turn. Null conv_id: one conversation of its
-    own. Empty table: no rows. Other columns are not read.
+    turns of their own. Line ends in a role are spaces; "<|" in a role or text becomes "< |". Null or empty role:
+    "unnamed". Null text: an empty turn. Null conv_id: one conversation of its own. Empty table: no rows. Other columns
+    are not read.
     """
     c = conversations
+    name = F.trim(F.regexp_replace(plain(c["role"].cast("string")), "[\r\n]+", " "))
     turns = c.select(
         c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"),
-        F.coalesce(F.nullif(F.trim(c["role"].cast("string")), F.lit("")), F.lit(NO_NAME)).alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.nullif(name, F.lit("")), F.lit(NO_NAME)).alias("role"), plain(F.coalesce(c["text"].cast("string"), F.lit(""))).alias("text"),
     )
+    turns = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times"))
+    turns = turns.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block))
+    # Once written, the sums, the ranks and the result read the same rows.
+    turns = table(turns, "turns")
+    crowded = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select(F.col("conv_id").alias("h_conv_id"), F.col("block").alias("h_block"))
+    if crowded.limit(1).count():
+        turns = turns.join(crowded, turns["conv_id"].eqNullSafe(F.col("h_conv_id")) & (F.col("block") == F.col("h_block")), "left")
+        cut = lambda c, kind: F.when(F.col("h_block").isNotNull(), c).otherwise(F.lit(None).cast(kind))
+        parts = [cut(F.col("turn"), "long"), cut(F.col("role"), "string"), cut(F.substring("text", 1, PREFIX), "string")]
+        turns = turns.withColumn("block", F.struct(F.col("block").alias("a"), *[p.alias(x) for p, x in zip(parts, "bcd", strict=True)])).drop("h_conv_id", "h_block")
+
     speakers = turns.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n")).withColumn("context", F.col("role").isin(*context_roles) if context_roles else F.lit(False))
     talk = speakers.groupBy("conv_id").agg(F.min("context").alias("only_context"), F.collect_set(F.when(~F.col("context"), F.col("role"))).alias("parties"), F.collect_set("role").alias("all"))
     talk = talk.select("conv_id", F.explode(F.when(F.col("only_context"), F.col("all")).otherwise(F.col("parties"))).alias("perspective"))
     # A perspective needs the name alone, so what is joined is small; a hot conversation's turns are split by the skew join.
     rows = turns.join(talk, turns["conv_id"].eqNullSafe(talk["conv_id"])).drop(talk["conv_id"])
     own = F.col("role") == F.col("perspective")
-    header = _header(own, F.col("role"))
-    rows = rows.withColumn("own", own).withColumn("header", header).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block))
+    rows = rows.withColumn("own", own).withColumn("header", _header(own, F.col("role")))
     rows = rows.withColumn("size", (F.length("header") + F.length("text") + len(END)).cast("long"))
 
     place = ["conv_id", "perspective"]
-    sums = rows.groupBy(*place, "block").agg(F.sum("size").alias("chars"), F.count(F.lit(1)).alias("n"))
+    sums = rows.groupBy(*place, "block").agg(F.sum(F.col("size") * F.col("times")).alias("chars"), F.sum("times").alias("n"))
     before = Window.partitionBy(*place).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(k).alias(f"b_{k}") for k in (*place, "block")], F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
-    order = Window.partitionBy(*place, "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy(*place, "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("nth", F.coalesce(F.sum("times").over(order), F.lit(0))).withColumn("upto", F.coalesce(F.sum(F.col("size") * F.col("times")).over(order), F.lit(0)))
     rows = rows.join(sums, rows["conv_id"].eqNullSafe(sums["b_conv_id"]) & (rows["perspective"] == sums["b_perspective"]) & (rows["block"] == sums["b_block"]))
-    end = F.col("chars_before") + F.col("upto")
-    start = end - F.col("size")
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    start = F.col("chars_before") + F.col("upto") + F.col("time") * F.col("size")
+    end = start + F.col("size")
     return rows.select(
-        "conv_id", "perspective", (F.col("n_before") + F.col("nth") - 1).alias("seq"), "turn", F.when(F.col("own"), F.lit("assistant")).otherwise(F.lit("user")).alias("chat_role"), F.col("role").alias("name"),
+        "conv_id", "perspective", (F.col("n_before") + F.col("nth") + F.col("time")).alias("seq"), "turn", F.when(F.col("own"), F.lit("assistant")).otherwise(F.lit("user")).alias("chat_role"), F.col("role").alias("name"),
         F.concat("header", "text", F.lit(END)).alias("rendered"), F.col("own").cast("int").alias("mask"), start.alias("start"), end.alias("end"),
         F.when(F.col("own"), start + F.length("header")).alias("mask_start"), F.when(F.col("own"), end).alias("mask_end"),
     )
@@ -71,9 +96,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unnamed') AS role, coalesce(text, '') AS text FROM conversations),
+  SELECT conv_id, turn, coalesce(nullif(trim(regexp_replace(replace(role, '<|', '< |'), '[\r\n]+', ' ', 'g')), ''), 'unnamed') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role FROM turns),
 only_context AS (SELECT conv_id, bool_and(role = 'system') AS only_context FROM speakers GROUP BY conv_id),
 parties AS (
