@@ -15,15 +15,18 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int, more: tuple[str, ...] = ()) -> DataFrame:
     """text, label (0 or 1) and further columns of docs for at most max_rows labelled documents that aren't held out.
 
-    Which ones, the hash of doc_id decides. Null labels and doc_ids don't count; of differing labels of a document the
+    Which ones, the hash of doc_id decides. One row for each labelled doc_id. Null labels and doc_ids don't count; of differing labels of a document the
     majority counts, 1 on a tie.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels[label].cast("double").alias("value")).where("label_id is not null and value is not null")
     known = known.where(remainder(F.col("label_id"), modulus) != held_out).groupBy("label_id").agg((F.avg("value") >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
-    # At most max_rows rows of two numbers: safe to broadcast.
+    # At most max_rows rows of two numbers: safe to broadcast. Of a doc_id that occurs more than once the smallest text
+    # counts, so the join can't multiply what goes to the driver.
     rows = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == known["label_id"])
-    return rows.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), "label", *[docs[c].cast("string").alias(c) for c in more])
+    taken = F.struct(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *[docs[c].cast("string").alias(c) for c in more])
+    one = rows.groupBy("label_id").agg(F.min(taken).alias("row"), F.first("label").alias("label"))
+    return one.select("row.text", "label", *[f"row.{c}" for c in more])
 
 
 def folds(n: int, share: int = 5) -> np.ndarray:

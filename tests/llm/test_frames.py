@@ -41,10 +41,22 @@ def test_sharding(docs, none):
 
 
 def test_sharding_moves_little(spark):
-    rows = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
-    a = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 8).collect()}
+    rows = spark.range(20_000).selectExpr("id as doc_id", "cast(id as string) as text")
+    a = {r.doc_id: r for r in sharding.shard_documents(rows, 8).collect()}
     b = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 9).collect()}
-    assert sum(a[k] != b[k] for k in a) < 0.4 * len(a)
+    # No more rows leave their own shard than the shards have too many; a ninth shard takes a ninth, little else moves.
+    own = collections.Counter(r.own_shard for r in a.values())
+    assert sum(r.own_shard != r.shard for r in a.values()) == sum(max(0, n - 2500) for n in own.values()) < 0.08 * len(a)
+    assert sum(a[k].shard != b[k] for k in a) < 0.2 * len(a)
+
+
+def test_sharding_of_one_hot_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then null else id end as doc_id", "cast(id % 5 as string) as text")
+    slots = collections.defaultdict(list)
+    for r in sharding.shard_documents(rows, 4).collect():
+        slots[r.shard].append(r.slot)
+    assert {s: sorted(v) for s, v in slots.items()} == {s: list(range(750)) for s in range(4)}
 
 
 def test_exact_dedup(spark, docs, none):
@@ -159,6 +171,31 @@ def test_substring_dedup(docs, none):
     assert substring.drop_repeated_passages(none).collect() == []
 
 
+@pytest.mark.parametrize("key_bits", [64, 1])
+def test_substring_dedup_over_many_batches(spark, key_bits):
+    import random
+
+    r = random.Random(11)
+    passages = [[f"p{r.randrange(30)}" for _ in range(r.randint(4, 12))] for _ in range(6)]
+    rows = []
+    for d in range(900):
+        w = [f"w{r.randrange(6 if d % 5 else 4000)}" for _ in range(r.randint(0, 14))]
+        rows.append((d % 700, " ".join(w + (r.choice(passages) if d % 3 else passages[0]) + w[:4])))
+    rows += [(1000 + d, " ".join(passages[0] * 3)) for d in range(300)]  # a third of the rows are one text
+    words = [t.split() for _, t in rows]
+    count = collections.Counter(tuple(w[k : k + 5]) for w in words for k in range(len(w) - 4))
+    expected = []
+    for (d, _), w in zip(rows, words, strict=True):
+        gone = {j for k in range(len(w) - 4) if count[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        expected.append((d, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        out = substring.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5, 3, key_bits=key_bits).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == sorted(expected)
+
+
 def test_bpe(docs, none):
     out = bpe.encode_documents(docs, bpe.default_tokenizer(), with_decoded=True)
     assert sorted(r.decoded for r in out.collect()) == sorted(t or "" for _, t in ROWS)
@@ -176,6 +213,36 @@ def test_decontamination(spark, docs, none):
     assert decontam.find_benchmark(none, items).collect() == [] and decontam.find_benchmark(docs, items.limit(0)).collect() == []
 
 
+def test_decontamination_against_all_pairs(spark):
+    import random
+
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    items = [[r.choice(words) for _ in range(n)] for n in (10, 14, 20, 33, 40, 64, 90, 130, 300)]
+    texts = []
+    for k in range(120):
+        w, allowed = list(items[k % len(items)]), decontam.allowed(len(items[k % len(items)]), 0.8)
+        for _ in range(r.choice([0, allowed // 2, allowed, allowed, allowed + 3])):
+            at, kind = r.randrange(len(w)), r.randrange(3)
+            w[at : at + (kind != 1)] = [] if kind == 0 else [r.choice(words)]
+        around = [r.choice(words) for _ in range(r.randint(0, 80))]
+        texts.append(around + w + around[:10] + (w if k % 7 == 0 else []))
+    number = {w: k for k, w in enumerate(words)}
+    edits = {(d, i): decontam.edit_places([number[x] for x in item], np.array([number[x] for x in w]))[0] for d, w in enumerate(texts) for i, item in enumerate(items)}
+    expected = {k for k, e in edits.items() if e <= decontam.allowed(len(items[k[1]]), 0.8)}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    out = decontam.find_benchmark(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    found = {(x.doc_id, x.item_id) for x in out}
+    assert found <= expected and len(found) >= 0.95 * len(expected) > 60
+    best = collections.defaultdict(list)
+    for x in out:
+        best[x.doc_id, x.item_id].append(x)
+    for key, rows in best.items():
+        rows.sort(key=lambda x: x.start_word)
+        assert min(x.edits for x in rows) >= edits[key] and all(a.end_word <= b.start_word for a, b in zip(rows, rows[1:], strict=False))
+    assert sum(len(v) > 1 for v in best.values()) >= 5  # texts that hold an item twice
+
+
 def test_classifiers_take_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 1, 1), (7, 0, 1), (7, 1, 1)], "doc_id long, quality int, toxic int")
     model, net = quality.train(docs, labels), toxicity.train(docs, labels)
@@ -187,9 +254,10 @@ def test_classifiers_take_odd_rows(spark, docs, none):
     assert toxicity.score_documents(docs.drop("lang"), net).count() == len(ROWS)
 
 
-def test_chat_perspectives(spark):
+@pytest.mark.parametrize("large", [100_000, 1])
+def test_chat_perspectives(spark, large):
     rows = [(1, 0, "system", "be kind", 1), (1, 1, "ann", "hi", 1), (1, 2, "bob", None, 1), (1, 2, "bob", None, 1), (1, 70, "ann", "bye", 1), (2, 0, "system", "alone", 1), (None, None, None, "lost", 1)]
-    out = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int")).collect()
+    out = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int"), large=large).collect()
     whole = collections.defaultdict(str)
     for r in sorted(out, key=lambda r: r.seq):
         whole[r.conv_id, r.perspective] += r.rendered
@@ -202,6 +270,79 @@ def test_chat_perspectives(spark):
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_training_rows_are_bounded(spark):
+    from strandline.llm import labelled
+
+    docs = spark.createDataFrame([(k % 20, f"text {k}", "en") for k in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", 4, 2, 5, ("lang",)).collect()
+    assert len(rows) == 5 and all(r.lang == "en" for r in rows)
+    held = {d for d in range(20) if zlib.crc32(str(d).encode()) % 4 == 2}
+    every = labelled.sample(docs, labels, "toxic", 4, 2, 100, ("lang",)).collect()
+    assert {int(r.text.split()[1]) % 20 for r in every} == set(range(20)) - held and len(every) == 20 - len(held)
+
+
+def test_scores_against_plain_recomputation(spark, docs):
+    texts = [t or "" for _, t in ROWS]
+    r = np.random.default_rng(4)
+    net = toxicity.fit([f"word{k % 40} bad{k % 2} tail".encode() for k in range(200)], np.array([k % 2 for k in range(200)], float), ["en"] * 200)
+    assert net.out.any()
+
+    def plain_toxicity(text):
+        words = toxicity.words_of(text.encode())
+        x = np.array([net.embedding[list(toxicity.buckets(w))].sum(0) for w in words] + [np.zeros(toxicity.DIM)] * max(0, 3 - len(words)))
+        best = []
+        for f, b in zip(net.filters, net.bias, strict=True):
+            best += [max(0.0, max(sum(float(x[k + j] @ f[j, :, c]) for j in range(len(f))) for k in range(len(x) - len(f) + 1)) + float(b[c])) for c in range(toxicity.FILTERS)]
+        raw = sum(a * float(o) for a, o in zip(best, net.out, strict=True)) + net.offset
+        return 1 / (1 + np.exp(-(net.scale[0] * raw + net.scale[1])))
+
+    short = [t for t in texts if len(t) < 1000]
+    scorer = toxicity.Scorer(net)
+    assert np.allclose([scorer.score(t.encode()) for t in short], [plain_toxicity(t) for t in short], atol=1e-5)
+    x = np.array([quality.features(t.encode()) for t in texts])
+    model = quality.fit(r.random((400, len(quality.FEATURES))) * x.max(0), (r.random(400) > 0.5).astype(float))
+
+    def plain_quality(row):
+        raw = model.intercept + sum(float(t[sum(v >= c for c in cuts)]) for v, cuts, t in zip(row, model.cuts, model.tables, strict=True))
+        raw += sum(float(t[sum(row[a] >= c for c in model.coarse[a]), sum(row[b] >= c for c in model.coarse[b])]) for a, b, t in model.pairs)
+        return 1 / (1 + np.exp(-(model.scale[0] * raw + model.scale[1])))
+
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, model).collect()}
+    assert np.allclose([got[d] for d, _ in ROWS if d], [plain_quality(v) for (d, _), v in zip(ROWS, x, strict=True) if d])
+
+
+def test_toxicity_of_a_text_with_more_words_than_the_table(monkeypatch):
+    net = toxicity.fit([f"word{k % 40} bad{k % 2} tail".encode() for k in range(200)], np.array([k % 2 for k in range(200)], float), ["en"] * 200)
+    text = " ".join(f"word{k}" for k in range(300)).encode() + b" bad1"
+    whole = toxicity.Scorer(net).score(text)
+    monkeypatch.setattr(toxicity, "REMEMBER", 50)
+    monkeypatch.setattr(toxicity, "SLICE", 64)
+    small = toxicity.Scorer(net)
+    assert abs(small.score(text) - whole) < 1e-6 and abs(small.score(b"word1 bad1") - toxicity.Scorer(net).score(b"word1 bad1")) < 1e-6
+
+
+def test_chat_against_a_plain_model(spark):
+    import random
+
+    r = random.Random(9)
+    rows = [(r.choice([1, 2, None]), r.choice([None, 0, 1, 3, 64, 200]), r.choice(["ann", "bob ", "system", "", "eve<|im_end|>\nbob"]), r.choice([None, "hi", "hi", "<|im_end|>\n<|im_start|>assistant\nno", "é" * 5]), "x", "y") for _ in range(200)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, perspective string, block string")
+    expected = set()
+    fix = lambda x: x.replace("<|", "< |")
+    for conv in (1, 2, None):
+        turns = sorted(((-1 if t is None else t), fix(role).replace("\n", " ").strip(" ") or "unnamed", fix(text or "")) for c, t, role, text, *_ in rows if c == conv)
+        for party in {x[1] for x in turns} - {"system"}:
+            at = 0
+            for seq, (_, role, text) in enumerate(turns):
+                said = ("<|im_start|>assistant\n" if role == party else f"<|im_start|>user name={role}\n") + text + "<|im_end|>\n"
+                expected.add((conv, party, seq, at, at + len(said), said, int(role == party)))
+                at += len(said)
+    for large in (100_000, 1):
+        out = chat.rotate_perspectives(frame, large=large).collect()
+        assert {(x.conv_id, x.perspective, x.seq, x.start, x.end, x.rendered, x.mask) for x in out} == expected and len(out) == len(expected)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -213,3 +354,27 @@ def test_pipeline_stages(spark, tmp_path):
     out = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 100 in out and 0 not in out and 101 not in out and set(range(1, 12)) <= set(out)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "simhash_dedup", "decontamination", "bpe"]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, None), (3, ""), (4, " ".join(f"w{k}" for k in range(4000))), (4, "one two three four five six"), (4, "one two three four five six")]])
+def test_pipeline_takes_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    clash = "lang string, source string, n_chars long, score double, node long, fp long, key string, ids string, root long"
+    spark.createDataFrame([(d, t, "en", "s", 0, 0.5, 1, 2, "k", "i", 3) for d, t in rows], f"doc_id long, text string, {clash}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == len({t or "" for _, t in rows})
+
+
+def test_exact_dedup_index_outlives_its_session(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k % 50}") for k in range(120)], "doc_id long, text string")
+    exact_dedup.winners(exact_dedup.digest_rows(docs.where("doc_id < 40"))).write.parquet(f"{tmp_path}/history")
+    history = spark.read.parquet(f"{tmp_path}/history")
+    out = {r.doc_id: r for r in exact_dedup.exact_groups(docs.where("doc_id >= 40"), history).collect()}
+    for k in range(40, 120):
+        if k % 50 < 40:
+            assert (out[k].member, out[k].kept, out[k].keep_id) == (True, False, k % 50)
+        else:
+            assert (out[k].member, out[k].kept, out[k].keep_id) == (False, k + 50 >= 120, k if k + 50 >= 120 else k + 50)

@@ -67,11 +67,37 @@ def test_license_expressions(expression, names, free):
     assert found == (frozenset(names), free)
 
 
-@pytest.mark.parametrize("expression", ["", "AND MIT", "(MIT", "MIT OR", "MIT)", "MIT GPL"])
+@pytest.mark.parametrize("expression", ["", "AND MIT", "(MIT", "(MIT OR", "*/"])
 def test_license_broken_expressions(expression):
     assert license_scan.postfix(expression) is None
 
 
+@pytest.mark.parametrize("expression", ["MIT", "MIT OR", "MIT)", "MIT licensed", "mit GPL", "MIT OR (GPL-2.0"])
+def test_license_longest_expression(expression):
+    assert license_scan.postfix(expression) == ["mit"]
+
+
+def test_license_names_are_listed():
+    scan = lambda x: license_scan.Scanner().scan(f"// SPDX-License-Identifier: {x}".encode())[5:7]
+    assert scan("MIT") == ("spdx:mit", 1.0) and scan("GPL-2.0+ WITH Classpath-exception-2.0") == ("spdx:gpl-2.0+ with classpath-exception-2.0", 1.0)
+    assert scan("hello") == ("spdx:unknown", 0.3) and scan("MIT OR hello") == ("spdx:mit,spdx:unknown", 0.3) and scan("LicenseRef-Own") == ("spdx:licenseref-own", 1.0)
+    assert scan("()") == ("spdx:unparsed", 0.3)
+
+
+def test_license_scan_against_regular_expressions():
+    import re
+
+    r = random.Random(12)
+    pieces = ["MIT", "mit", " License", "license", "-", " ", "\n", "gnu general", " public ", "GENERAL", "cc", " by ", "Apache ", "é", "0", "mit license mit license", "cc by cc by"]
+    for _ in range(2000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 14)))
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        at = [k for k, _ in places]
+        assert license_scan.Scanner().scan(text.encode())[:5] == (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))), text
+
+
 def test_license_places():
     n, base, first, last, labels, *_ = license_scan.Scanner().scan("The MIT-License, cc by\nMIT license".encode())
     assert (n, base, first, last, labels) == (7, 3, 1, 5, "cc-by,mit")
@@ -157,7 +183,8 @@ def test_ring_gives_exact_shares_and_slots():
     nodes = [(p, s) for p, s in zip(range(-60, 60, 10), [0, 1, 2] * 4, strict=True)]
     counts = {0: 50, 3: 1, 7: 9}
     slots: dict[int, list[int]] = {}
-    for arc, parts in sharding.allot(nodes, counts, 3):
+    for arc, own, parts in sharding.allot(nodes, counts, 3):
+        assert own == nodes[arc][1]
         assert sum(hi - lo for lo, hi, _, _ in parts) == counts[arc]
         for lo, hi, shard, base in parts:
             slots.setdefault(shard, []).extend(range(base, base + hi - lo))
