@@ -6,6 +6,7 @@ All stay on the JVM. `let` names a value that an expression uses more than once,
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,13 +141,14 @@ def snippet(c: Column, limit: int) -> Column:
     return let(flat, lambda x: F.when(F.length(x) <= limit, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, limit - 1), rf"(?U){WS}+\z", ""), F.lit("…"))))
 
 
+# The forms of dates that are read, and where undated messages stand.
 FAR_FUTURE = "timestamp_ntz'9999-12-31 23:59:59.999999'"
 
 
 def sent_at(timestamp: Column) -> Column:
     """When a message was sent: known forms, else the first date in the text at midnight, else the far future."""
     t = strip(text(timestamp))
-    full = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2}) +(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
+    full = rf"(?U)^(\d{{4}})([-/])(\d{{1,2}})\2(\d{{1,2}}){WS}+(\d{{1,2}}):(\d{{1,2}})(?::(\d{{1,2}}))?$"
     part = lambda k: F.regexp_extract(t, full, k).try_cast("int")
     slashed_seconds = t.rlike(r"^\d{4}/.*:.*:")  # seconds only go with dashes
     form = F.when(t.rlike(full) & ~slashed_seconds, F.call_function("try_make_timestamp_ntz", part(1), part(3), part(4), part(5), part(6), F.coalesce(part(7), F.lit(0)).cast("decimal(8,6)")))
@@ -194,14 +196,19 @@ def prettify(c: Column) -> Column:
     return title_case(strip(F.regexp_replace(c, "[-_]+", " ")))
 
 
+# What a plain colour looks like, and the beginnings of links that aren't let through.
+PLAIN_COLOR = r"^#[0-9A-Fa-f]{3,8}$|^(?:rgb|rgba|hsl|hsla)\([0-9.,%/\s]+\)$|^[A-Za-z]+$"
+UNSAFE_LINK = rf"(?iU)^{WS}*(?:javascript|vbscript|data){WS}*:"
+
+
 def safe_color(c: Column) -> Column:
     """A plain colour, else null: hexadecimal, rgb()/hsl() or a name."""
     v = strip(text(c))
-    return F.when(v.rlike(r"^#[0-9A-Fa-f]{3,8}$|^(?:rgb|rgba|hsl|hsla)\([0-9.,%/\s]+\)$|^[A-Za-z]+$"), v)
+    return F.when(v.rlike(PLAIN_COLOR), v)
 
 
 def safe_href(c: Column) -> Column:
-    return F.when((text(c) != "") & ~text(c).rlike(rf"(?iU)^{WS}*(?:javascript|vbscript|data){WS}*:"), c)
+    return F.when((text(c) != "") & ~text(c).rlike(UNSAFE_LINK), c)
 
 
 def tint(color: Column, alpha: str) -> Column:
@@ -225,14 +232,39 @@ def href_for(path: Column, directory: str, link_base: str | None = None) -> Colu
     return F.concat(F.lit("file:///"), F.regexp_replace(path, r"\\", "/"))
 
 
+def decode_entities(c: Column) -> Column:
+    """Numeric references and the named entities of ENTITIES, each once: what a decoded "&" makes is not decoded again.
+
+    The text is cut before every "&"; a piece that begins with a reference has it replaced.
+    """
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    often, named = table({k: ENTITIES[k] for k in OFTEN}), table(ENTITIES)
+
+    def number(body: Column) -> Column:
+        hexed = body.rlike("^#[xX]")
+        value = F.when(hexed, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2))).try_cast("int")
+        special = table(C1)[value]
+        valid = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+        return F.coalesce(special, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
+
+    def piece(x: Column) -> Column:
+        body = F.regexp_extract(x, r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        to = F.when(F.startswith(body, F.lit("#")), number(body)).when(body != "", F.coalesce(often[body], named[body]))
+        return F.when(to.isNull(), x).otherwise(F.concat(to, F.substr(x, F.length(body) + 3)))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")).otherwise(c)
+
+
 def html_to_text(html: Column) -> Column:
-    """Tags as spaces, common entities decoded once (&amp; last), lines squeezed, empty lines dropped."""
-    t = F.regexp_replace(text(html), r"(?s)<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    """Tags as spaces, entities decoded once, lines squeezed, empty lines dropped."""
+    t = decode_entities(F.regexp_replace(text(html), r"(?s)<[^>]+>", " "))
     lines = F.transform(split_lines(t), lambda x: strip(F.regexp_replace(x, r"[ \t\r\x0c\x0b]+", " ")))
     return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
-# The entities that html_to_text decodes on the JVM; others need sources.mail.html_text.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+#: The named entities that end in a semicolon, as Python's table has them. Names without one are sources.mail.html_text's.
+ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+#: Those that are looked up first: a map is searched entry by entry.
+OFTEN = ("amp", "lt", "gt", "quot", "apos", "nbsp", "middot", "copy", "mdash", "ndash", "hellip", "rsquo")
+#: Numbers that stand for what Windows-1252 has there.
+C1 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}

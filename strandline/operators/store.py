@@ -1,8 +1,11 @@
-"""The accumulating store: four Parquet tables, written as new versions, with an idempotent upsert.
+"""The accumulating store: what every batch brought, kept apart and merged by aggregates when it is read.
 
 A message's row is the earliest of its occurrences ever taken in, except message_id (the first that wasn't empty) and
-first_seen (the first stamp). Both are aggregates of (kept row, new occurrences), so an upsert is a union and a
-group-by, its order among batches doesn't matter but for ingest_seq, and nothing is looked up row by row.
+first_seen (the first stamp). All of these are aggregates that can be taken of parts, so adding a batch writes the batch's
+own rows and no others; what is stored is only asked for its keys, to count. A file's latest batch tells which messages
+it holds. After COMPACT batches the parts are merged into one.
+
+Order is a struct of batch, file and place in the file, so nothing overlaps however large a mailbox is.
 """
 
 from __future__ import annotations
@@ -16,18 +19,22 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators.contain import verdict
-from strandline.operators.ranking import ranked
 from strandline.operators.keys import attachment_key, message_key
+from strandline.operators.ranking import ranked
+from strandline.scratch import table
 
-FILES = "file_id long, path string, name string, ingested_at string"
+SEQ = "struct<batch:long,file:long,idx:int>"
+FILES = "file_id long, path string, name string, ingested_at string, batch long"
 MESSAGES = (
     "key binary, sender string, timestamp string, recipient string, subject string, body string, attachments array<string>, in_reply_to string, references array<string>, "
-    "ts timestamp_ntz, best_seq long, message_id string, id_seq long, first_seen string, seen_seq long"
+    f"ts timestamp_ntz, best_seq {SEQ}, message_id string, id_seq {SEQ}, first_seen string, seen_seq {SEQ}, occurrences long"
 )
-FILE_MESSAGES = "file_id long, key binary"
-FILE_ATTACHMENTS = "file_id long, name string"
+FILE_MESSAGES = "file_id long, key binary, batch long"
+FILE_ATTACHMENTS = "file_id long, name string, batch long"
 SCHEMAS = {"files": FILES, "messages": MESSAGES, "file_messages": FILE_MESSAGES, "file_attachments": FILE_ATTACHMENTS}
 _BODY = ("sender", "timestamp", "recipient", "subject", "body", "attachments", "in_reply_to", "references")
+#: Batches that are kept apart before they are merged.
+COMPACT = 16
 
 
 @dataclass
@@ -41,57 +48,84 @@ class Tables:
     def empty(cls, spark: SparkSession) -> Tables:
         return cls(**{k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()})
 
+    def each(self, f) -> Tables:
+        return Tables(**{k: f(k, getattr(self, k)) for k in SCHEMAS})
+
+
+def merged_messages(rows: DataFrame) -> DataFrame:
+    """One row for each key: rows may be single occurrences or merged before."""
+    out = rows.groupBy("key").agg(
+        F.min_by(F.struct(*_BODY, "ts", "best_seq"), F.struct("ts", "best_seq")).alias("row"), F.min_by(F.struct("message_id", "id_seq"), "id_seq").alias("mid"),
+        F.min_by(F.struct("first_seen", "seen_seq"), "seen_seq").alias("seen"), F.sum("occurrences").alias("occurrences"),
+    )
+    out = out.select("key", "row.*", "mid.message_id", "mid.id_seq", "seen.*", "occurrences")
+    return out.select("key", *_BODY, "ts", "best_seq", "message_id", "id_seq", "first_seen", "seen_seq", "occurrences")
+
+
+def merge(parts: Tables) -> Tables:
+    """The tables that several batches' parts make: each file as its latest batch has it."""
+    files = parts.files.groupBy("file_id").agg(F.max_by(F.struct("path", "name", "ingested_at"), "batch").alias("f"), F.max("batch").alias("batch")).select("file_id", "f.*", "batch")
+    latest = files.select("file_id", "batch")
+    current = lambda t: t.join(latest, ["file_id", "batch"], "left_semi").select(*t.columns)
+    return Tables(files, merged_messages(parts.messages), current(parts.file_messages), current(parts.file_attachments))
 
-def upsert(old: Tables, batch: DataFrame, files: DataFrame, stamp: str) -> tuple[Tables, DataFrame]:
-    """The tables with a batch taken in, and one row of counters: added, refreshed, messages_added, messages_seen.
 
-    batch: messages (schema.MESSAGE); files: file_id, path, name. A path that is known keeps its id and its mappings are
-    replaced; messages that no file has any more stay (see purge).
+def batch_parts(old: Tables, batch: DataFrame, files: DataFrame, stamp: str, number: int) -> tuple[Tables, DataFrame]:
+    """(what a batch adds, the batch's files with refreshed). batch: messages (schema.MESSAGE); files: file_id, path, name.
+
+    A path that is known keeps its id; its messages are those of this batch from now on.
     """
+    # Repeated paths of a batch are one file.
+    paths = files.groupBy("path").agg(F.min("file_id").alias("batch_id"), F.max("name").alias("name"))
     known = old.files.select("path", F.col("file_id").alias("old_id"))
-    paths = files.join(known, "path", "left")
-    base = old.files.agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("top"))
-    fresh = paths.where("old_id is null")
-    order = fresh.groupBy("file_id").agg(F.min("path").alias("p")).select("file_id")
-    numbered = ranked(order, ["file_id"]).crossJoin(F.broadcast(base)).select("file_id", (F.col("ordinal") + F.col("top")).alias("new_id"))  # one row
-    ids = paths.join(numbered, "file_id", "left").select(F.col("file_id").alias("batch_id"), F.coalesce("old_id", "new_id").alias("file_id"), "path", "name", F.col("old_id").isNotNull().alias("refreshed")).persist()
-    rows = batch.withColumnRenamed("file_id", "batch_id").drop("name").join(ids.select("batch_id", "file_id"), "batch_id")
+    paths = paths.join(known, "path", "left")
+    top = old.files.agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("top"))
+    numbered = ranked(paths.where("old_id is null").select("batch_id"), ["batch_id"]).crossJoin(F.broadcast(top)).select("batch_id", (F.col("ordinal") + F.col("top")).alias("new_id"))  # one row
+    ids = paths.join(numbered, "batch_id", "left").select("batch_id", F.coalesce("old_id", "new_id").alias("file_id"), "path", "name", F.col("old_id").isNotNull().alias("refreshed"))
+    ids = table(ids, "store-ids")
+    every = files.select(F.col("file_id").alias("batch_id"), "path").join(ids.select("path", "file_id"), "path").select("batch_id", "file_id")
+    rows = batch.withColumnRenamed("file_id", "batch_id").drop("name").join(every, "batch_id")
     rows = rows.withColumn("key", message_key(F.col("sender"), F.col("body"))).withColumn("ts", X.sent_at(F.col("timestamp")))
-    start = old.messages.agg(F.coalesce(F.max(F.greatest("best_seq", "seen_seq", F.coalesce("id_seq", F.lit(-1)))), F.lit(-1)).alias("top"))
-    rows = rows.crossJoin(F.broadcast(start)).withColumn("seq", F.col("top") + 1 + F.col("batch_id") * 1_000_000 + F.col("msg_idx")).persist()  # one row
-
-    none = F.lit(None).cast("string")
-    new = rows.select("key", *_BODY, "ts", F.col("seq").alias("best_seq"), F.nullif(X.text(F.col("message_id")), F.lit("")).alias("message_id"), F.when(X.text(F.col("message_id")) != "", F.col("seq")).alias("id_seq"), F.lit(stamp).alias("first_seen"), F.col("seq").alias("seen_seq"))
-    both = old.messages.unionByName(new)
-    merged = both.groupBy("key").agg(
-        F.min_by(F.struct(*_BODY, "ts", "best_seq"), F.struct("ts", "best_seq")).alias("row"), F.min_by(F.struct("message_id", "id_seq"), F.col("id_seq")).alias("mid"), F.min_by(F.struct("first_seen", "seen_seq"), "seen_seq").alias("seen"),
-    ).select("key", "row.*", F.coalesce("mid.message_id", none).alias("message_id"), "mid.id_seq", "seen.*").select(*[x.split()[0] for x in MESSAGES.split(", ")])
-
-    touched = ids.select("file_id").distinct()
-    stay = lambda t: t.join(touched, "file_id", "left_anti")
-    maps = rows.select("file_id", "key").distinct()
-    names = rows.select("file_id", F.explode(F.coalesce("attachments", F.array().cast("array<string>"))).alias("name")).where("name <> ''").distinct()
-    taken = ids.groupBy("file_id").agg(F.max(F.struct("path", "name")).alias("f")).select("file_id", "f.path", "f.name", F.lit(stamp).alias("ingested_at"))
-    tables = Tables(stay(old.files).unionByName(taken), merged, stay(old.file_messages).unionByName(maps), stay(old.file_attachments).unionByName(names))
-    seen = rows.select("key").distinct().join(old.messages.select("key").withColumn("old", F.lit(True)), "key", "left")
-    counters = ids.groupBy("file_id").agg(F.max("refreshed").alias("r")).agg(F.count_if(~F.col("r")).alias("added"), F.count_if("r").alias("refreshed"))
-    counters = counters.crossJoin(seen.agg(F.count_if(F.col("old").isNull()).alias("messages_added"))).crossJoin(rows.agg(F.count(F.lit(1)).alias("messages_seen")))  # one row each
-    return tables, counters
+    n = F.lit(number).cast("long")
+    seq = F.struct(n.alias("batch"), F.col("batch_id").cast("long").alias("file"), F.col("msg_idx").cast("int").alias("idx"))
+    rows = table(rows.withColumn("seq", seq), "store-rows")
+    given = F.nullif(X.text(F.col("message_id")), F.lit(""))
+    new = rows.select("key", *_BODY, "ts", F.col("seq").alias("best_seq"), given.alias("message_id"), F.when(given.isNotNull(), F.col("seq")).alias("id_seq"), F.lit(stamp).alias("first_seen"), F.col("seq").alias("seen_seq"), F.lit(1).cast("long").alias("occurrences"))
+    maps = rows.select("file_id", "key").distinct().withColumn("batch", n)
+    names = rows.select("file_id", F.explode(F.coalesce("attachments", F.array().cast("array<string>"))).alias("name")).select("file_id", X.strip(X.text(F.col("name"))).alias("name")).where("name <> ''").distinct().withColumn("batch", n)
+    taken = ids.select("file_id", "path", "name", F.lit(stamp).alias("ingested_at"), n.alias("batch"))
+    return Tables(taken, merged_messages(new), maps, names), ids
+
+
+def count_batch(old: Tables, added: Tables, ids: DataFrame) -> DataFrame:
+    """One row: added and refreshed files, messages_added, messages_seen (occurrences that met a message that was stored,
+    by an earlier batch or earlier in this one)."""
+    new = added.messages.select("key", "occurrences").join(old.messages.select("key").distinct().withColumn("old", F.lit(True)), "key", "left")
+    told = new.agg(F.count_if(F.col("old").isNull()).alias("messages_added"), (F.coalesce(F.sum("occurrences"), F.lit(0)) - F.count_if(F.col("old").isNull())).alias("messages_seen"))
+    files = ids.agg(F.count_if(~F.col("refreshed")).alias("added"), F.count_if("refreshed").alias("refreshed"))
+    return files.crossJoin(told)  # one row each
+
+
+def upsert(old: Tables, batch: DataFrame, files: DataFrame, stamp: str, number: int) -> tuple[Tables, DataFrame]:
+    """The tables with a batch taken in, and its counters; for tables that aren't a Store's. number: the batch's, larger than those before."""
+    added, ids = batch_parts(old, batch, files, stamp, number)
+    both = old.each(lambda k, t: t.unionByName(getattr(added, k)))
+    return merge(both), count_batch(old, added, ids)
 
 
 def stats(t: Tables) -> DataFrame:
     """One row: files, messages, attachments (distinct names as given)."""
-    return t.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(t.messages.agg(F.count(F.lit(1)).alias("messages"))).crossJoin(t.file_attachments.agg(F.countDistinct("name").alias("attachments")))
+    return t.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(t.messages.agg(F.count_distinct("key").alias("messages"))).crossJoin(t.file_attachments.agg(F.count_distinct("name").alias("attachments")))
 
 
 def store_keys(t: Tables) -> DataFrame:
-    return t.file_messages.unionByName(t.file_attachments.select("file_id", attachment_key(F.col("name")).alias("key"))).distinct()
+    return t.file_messages.select("file_id", "key").unionByName(t.file_attachments.select("file_id", attachment_key(F.col("name")).alias("key"))).distinct()
 
 
 def display_names(t: Tables) -> DataFrame:
-    """file_id, name: names that several files share get their id behind them."""
-    shared = t.files.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return t.files.join(shared, "name").select("file_id", F.when(F.col("n") > 1, F.concat("name", F.lit("#"), F.col("file_id").cast("string"))).otherwise(F.col("name")).alias("name"))
+    """file_id, name: of files that share a name the first keeps it, the others get their id behind it."""
+    first = t.files.groupBy("name").agg(F.min("file_id").alias("first"))
+    return t.files.join(first, "name").select("file_id", F.when(F.col("file_id") > F.col("first"), F.concat("name", F.lit("#"), F.col("file_id").cast("string"))).otherwise(F.col("name")).alias("name"))
 
 
 def store_verdict(t: Tables) -> DataFrame:
@@ -100,7 +134,7 @@ def store_verdict(t: Tables) -> DataFrame:
 
 def stored_messages(t: Tables) -> DataFrame:
     """Every message with the path of the lowest file id that holds it (empty if none does)."""
-    path = t.file_messages.join(t.files, "file_id").groupBy("key").agg(F.min_by("path", "file_id").alias("path"))
+    path = t.file_messages.join(t.files.select("file_id", "path"), "file_id").groupBy("key").agg(F.min_by("path", "file_id").alias("path"))
     return t.messages.join(path, "key", "left").withColumn("path", F.coalesce("path", F.lit("")))
 
 
@@ -109,44 +143,89 @@ def purge(t: Tables) -> Tables:
     return Tables(t.files, t.messages.join(t.file_messages.select("key").distinct(), "key", "left_semi"), t.file_messages, t.file_attachments)
 
 
+class StoreConflict(RuntimeError):
+    """Another writer has added a batch meanwhile; nothing of this one was taken in."""
+
+
 class Store:
-    """Versions of the tables in a directory; `current` names the last complete one, so a broken write is never seen."""
+    """Parts of the tables in a directory and numbered manifests that say which parts count.
+
+    A manifest is written under another name and then renamed, and is never changed: a broken write is never seen, and of
+    two writers one fails. Parts that the last two manifests don't name are deleted when parts are merged.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
+    def _fs(self, name: str = ""):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> dict | None:
-        p, fs = self._pointer()
+    def _numbers(self) -> list[int]:
+        p, fs = self._fs("manifests")
         if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
+            return []
+        return sorted(int(str(f.getPath().getName())[:-5]) for f in fs.listStatus(p) if str(f.getPath().getName()).endswith(".json"))
 
-    def read(self) -> Tables:
+    def _manifest(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{number:012d}.json", wholetext=True).first()[0])
+
+    def version(self) -> dict | None:
+        """The last manifest: number, batch (the name of the last one), parts."""
+        numbers = self._numbers()
+        return self._manifest(numbers[-1]) if numbers else None
+
+    def parts(self) -> Tables:
         v = self.version()
         if v is None:
             return Tables.empty(self.spark)
-        return Tables(**{k: self.spark.read.schema(s).parquet(f"{self.path}/{v['version']}/{k}") for k, s in SCHEMAS.items()})
+        return Tables(**{k: self.spark.read.schema(s).parquet(*[f"{self.path}/parts/{part}/{k}" for part in v["parts"]]) for k, s in SCHEMAS.items()})
+
+    def read(self) -> Tables:
+        return merge(self.parts())
 
-    def write(self, t: Tables, batch: str | None = None) -> None:
-        name = f"v-{uuid.uuid4().hex}"
+    def _write_part(self, t: Tables) -> str:
+        name = uuid.uuid4().hex
         for k in SCHEMAS:
-            getattr(t, k).write.parquet(f"{self.path}/{name}/{k}")
-        p, fs = self._pointer()
-        out = fs.create(p, True)
-        out.write(bytearray(json.dumps({"version": name, "batch": batch}).encode()))
+            getattr(t, k).write.parquet(f"{self.path}/parts/{name}/{k}")
+        return name
+
+    def _publish(self, number: int, batch: str | None, parts: list[str]) -> None:
+        manifest, fs = self._fs(f"manifests/{number:012d}.json")
+        draft, _ = self._fs(f"manifests/{uuid.uuid4().hex}.draft")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps({"number": number, "batch": batch, "parts": parts}).encode()))
         out.close()
+        if fs.exists(manifest) or not fs.rename(draft, manifest):
+            fs.delete(draft, False)
+            raise StoreConflict(f"{self.path}: manifest {number} is there already")
 
     def add(self, batch: DataFrame, files: DataFrame, stamp: str, batch_name: str | None = None) -> dict:
-        """Take a batch in; a batch that was the last one already (by name) isn't taken in again."""
-        v = self.version()
-        if batch_name is not None and v is not None and v.get("batch") == batch_name:
+        """Take a batch in and count it; a batch that was the last one already (by name) isn't taken in again."""
+        v = self.version() or {"number": 0, "batch": None, "parts": []}
+        if batch_name is not None and v["batch"] == batch_name:
             return {}
-        tables, counters = upsert(self.read(), batch, files, stamp)
-        counts = counters.first().asDict()
-        self.write(tables, batch_name)
+        old, number = self.read(), v["number"] + 1
+        added, ids = batch_parts(old, batch, files, stamp, number)
+        part = self._write_part(added)
+        written = Tables(**{k: self.spark.read.schema(s).parquet(f"{self.path}/parts/{part}/{k}") for k, s in SCHEMAS.items()})
+        counts = count_batch(Tables(old.files, self.parts().messages, old.file_messages, old.file_attachments), written, ids).first().asDict()
+        self._publish(number, batch_name, [*v["parts"], part])
+        if len(v["parts"]) + 1 >= COMPACT:
+            self.compact()
         return counts
+
+    def compact(self) -> None:
+        """Merge all parts into one and delete those that neither this manifest nor the one before names."""
+        v = self.version()
+        if v is None or len(v["parts"]) < 2:
+            return
+        part = self._write_part(self.read())
+        self._publish(v["number"] + 1, v["batch"], [part])
+        used = {part, *v["parts"]}
+        p, fs = self._fs("parts")
+        for f in fs.listStatus(p):
+            if str(f.getPath().getName()) not in used:
+                fs.delete(f.getPath(), True)
+        for n in self._numbers()[:-2]:
+            fs.delete(self._fs(f"manifests/{n:012d}.json")[0], False)

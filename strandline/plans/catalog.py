@@ -369,7 +369,8 @@ def store_upsert(spark, sf_dir):
 
 @query("store_idempotent", _with(exports_sql()) + """
 SELECT (SELECT count(DISTINCT file_id) FROM exports WHERE conv_id % 2 = 1) AS added, (SELECT count(DISTINCT file_id) FROM exports WHERE conv_id % 2 = 0) AS refreshed,
-       count(DISTINCT k) - (SELECT count(DISTINCT k) FROM exports WHERE conv_id % 2 = 0) AS messages_added, count(*) AS messages_seen FROM exports""")
+       count(DISTINCT k) - (SELECT count(DISTINCT k) FROM exports WHERE conv_id % 2 = 0) AS messages_added,
+       count(*) - count(DISTINCT k) + (SELECT count(DISTINCT k) FROM exports WHERE conv_id % 2 = 0) AS messages_seen FROM exports""")
 def store_idempotent(spark, sf_dir):
     counts = _stored(spark, sf_dir)[1]
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))

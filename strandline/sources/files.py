@@ -7,6 +7,7 @@ so they are never opened. Order is part of the data: file_id is the place in the
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,23 +46,23 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")).otherwise(mail.decode_legacy(plain))
 
 
-KINDS = ("text", "mail", "pdf")
+KINDS = ("text", "mail", "mailbox", "pdf")
 
 
-def kind_of(path: Column) -> Column:
+def reader_of(path: Column) -> Column:
     """The reader of a file: one of KINDS, by its extension; unknown ones are read as text exports."""
     ext = extension(path)
-    return F.when(ext.isin("eml", "mbox"), F.lit("mail")).when(ext == "pdf", F.lit("pdf")).otherwise(F.lit("text"))
+    return F.when(ext == "eml", F.lit("mail")).when(ext == "mbox", F.lit("mailbox")).when(ext == "pdf", F.lit("pdf")).otherwise(F.lit("text"))
 
 
 def parse_files(files: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Messages of files (file_id, name, path, content), each by its extension. kinds: those of KINDS that occur."""
-    of = lambda kind: files.where(kind_of(F.col("path")) == kind)
+    of = lambda *kinds: files.where(reader_of(F.col("path")).isin(*kinds))
     parts = []
     if "text" in kinds:
         parts.append(text_exports.parse_exports(of("text").select("file_id", "name", decoded(F.col("content")).alias("text"))))
-    if "mail" in kinds:
-        parts.append(mail.parse_mail(of("mail").select("file_id", "name", "content", extension(F.col("path")).alias("kind"))))
+    if "mail" in kinds or "mailbox" in kinds:
+        parts.append(mail.parse_mail(of("mail", "mailbox").select("file_id", "name", "content", extension(F.col("path")).alias("kind"))))
     if "pdf" in kinds:
         parts.append(pdf_messages(table(pdf.read_pdf(of("pdf").select("file_id", "name", "content")), "pdf-text")))
     return functools.reduce(DataFrame.unionByName, parts) if parts else empty_messages(files.sparkSession)
@@ -76,28 +77,53 @@ def pdf_messages(pages: DataFrame) -> DataFrame:
     return parsed.unionByName(alone)
 
 
-def read_messages(spark: SparkSession, directory: str, recursive: bool = False, pattern: str | None = None, include_pdf: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(messages, files: file_id, name, path). PDFs count without a pattern only: those that no message names as an
-    attachment and that hold messages. Files of other kinds stay in `files` even without any message.
+@dataclass
+class Reading:
+    """messages: schema.MESSAGE. files: path, name, file_id of the inputs. report: path, name, status of everything that was
+    found: "read", "no messages", "unreadable" (a PDF with little or no text; it is no input) or "attachment"."""
+
+    messages: DataFrame
+    files: DataFrame
+    report: DataFrame
+
+
+def read_directory(spark: SparkSession, directory: str, recursive: bool = False, pattern: str | None = None, include_pdf: bool = True) -> Reading:
+    """A directory's exports. PDFs count without a pattern only: those that no message names as an attachment and that
+    hold messages. Files of other kinds stay inputs even without any message.
     """
     listed = list_files(spark, directory, recursive, pattern)
     files = table(with_file_ids(listed), "files")
-    messages = _messages(listed, files)
+    kinds = {r.kind for r in files.select(reader_of(F.col("path")).alias("kind")).distinct().collect()}  # four at most
+    parts = [parse_files(listed.where(reader_of(F.col("path")) != "mailbox").drop("name").join(files, "path"), tuple(kinds - {"mailbox"}))]
+    if "mailbox" in kinds:
+        boxes = files.where(reader_of(F.col("path")) == "mailbox")
+        parts.append(mail.parse_mailboxes(mail.mailbox_records(spark, directory, recursive, pattern or "*.mbox"), boxes))
+    # Parsed once and written: no later step carries the readers' plans.
+    messages = table(functools.reduce(DataFrame.unionByName, parts), "messages")
+    report = _status(files, messages, "no messages")
     if not include_pdf or pattern:
-        return messages, files
+        return Reading(messages, files, report)
     named = messages.select(F.explode("attachments").alias("name")).select(F.lower(X.strip(name_of(F.col("name")))).alias("low")).distinct()
     pdfs = list_files(spark, directory, recursive, "*.pdf")
-    wanted = pdfs.select("path", "name").join(named, F.lower(pdfs["name"]) == named["low"], "left_anti")
+    own_name = F.lower(X.strip(pdfs["name"]))
+    attached = pdfs.select("path", "name").join(named, own_name == named["low"], "left_semi").withColumn("status", F.lit("attachment"))
+    wanted = pdfs.select("path", "name").join(named, own_name == named["low"], "left_anti")
     pdf_files = table(with_file_ids(wanted, files.count()), "files")
-    from_pdf = _messages(pdfs, pdf_files)
+    from_pdf = table(parse_files(pdfs.drop("name").join(pdf_files, "path"), ("pdf",)), "messages")
+    states = _status(pdf_files, from_pdf, "unreadable")
     readable = pdf_files.join(from_pdf.select("file_id").distinct(), "file_id", "left_semi").select("path", "name", "file_id")
-    return messages.unionByName(from_pdf), files.unionByName(readable)
+    return Reading(messages.unionByName(from_pdf), files.unionByName(readable), report.unionByName(states).unionByName(attached))
 
 
-def _messages(listed: DataFrame, files: DataFrame) -> DataFrame:
-    """The files' messages, parsed once and written: no later step carries the parser's plan. Only the readers that the files need are run."""
-    kinds = tuple(r.kind for r in files.select(kind_of(F.col("path")).alias("kind")).distinct().collect())  # three at most
-    return table(parse_files(listed.drop("name").join(files, "path"), kinds), "messages")
+def _status(files: DataFrame, messages: DataFrame, otherwise: str) -> DataFrame:
+    read = messages.select("file_id").distinct().withColumn("status", F.lit("read"))
+    return files.join(read, "file_id", "left").select("path", "name", F.coalesce("status", F.lit(otherwise)).alias("status"))
+
+
+def read_messages(spark: SparkSession, directory: str, recursive: bool = False, pattern: str | None = None, include_pdf: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(messages, files) of read_directory()."""
+    found = read_directory(spark, directory, recursive, pattern, include_pdf)
+    return found.messages, found.files
 
 
 def uploads(spark: SparkSession, records: list[dict]) -> tuple[DataFrame, DataFrame]:

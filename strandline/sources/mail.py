@@ -1,4 +1,8 @@
-"""Mail files and mailboxes, read with Python's email package in Arrow batches: MIME has no native reader."""
+"""Mail files and mailboxes, read with Python's email package in Arrow batches: MIME has no native reader.
+
+Mailboxes are cut into messages by Spark's text source, whose record separator is the line break before a "From " line.
+So a mailbox of any size is read in byte ranges by as many tasks as it has splits.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,24 @@ import email.policy
 import email.utils
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from email.message import EmailMessage
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators.ranking import ranked
 from strandline.schema import MESSAGE, MESSAGE_FIELDS
 
 KINDS = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
-#: Files that are held in Python at once.
-FILES = 16
+#: Messages that are held in Python at once.
+AT_ONCE = 16
+ENVELOPE = b"From "
+#: What the email package raises on headers and parts that are too broken for it.
+BROKEN = (LookupError, ValueError, AttributeError, TypeError)
 
 
 def html_text(page: str) -> str:
@@ -49,74 +58,142 @@ def decode_legacy(content: Column) -> Column:
     return _legacy(content)
 
 
-def split_mailbox(data: bytes) -> list[bytes]:
-    """A mailbox's messages: each from after its "From " line, which stands at the start or after a blank line, to the next."""
-    cuts = [m for m in re.finditer(rb"(?m)^From [^\n]*\n?", data) if m.start() == 0 or data[: m.start()].endswith((b"\n\n", b"\r\n\r\n", b"\n\r\n"))]
-    ends = [m.start() for m in cuts[1:]] + [len(data)] * bool(cuts)
-    return [data[m.end() : e] for m, e in zip(cuts, ends, strict=True)]
+# --- one message -----------------------------------------------------------------------------------------------------
 
 
-def _text_of(part) -> str:
-    try:
-        content = part.get_content()
-        return content if isinstance(content, str) else ""
-    except (LookupError, ValueError, KeyError):
-        data = part.get_payload(decode=True)
-        return data.decode("utf-8", "replace") if isinstance(data, bytes) else str(data or "")
+def leaves(part: EmailMessage, attached: bool = False) -> Iterator[tuple[EmailMessage, bool]]:
+    """A message's single parts in order, and whether each is attached or stands beside the part that it goes with."""
+    attached = attached or part.is_attachment()
+    if part.get_content_maintype() != "multipart":
+        yield part, attached
+        return
+    inside = part.get_payload()
+    for k, p in enumerate(inside if isinstance(inside, list) else []):
+        yield from leaves(p, attached or part.get_content_subtype() == "related" and k > 0)
 
 
-def _readable(part) -> str:
-    return html_text(_text_of(part)) if part.get_content_type() == "text/html" else _text_of(part).strip()
+def rank(part: EmailMessage, attached: bool) -> int | None:
+    """How good a body a part is, from 0; None if it is no text to read. Attached texts come after all others."""
+    kind = {"text/plain": 0, "text/html": 1}.get(part.get_content_type())
+    return None if kind is None else kind + 2 * attached
 
 
-def body_of(message) -> str:
-    """The plain body before the HTML one; in odd structures the first part of either kind."""
+def shown(part: EmailMessage) -> str:
+    """A part's text; of an unknown character set as UTF-8."""
+    data = part.get_payload(decode=True)
+    if not isinstance(data, bytes):
+        return ""
     try:
-        chosen = message.get_body(preferencelist=("plain", "html"))
-    except (LookupError, ValueError, KeyError, AttributeError, TypeError):
-        chosen = None
-    if chosen is None and message.is_multipart():
-        parts = list(message.walk())
-        chosen = next((p for kind in ("text/plain", "text/html") for p in parts if p.get_content_type() == kind), None)
-        return _readable(chosen) if chosen is not None else ""
-    return _readable(message if chosen is None else chosen)
-
-
-def fields_of(data: bytes) -> tuple:
-    """A message's fields from sender to references."""
-    message = email.message_from_bytes(data, policy=email.policy.default)
+        text = data.decode(part.get_content_charset("ascii"), "replace")
+    except LookupError:
+        text = data.decode("utf-8", "replace")
+    return html_text(text) if part.get_content_type() == "text/html" else text.strip()
+
+
+def body_of(message: EmailMessage) -> str:
+    ranked_parts = [(r, k, p) for k, (p, attached) in enumerate(leaves(message)) if (r := rank(p, attached)) is not None]
+    if ranked_parts:
+        return shown(min(ranked_parts, key=lambda x: x[:2])[2])
+    return "" if message.is_multipart() else shown(message)
+
+
+def attachments_of(message: EmailMessage) -> list[str]:
+    return [name.strip() for p in message.iter_attachments() if (name := p.get_filename())]
 
-    def header(name: str) -> str:
-        try:
-            return str(message[name] or "").strip()
-        except (ValueError, IndexError, AttributeError, TypeError):  # headers too broken for the package
-            return ""
 
-    sent = header("Date")
+def _plain(value: str) -> str:
+    return value.strip()
+
+
+def _wall_clock(value: str) -> str:
+    """The date without its offset; as it stands where it can't be read."""
     try:
-        sent = email.utils.parsedate_to_datetime(sent).strftime("%Y-%m-%d %H:%M")  # the wall clock; its offset doesn't count
+        return email.utils.parsedate_to_datetime(value).strftime("%Y-%m-%d %H:%M")
     except (TypeError, ValueError):
-        pass
-    try:
-        names = [str(p.get_filename()).strip() for p in message.iter_attachments() if p.get_filename()]
-    except (LookupError, ValueError, KeyError, AttributeError, TypeError):
-        names = []
-    chain = header("References")
-    return header("From"), sent, header("To"), header("Subject"), names, body_of(message), header("Message-ID"), header("In-Reply-To"), re.findall(r"<[^>]+>", chain) or chain.split()
+        return value.strip()
+
+
+def _ids(value: str) -> list[str]:
+    return re.findall(r"<[^>]+>", value) or value.split()
+
+
+#: Field of a message: the header it is read from and how.
+HEADERS: dict[str, tuple[str, Callable]] = {
+    "sender": ("From", _plain), "timestamp": ("Date", _wall_clock), "recipient": ("To", _plain), "subject": ("Subject", _plain),
+    "message_id": ("Message-ID", _plain), "in_reply_to": ("In-Reply-To", _plain), "references": ("References", _ids),
+}
+PARTS: dict[str, Callable] = {"attachments": attachments_of, "body": body_of}
+
+
+def fields_of(data: bytes) -> dict:
+    """A message's fields but file_id, name and msg_idx; what is too broken to be read is empty."""
+    message = email.message_from_bytes(data, policy=email.policy.default)
+    out = {}
+    for field, (header, read) in HEADERS.items():
+        try:
+            out[field] = read(str(message[header] or ""))
+        except BROKEN:
+            out[field] = read("")
+    for field, read in PARTS.items():
+        try:
+            out[field] = read(message)
+        except BROKEN:
+            out[field] = [] if field == "attachments" else ""
+    return out
+
+
+def _batch(rows: list[tuple[int, str, int, bytes]]) -> pa.RecordBatch:
+    """Messages as schema.MESSAGE. rows: file_id, name, msg_idx, the message's bytes."""
+    fields = [{"file_id": i, "name": n, "msg_idx": k, **fields_of(data)} for i, n, k, data in rows]
+    valid = lambda x: x.encode("utf-8", "replace").decode() if isinstance(x, str) else [valid(y) for y in x] if isinstance(x, list) else x
+    return pa.RecordBatch.from_arrays([pa.array([valid(f[c]) for f in fields], t) for c, t in zip(MESSAGE_FIELDS, KINDS, strict=True)], MESSAGE_FIELDS)
+
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+
+def split_mailbox(data: bytes) -> list[bytes]:
+    """A mailbox's messages: each from after its "From " line to the next one. What stands before the first is left out."""
+    records = (b"\n" + data).split(b"\n" + ENVELOPE)[1:]
+    return [r.partition(b"\n")[2] for r in records]
 
 
 def parse_mail(files: DataFrame) -> DataFrame:
-    """Messages of mail files and mailboxes (file_id, name, content, kind: eml or mbox)."""
+    """Messages of mail files and mailboxes whose bytes are at hand (file_id, name, content, kind: eml or mbox)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, FILES):
-                rows = []
-                for file_id, name, content, kind in zip(*(c.to_pylist() for c in batch.slice(k, FILES).columns), strict=True):
-                    parts = split_mailbox(content or b"") if kind == "mbox" else [content or b""]
-                    rows += [(file_id, name, i, *fields_of(p)) for i, p in enumerate(parts)]
-                if rows:
-                    clean = [[x.encode("utf-8", "replace").decode() if isinstance(x, str) else x for x in c] for c in zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(clean, KINDS, strict=True)], MESSAGE_FIELDS)
+            for file_id, name, content, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = split_mailbox(content or b"") if kind == "mbox" else [content or b""]
+                for k in range(0, len(parts), AT_ONCE):
+                    yield _batch([(file_id, name, k + j, p) for j, p in enumerate(parts[k : k + AT_ONCE])])
 
     return files.select("file_id", "name", "content", "kind").mapInArrow(run, MESSAGE)
+
+
+def mailbox_records(spark: SparkSession, directory: str, recursive: bool, pattern: str) -> DataFrame:
+    """path, msg_idx, data: the messages of a directory's mailboxes, read in byte ranges."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).option("lineSep", "\n" + ENVELOPE.decode())
+    rows = reader.text(directory if recursive else f"{directory.rstrip('/')}/*")
+    rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
+    rows = ranked(rows, ["path", "range", "place"])
+    first = rows.groupBy("path").agg(F.min("ordinal").alias("first"))
+    rows = rows.join(first, "path").withColumn("at", F.col("ordinal") - F.col("first"))
+    # A file's first record has no line break before it: it is a message if it begins like one, else it is left out.
+    head = F.expr(f"substring(cast(value as binary), 1, {len(ENVELOPE)})") == F.lit(ENVELOPE)
+    opens = rows.where("at = 0").select("path", head.alias("opens"))
+    rows = rows.join(opens, "path").where("at > 0 or opens")
+    data = F.expr("cast(value as binary)")
+    return rows.select("path", (F.col("at") - F.when(F.col("opens"), 0).otherwise(1)).cast("int").alias("msg_idx"), data.alias("data"))
+
+
+def parse_mailboxes(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Messages of mailbox_records() whose path is in files (path, name, file_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                rows = zip(*(c.to_pylist() for c in batch.slice(k, AT_ONCE).columns), strict=True)
+                yield _batch([(i, n, at, (data or b"").partition(b"\n")[2]) for i, n, at, data in rows])
+
+    return records.join(files, "path").select("file_id", "name", "msg_idx", "data").mapInArrow(run, MESSAGE)

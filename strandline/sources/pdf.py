@@ -1,4 +1,7 @@
-"""Text of simple PDFs: content streams with text operators, plain or deflated. No fonts, no encryption, no layout."""
+"""Text of simple PDFs: content streams with text operators, plain or deflated. No fonts, no encryption, no layout.
+
+A content stream is read as lexical elements; strings are operands, and a table says what an operator does to the page.
+"""
 
 from __future__ import annotations
 
@@ -13,73 +16,88 @@ from pyspark.sql import DataFrame
 MOST_INFLATED = 64 << 20
 LEAST_TEXT = 16
 
+# How the format marks streams, elements of a content stream, pieces of a string and escapes.
 STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-#: A token of a content stream: a string's beginning, a hex string or an operator.
-TOKEN = re.compile(r"\(|<(?!<)([^>]*)>|([A-Za-z'\"*][A-Za-z'\"*0]*)")
-ESCAPE = re.compile(r"\\(?:([0-9]{1,3})|(\n)|(.))", re.S)
-PLAIN = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+ELEMENT = re.compile(r"(?P<string>\()|<(?P<hex>[^<>]*)>|(?P<operator>[A-Za-z'\"*][A-Za-z'\"*0]*)")
+PIECE = re.compile(r"\\(?P<octal>[0-9]{1,3})|\\(?P<escaped>.)|(?P<bracket>[()])|(?P<plain>[^()\\]+)", re.S)
+CONTROLS = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": ""}
 
 
-def inflate(data: bytes) -> bytes:
-    """The data inflated, MOST_INFLATED bytes at most; as it is if it isn't deflated."""
-    try:
-        return zlib.decompressobj().decompress(data, MOST_INFLATED)
-    except zlib.error:
-        return data
+class Page:
+    """What a content stream shows: rows of text, the last of which is being written, and the operands that wait."""
+
+    def __init__(self) -> None:
+        self.rows, self.operands = [""], []
+
+    def show(self) -> None:
+        self.rows[-1] += "".join(self.operands)
+        self.operands.clear()
+
+    def move(self) -> None:
+        self.show()
+        self.rows.append("")
+
+    def move_and_show(self) -> None:
+        self.rows.append("")
+        self.show()
 
+    def text(self) -> str:
+        self.show()
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(r.rstrip() for r in self.rows)).strip()
 
-def unescape(literal: str) -> str:
-    def one(m: re.Match) -> str:
-        if m[1]:
-            return chr(int(m[1], 8)) if set(m[1]) <= set("01234567") else ""
-        return "" if m[2] else PLAIN.get(m[3], m[3])
 
-    return ESCAPE.sub(one, literal)
+OPERATORS = {"Tj": Page.show, "TJ": Page.show, "'": Page.move_and_show, '"': Page.move_and_show, "Td": Page.move, "TD": Page.move, "T*": Page.move, "ET": Page.move}
 
 
-def literal_end(s: str, at: int) -> int:
-    """Where the string that begins before `at` ends: at its closing parenthesis, nested ones and escapes considered."""
-    depth = 1
-    for m in re.compile(r"\\.|[()]", re.S).finditer(s, at):
-        depth += {"(": 1, ")": -1}.get(m[0], 0)
-        if not depth:
-            return m.start()
-    return len(s)
+def literal(s: str, at: int) -> tuple[str, int]:
+    """The string that begins at `at`, behind its opening bracket, and the place behind its closing one."""
+    out, depth = [], 1
+    for m in PIECE.finditer(s, at):
+        if m["bracket"]:
+            depth += 1 if m["bracket"] == "(" else -1
+            if not depth:
+                return "".join(out), m.end()
+            out.append(m["bracket"])
+        elif m["octal"]:
+            out.append(chr(int(m["octal"], 8)) if not re.search("[89]", m["octal"]) else "")
+        else:
+            out.append(m["plain"] or CONTROLS.get(m["escaped"], m["escaped"]))
+    return "".join(out), len(s)
+
+
+def from_hex(digits: str) -> str:
+    """The bytes of a hex string, a missing last digit as 0; nothing if it isn't one."""
+    digits = re.sub(r"\s", "", digits)
+    return bytes.fromhex(digits + "0" * (len(digits) % 2)).decode("latin-1") if re.fullmatch("[0-9A-Fa-f]*", digits) else ""
 
 
 def stream_text(data: bytes) -> str:
     """The text that a content stream shows, a line for each move of the text position."""
-    if b"Tj" not in data and b"TJ" not in data:
-        return ""
-    s, at = data.decode("latin-1"), 0
-    lines: list[str] = []
-    line, waiting = "", ""
-    while m := TOKEN.search(s, at):
+    page, s, at = Page(), data.decode("latin-1"), 0
+    while b"T" in data and (m := ELEMENT.search(s, at)):
         at = m.end()
-        if m[0] == "(":
-            end = literal_end(s, at)
-            waiting += unescape(s[at:end])
-            at = end + 1
-        elif m[1] is not None:
-            digits = re.sub(r"\s", "", m[1])
-            if re.fullmatch("[0-9A-Fa-f]*", digits):
-                waiting += bytes.fromhex(digits + "0" * (len(digits) % 2)).decode("latin-1")
-        elif m[2] in ("Tj", "TJ"):
-            line, waiting = line + waiting, ""
-        elif m[2] in ("'", '"'):
-            lines.append(line.rstrip())
-            line, waiting = waiting, ""
-        elif m[2] in ("Td", "TD", "T*", "ET"):
-            lines.append((line + waiting).rstrip())
-            line = waiting = ""
-    if line or waiting:
-        lines.append((line + waiting).rstrip())
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+        if m["string"]:
+            value, at = literal(s, at)
+            page.operands.append(value)
+        elif m["hex"] is not None:
+            page.operands.append(from_hex(m["hex"]))
+        elif m["operator"] in OPERATORS:
+            OPERATORS[m["operator"]](page)
+    return page.text()
+
+
+def inflate(data: bytes) -> bytes:
+    """The data inflated, MOST_INFLATED bytes at most; as it is if it isn't deflated."""
+    try:
+        return zlib.decompressobj().decompress(data, MOST_INFLATED)
+    except zlib.error:
+        return data
 
 
 def pdf_text(data: bytes) -> str:
-    parts = (stream_text(inflate(m[1])) for m in STREAM.finditer(data))
-    return "\n".join(p for p in parts if p).strip()
+    """The text of all content streams that show any."""
+    streams = (inflate(m[1]) for m in STREAM.finditer(data))
+    return "\n".join(t for x in streams if re.search(rb"T[jJ]", x) and (t := stream_text(x))).strip()
 
 
 def read_pdf(files: DataFrame) -> DataFrame:
