@@ -5,6 +5,7 @@ All stay on the JVM. `let` names a value that an expression uses more than once,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from html.entities import html5
 
@@ -224,12 +225,18 @@ def safe_name(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(base, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", ""), F.lit("")), F.lit("upload"))
 
 
+def local_path(path: Column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^file:/+", "/")
+
+
 def href_for(path: Column, directory: str, link_base: str | None = None) -> Column:
-    """A link to a source file: below link_base if there is one, else a file URL."""
+    """A link to a source file: below link_base if there is one, else a file URL; paths of other file systems as they are."""
+    plain, top = local_path(path), re.sub("^file:/+", "/", directory.rstrip("/")) + "/"
     if link_base:
-        inside = F.when(F.startswith(path, F.lit(directory.rstrip("/") + "/")), F.substr(path, F.lit(len(directory.rstrip("/")) + 2))).otherwise(path)
+        inside = F.when(F.startswith(plain, F.lit(top)), F.substr(plain, F.lit(len(top) + 1))).otherwise(plain)
         return F.concat(F.lit(link_base.rstrip("/") + "/"), inside)
-    return F.concat(F.lit("file:///"), F.regexp_replace(path, r"\\", "/"))
+    return F.when(plain.rlike("^[a-z0-9]+://"), plain).otherwise(F.concat(F.lit("file:///"), F.regexp_replace(plain, "^/", "")))
 
 
 def decode_entities(c: Column) -> Column:

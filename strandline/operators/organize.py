@@ -6,6 +6,7 @@ called once for each batch of messages on the driver, as a service would be.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,60 @@ from strandline.operators.ranking import ranked
 from strandline.operators.timeline import CONVERSATION_COLORS, GREY
 
 UNCATEGORIZED = "uncategorized"
+MOST_OUTPUT = 16_000
+_TEXT = {"type": "string"}
+
+
+def _object(**fields: dict) -> dict:
+    return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+
+
+#: What an answer must look like.
+ANSWER = _object(title=_TEXT, categories={"type": "array", "items": _object(id=_TEXT, label=_TEXT)}, assignments={"type": "array", "items": _object(id=_TEXT, category=_TEXT, importance={"type": "integer"}, summary=_TEXT)})
+TASK = (
+    "Sort these messages into a timeline. Name three to eight categories by subject or line of work, not by sender. Give each message one category, an importance from 0 (routine) to 3 (a milestone "
+    "or decision) and a neutral summary of one line. Add nothing that the messages don't say."
+)
 
 
 class ClassifierError(ValueError):
     """No messages, no classifier or an answer of the wrong shape."""
 
 
+def build_request(messages: list[dict], model: str) -> dict:
+    """The body that a chat service with structured output is sent for these messages."""
+    asked = "The messages as a JSON array; answer for every id.\n\n" + json.dumps(messages, ensure_ascii=False)
+    return {"model": model, "max_tokens": MOST_OUTPUT, "system": TASK, "messages": [{"role": "user", "content": asked}], "output_config": {"format": {"type": "json_schema", "schema": ANSWER}}}
+
+
+def parse_response(response: dict) -> dict:
+    """The answer in a service's response: {title, categories, assignments}. Raises ClassifierError if it is cut off, has no text, is no JSON or has another shape."""
+    if response.get("stop_reason") == "max_tokens":
+        raise ClassifierError("the answer was cut off: there were too many messages for one request")
+    said = next((b.get("text") for b in response.get("content") or [] if b.get("type") == "text" and b.get("text")), None)
+    if said is None:
+        raise ClassifierError("the response holds no text")
+    try:
+        answer = json.loads(said)
+    except ValueError as error:
+        raise ClassifierError(f"the response's text is no JSON: {error}") from error
+    return checked(answer)
+
+
+def checked(answer: object) -> dict:
+    if not isinstance(answer, dict) or not isinstance(answer.get("categories"), list) or not isinstance(answer.get("assignments"), list):
+        raise ClassifierError("the answer must have the lists categories and assignments")
+    return answer
+
+
+def service(transport: Callable[[dict], dict] | None, model: str) -> Callable[[list[dict]], dict] | None:
+    """A classifier over a service: transport sends a request's body and returns the response. None without a transport."""
+    return None if transport is None else lambda messages: parse_response(transport(build_request(messages, model)))
+
+
 def classifier_inputs(unique: DataFrame) -> DataFrame:
     """id (e1, e2, ... by time), date, from, subject, snippet, and the message's columns."""
-    rows = ranked(unique.withColumn("__f", F.col("first_seen.file_id")).withColumn("__i", F.col("first_seen.msg_idx")), ["ts", "__f", "__i"]).drop("__f", "__i")
+    rows = ranked(unique, ["ts", "first_seen"])
     return rows.select(
         F.concat(F.lit("e"), F.col("ordinal").cast("string")).alias("id"), X.iso_date(F.col("timestamp")).alias("date"), X.display_name(F.col("sender")).alias("from"), X.strip(X.text(F.col("subject"))).alias("title"),
         X.snippet(F.col("body"), 160).alias("snippet"), (F.col("ordinal") - 1).alias("pos"), *[F.col(c) for c in unique.columns if c not in ("id", "date", "from", "title", "snippet", "pos")],
@@ -39,9 +85,7 @@ def classify_messages(inputs: DataFrame, classify: Callable[[list[dict]], dict]
 
     def ask() -> None:
         nonlocal title
-        answer = classify(waiting)
-        if not isinstance(answer, dict) or not isinstance(answer.get("categories"), list) or not isinstance(answer.get("assignments"), list):
-            raise ClassifierError("the answer must have the lists categories and assignments")
+        answer = checked(classify(waiting))
         title = title or answer.get("title")
         for c in answer["categories"]:
             categories.setdefault(str(c.get("id") or c.get("label")), c)
@@ -71,6 +115,16 @@ def classification_frames(spark: SparkSession, answer: dict) -> tuple[DataFrame,
     return categories, spark.createDataFrame(given, "id string, category string, importance int, summary string, seq int")
 
 
+def categorized_events(inputs: DataFrame, categories: DataFrame, assignments: DataFrame, directory: str = "", link_base: str | None = None) -> DataFrame:
+    """assemble() as timeline events: one tab, a group for each category, links to the sources (column path of inputs)."""
+    rows = assemble(inputs, categories, assignments)
+    source = F.struct(F.lit("email").alias("type"), F.lit("Open thread").alias("label"), X.href_for(F.col("path"), directory, link_base).alias("href"))
+    return rows.select(
+        F.lit("organized").alias("tab"), (F.col("group_ordinal") * (1 << 40) + F.col("pos")).alias("pos"), F.col("category").alias("group_id"), F.col("category_label").alias("group_label"), F.col("group_ordinal").alias("group_pos"),
+        "date", F.coalesce(F.nullif("title", F.lit("")), F.lit("(no subject)")).alias("title"), "category", F.col("from").alias("badge"), X.parties(F.col("sender"), F.col("recipient")).alias("parties"), "summary", "importance", "attachments", source.alias("source"),
+    )
+
+
 def assemble(inputs: DataFrame, categories: DataFrame, assignments: DataFrame) -> DataFrame:
     """Events by category: inputs with category, category_label, color, importance, summary and group_ordinal.
 

@@ -41,7 +41,7 @@ def message_events(unique: DataFrame, tab: str = "timeline", directory: str = ""
     subjects without prefixes, told apart by slug: the label is that of the first message.
     """
     own_tab = F.col(tab_col) if tab_col else F.lit(tab)
-    rows = ranked(unique.withColumn("tab", own_tab).withColumn("f_id", F.col("first_seen.file_id")).withColumn("f_idx", F.col("first_seen.msg_idx")), ["tab", "ts", "f_id", "f_idx"]).withColumn("pos", F.col("ordinal") - 1)
+    rows = ranked(unique.withColumn("tab", own_tab), ["tab", "ts", "first_seen"]).withColumn("pos", F.col("ordinal") - 1)
     topic = F.coalesce(_none(X.base_subject(F.col("subject"))), F.lit("(no subject)"))
     rows = rows.withColumn("topic", topic).withColumn("group_id", X.slug(F.col("topic")))
     first = rows.groupBy("tab", "group_id").agg(F.min("pos").alias("group_pos"), F.min_by("topic", "pos").alias("group_label"))
@@ -73,7 +73,8 @@ def flatten_document(document: DataFrame) -> DataFrame:
     tabs = document.select(F.posexplode("tabs").alias("tab_no", "t"))
     groups = tabs.select("tab_no", F.coalesce("t.id", F.format_string("tab%d", F.col("tab_no") + 1)).alias("tab"), F.posexplode("t.groups").alias("group_no", "g"))
     events = groups.select("tab", "tab_no", "group_no", X.slug(F.coalesce(_none(X.text(F.col("g.id"))), F.col("g.label"), F.lit(""))).alias("group_id"), F.col("g.label").alias("group_label"), F.col("g.category").alias("group_category"), F.posexplode("g.events").alias("event_no", "e"))
-    return events.select("tab", (F.col("tab_no").cast("long") * 10**12 + F.col("group_no").cast("long") * 10**6 + F.col("event_no")).alias("pos"), "group_id", "group_label", "group_category", "e.*")
+    rows = ranked(events, ["tab_no", "group_no", "event_no"])
+    return rows.select("tab", (F.col("ordinal") - 1).alias("pos"), "group_id", "group_label", "group_category", "e.*")
 
 
 def flatten_array(events: DataFrame, summary_from_description: bool = False) -> DataFrame:
@@ -158,21 +159,73 @@ def tab_stats(events: DataFrame, label: str = "category_label") -> DataFrame:
     return totals.join(per_tab, "tab").select("tab", "total", "first_date", "last_date", "n_categories", "n_key", "busiest")
 
 
+# The wording of a tab's overview and of a filtered view.
+OVERVIEW = {
+    "none": "No events in this view.", "opening": "This timeline tracks %d event%s%s.", "span": " spanning %s", "tracks": " Work splits across %d tracks — %s — led by %s.",
+    "keys": " Key milestones: %s%s.", "more": " and %d more", "untitled": " %d event%s flagged as key.",
+}
+VIEW = {
+    "none": "No events match the current filters.", "filtered": "Filtered to %s: showing ", "all": "Showing ", "opening": "%d of %d events%s. ", "several": "Breakdown: %s. ", "one": "All in %s. ",
+    "keys": "Key milestone%s: %s%s.", "more": ", +%d more", "no_keys": "No key milestones in this selection.",
+}
+
+
+def _plural(n: Column) -> Column:
+    return F.when(n == 1, F.lit("")).otherwise(F.lit("s"))
+
+
+def _breakdown(events: DataFrame, label: str, busiest_first: bool) -> DataFrame:
+    """tab, parts: "label (n)" of a tab's categories, by first appearance or by size."""
+    said = F.concat("label", F.lit(" ("), "n", F.lit(")")).alias("said")
+    order = F.struct((-F.col("n") if busiest_first else F.lit(0)).alias("size"), "first_pos", said)
+    return category_counts(events, label).groupBy("tab").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["said"]), ", ").alias("parts"))
+
+
+def _milestones(events: DataFrame, most: int) -> DataFrame:
+    """tab, shown (the titles of the first `most` key events), n_shown, n_titled."""
+    titled = events.where(F.coalesce("title", F.lit("")) != "")
+    first = key_events(titled, most).groupBy("tab").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("k"))
+    count = titled.where(F.coalesce("importance", F.lit(0)) >= KEY).groupBy("tab").agg(F.count(F.lit(1)).alias("n_titled"))
+    shown = F.array_join(F.transform("k", lambda e: F.concat(F.lit("“"), e["title"], F.lit("”"))), "; ")
+    return first.join(count, "tab").select("tab", shown.alias("shown"), F.size("k").alias("n_shown"), "n_titled")
+
+
 def overview(events: DataFrame, label: str = "category_label", most: int = 4) -> DataFrame:
     """tab, text: a sentence or two on what a tab holds."""
-    stats = tab_stats(events, label)
-    parts = category_counts(events, label).groupBy("tab").agg(F.array_sort(F.collect_list(F.struct("first_pos", F.concat("label", F.lit(" ("), "n", F.lit(")")).alias("said")))).alias("x"))
-    titles = key_events(events, most).where("title <> ''").groupBy("tab").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("k"))
-    rows = stats.join(parts, "tab", "left").join(titles, "tab", "left")
-    s = lambda n: F.when(n == 1, F.lit("")).otherwise(F.lit("s"))
-    opening = F.concat(F.lit("This timeline tracks "), "total", F.lit(" event"), s(F.col("total")), F.when(F.col("first_date").isNull(), F.lit("")).otherwise(F.concat(F.lit(" spanning "), span(F.col("first_date"), F.col("last_date"), " – "))), F.lit("."))
-    tracks = F.when(F.col("n_categories") > 1, F.concat(F.lit(" Work splits across "), "n_categories", F.lit(" tracks — "), F.array_join(F.transform("x", lambda e: e["said"]), ", "), F.lit(" — led by "), "busiest", F.lit("."))).otherwise(F.lit(""))
-    shown = F.array_join(F.transform("k", lambda e: F.concat(F.lit("“"), e["title"], F.lit("”"))), "; ")
-    rest = F.col("n_key") - F.size("k")
-    keys = F.when(F.size("k") > 0, F.concat(F.lit(" Key milestones: "), shown, F.when(rest > 0, F.concat(F.lit(" and "), rest, F.lit(" more"))).otherwise(F.lit("")), F.lit("."))).otherwise(F.lit(""))
+    rows = tab_stats(events, label).join(_breakdown(events, label, False), "tab", "left").join(_milestones(events, most), "tab", "left")
+    dates = F.when(F.col("first_date").isNull(), F.lit("")).otherwise(F.format_string(OVERVIEW["span"], span(F.col("first_date"), F.col("last_date"), " – ")))
+    opening = F.format_string(OVERVIEW["opening"], "total", _plural(F.col("total")), dates)
+    tracks = F.when(F.col("n_categories") > 1, F.format_string(OVERVIEW["tracks"], "n_categories", "parts", "busiest")).otherwise(F.lit(""))
+    rest = F.col("n_titled") - F.col("n_shown")
+    more = F.when(rest > 0, F.format_string(OVERVIEW["more"], rest)).otherwise(F.lit(""))
+    untitled = F.when(F.col("n_key") > 0, F.format_string(OVERVIEW["untitled"], "n_key", _plural(F.col("n_key")))).otherwise(F.lit(""))
+    keys = F.when(F.col("n_titled") > 0, F.format_string(OVERVIEW["keys"], "shown", more)).otherwise(untitled)
     return rows.select("tab", F.concat(opening, tracks, keys).alias("text"))
 
 
+def view_overview(events: DataFrame, view: DataFrame, filters: str = "", label: str = "category_label", most: int = 6) -> DataFrame:
+    """tab, n, total, span, n_categories, n_key, text: what a filtered view of each tab holds. filters: what it is filtered to."""
+    every = events.groupBy("tab").agg(F.count(F.lit(1)).alias("all_events"))
+    rows = every.join(tab_stats(view, label), "tab", "left").join(_breakdown(view, label, True), "tab", "left").join(_milestones(view, most), "tab", "left")
+    dates = F.when(F.col("first_date").isNull(), F.lit("")).otherwise(F.concat(X.long_date(F.col("first_date")), F.lit(" – "), X.long_date(F.col("last_date"))))
+    n, key = F.coalesce("total", F.lit(0)), F.coalesce("n_key", F.lit(0))
+    opening = F.concat(F.format_string(VIEW["filtered"], F.lit(filters)) if filters else F.lit(VIEW["all"]), F.format_string(VIEW["opening"], n, "all_events", F.when(dates != "", F.concat(F.lit(", "), dates)).otherwise(F.lit(""))))
+    parts = F.when(F.col("n_categories") > 1, F.format_string(VIEW["several"], "parts")).otherwise(F.format_string(VIEW["one"], "busiest"))
+    rest = F.col("n_titled") - F.col("n_shown")
+    more = F.when(rest > 0, F.format_string(VIEW["more"], rest)).otherwise(F.lit(""))
+    keys = F.when(key > 0, F.format_string(VIEW["keys"], _plural(key), F.coalesce("shown", F.lit("")), F.coalesce(more, F.lit("")))).otherwise(F.lit(VIEW["no_keys"]))
+    text = F.when(n == 0, F.lit(VIEW["none"])).otherwise(F.concat(opening, parts, keys))
+    return rows.select("tab", n.alias("n"), F.col("all_events").alias("total"), dates.alias("span"), F.coalesce("n_categories", F.lit(0)).alias("n_categories"), key.alias("n_key"), text.alias("text"))
+
+
+def tab_labels(tabs: DataFrame, folder_col: str = "folder") -> DataFrame:
+    """folder, label, heading: tabs in order of their folders' names, numbered where there are several."""
+    rows = ranked(tabs.select(F.col(folder_col).alias("folder")).distinct(), ["folder"])
+    several = rows.agg(F.count(F.lit(1)).alias("n_tabs"))  # one row
+    heading = X.tab_label(F.col("folder"))
+    return rows.crossJoin(F.broadcast(several)).select("folder", F.when(F.col("n_tabs") > 1, F.format_string("%d. %s", "ordinal", heading)).otherwise(heading).alias("label"), heading.alias("heading"))
+
+
 def phase_buckets(events: DataFrame) -> DataFrame:
     """tab, group_id, phase (null: unlabelled), ordinal from 0, n_events, first_date, last_date: phases by first appearance."""
     rows = events.withColumn("__p", X.text(F.col("phase"))).withColumn("__d", X.event_date(F.col("date")))

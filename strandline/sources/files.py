@@ -127,14 +127,18 @@ def read_messages(spark: SparkSession, directory: str, recursive: bool = False,
 
 
 def uploads(spark: SparkSession, records: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """(files with content, skipped names) of upload records {name, content, encoding}: base64 content is decoded, names
-    are made safe, of equal names the last counts, other kinds of files are skipped."""
-    rows = spark.createDataFrame([(k, r.get("name"), r.get("content"), r.get("encoding")) for k, r in enumerate(records)], "place long, raw string, content string, encoding string")
-    rows = rows.withColumn("name", X.safe_name(F.col("raw")))
-    good = extension(F.col("name")).isin(*EXTENSIONS, "pdf")
-    body = F.when(F.col("encoding") == "base64", F.unbase64("content")).otherwise(F.col("content").cast("binary"))
-    last = rows.where(good).groupBy("name").agg(F.max_by(F.struct("place", body.alias("content")), "place").alias("row"))
-    return last.select(F.col("row.place").alias("file_id"), "name", F.col("name").alias("path"), "row.content"), rows.where(~good).select("name")
+    """(file_id, name, path, content; names that were skipped) of upload records {name, content, encoding}.
+
+    base64 content is decoded, names are made safe, of equal names the last counts. Other kinds of files and content that
+    is no base64 are skipped. file_id: the order of names, PDFs after all others.
+    """
+    rows = spark.createDataFrame([(k, r.get("name"), r.get("content"), r.get("encoding")) for k, r in enumerate(records)], "place long, raw string, text string, encoding string")
+    body = F.when(F.col("encoding") == "base64", F.try_to_binary(F.coalesce("text", F.lit("")), F.lit("base64"))).otherwise(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = rows.withColumn("name", X.safe_name(F.col("raw"))).withColumn("content", body)
+    good = extension(F.col("name")).isin(*EXTENSIONS, "pdf") & F.col("content").isNotNull()
+    last = rows.where(good).groupBy("name").agg(F.max_by("content", "place").alias("content")).withColumn("late", extension(F.col("name")) == "pdf")
+    files = ranked(last, ["late", "name"])
+    return files.select((F.col("ordinal") - 1).alias("file_id"), "name", F.col("name").alias("path"), "content"), rows.where(~good).select(F.coalesce("raw", "name").alias("name"))
 
 
 def empty_messages(spark: SparkSession) -> DataFrame:

@@ -175,7 +175,8 @@ def mailbox_records(spark: SparkSession, directory: str, recursive: bool, patter
     """path, msg_idx, data: the messages of a directory's mailboxes, read in byte ranges."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).option("lineSep", "\n" + ENVELOPE.decode())
     rows = reader.text(directory if recursive else f"{directory.rstrip('/')}/*")
-    rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as the lists of files have it
+    rows = rows.select("value", path.alias("path"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
     rows = ranked(rows, ["path", "range", "place"])
     first = rows.groupBy("path").agg(F.min("ordinal").alias("first"))
     rows = rows.join(first, "path").withColumn("at", F.col("ordinal") - F.col("first"))
