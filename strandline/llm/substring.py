@@ -31,6 +31,8 @@ from strandline.scratch import drop, table
 WINDOW, PERIOD = 35, 21
 #: Keys shared by different texts that are broadcast at most; more of them are joined by a shuffle.
 MOST_SHARED = 100_000
+#: Hashed positions: the text's key, the hash and _pack()'s number.
+ROWS = "key long, h long, z long"
 #: Multipliers of the two rolling hashes, odd.
 _B = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _B], np.uint64)
@@ -68,14 +70,16 @@ class Hasher:
                     steps[0] = 1
                     tables[k] = np.cumprod(steps, dtype=np.uint64)
 
-    def prefix(self, words: list[bytes], which: int) -> np.ndarray:
-        """Sums over the first words, from which each window's hash follows."""
-        self._grow(len(words) + 1)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+    def word_hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+
+    def prefix(self, h: np.ndarray, which: int) -> np.ndarray:
+        """Sums over the first words' hashes, from which each window's hash follows."""
+        self._grow(len(h) + 1)
         if which:
             h = mix64(h + np.uint64(0xD6E8FEB86659FD93))
-        out = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(h * self.powers[which][: len(words)], out=out[1:])
+        out = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * self.powers[which][: len(h)], out=out[1:])
         return out
 
     def hashes(self, prefix: np.ndarray, starts: np.ndarray, n: int, which: int) -> np.ndarray:
@@ -135,10 +139,12 @@ class Meetings:
         self.hash, self.seen = np.zeros((1 << bits, 2), np.int64), np.zeros(1 << bits, np.int8)
 
     def rows(self, keys: list, at: list, hs: list, h2s: list | None = None) -> pa.RecordBatch:
-        """A batch key, at, h, (h2,) known of hashed positions."""
-        key, place, h = np.concatenate(keys), np.concatenate(at).astype(np.int32), np.concatenate(hs)
-        h2 = np.concatenate(h2s) if h2s is not None else np.zeros(len(h), np.int32)
-        order = np.lexsort((h2, h))
+        """A batch key, h, z of hashed positions."""
+        key, place, h = np.concatenate(keys), np.concatenate(at), np.concatenate(hs)
+        h2 = np.concatenate(h2s) if h2s is not None else np.zeros(len(h), np.int64)
+        order = np.argsort(h)
+        if ((h[order][1:] == h[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
+            order = np.lexsort((h2, h))
         first = np.ones(len(h), bool)
         first[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         heads = np.nonzero(first)[0]
@@ -148,15 +154,16 @@ class Meetings:
         before = np.where((self.hash[slot, 0] == h[lead]) & (self.hash[slot, 1] == h2[lead]), self.seen[slot], 0)
         self.hash[slot, 0], self.hash[slot, 1] = h[lead], h2[lead]
         self.seen[slot] = np.where((before > 0) | several, 2, 1)
-        known = (~first).copy()
-        known[heads] = several | (before > 0)
-        goes = np.zeros(len(h), bool)
-        goes[heads] = before < 2
-        known_at, goes_at = np.empty(len(h), bool), np.empty(len(h), bool)
-        known_at[order], goes_at[order] = known, goes
-        h = np.where(goes_at, h, _spread(key, place))
-        columns = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64())] + ([pa.array(h2, pa.int32())] if h2s is not None else [])
-        return pa.RecordBatch.from_arrays([*columns, pa.array(known_at)], ["key", "at", "h", *["h2"] * (h2s is not None), "known"])
+        known, spread = np.ones(len(h), bool), np.ones(len(h), bool)
+        known[lead] = several | (before > 0)
+        spread[lead] = before == 2
+        h = np.where(spread, _spread(key, place), h)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.int64()), pa.array(_pack(place, h2, known), pa.int64())], ["key", "h", "z"])
+
+
+def _pack(place: np.ndarray, h2: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """A position, 31 bits of a second hash and whether it is known to be repeated, as one number: a short row sorts fast."""
+    return place.astype(np.int64) << 32 | h2 << 1 | known
 
 
 def _gather_runs(rows: DataFrame) -> DataFrame:
@@ -189,50 +196,54 @@ def _gather_runs(rows: DataFrame) -> DataFrame:
         if done:
             yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
 
-    return rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, "key long, first array<int>, length array<int>")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, first array<int>, length array<int>")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """Rows of Meetings.rows() -> key, at of those that are known to be repeated or whose hash occurs more than once.
 
-    Rows are sorted by hash and run through; a run needs the memory of a batch, however long it is. Copies of a text give
-    the same place under the same hash: of these one goes on from each batch.
+    Rows are sorted by the first hash and run through; a run needs the memory of a batch, however long it is. Copies of a
+    text give the same place under the same hash: of these one goes on from each batch.
     """
-    exact = "h2" in rows.columns
-    by = ["h", "h2"] if exact else ["h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before: (hash, key, at) and whether it has been given out
-
+        last, tail = None, {}  # the last first hash; second hash: one row of it (key, at) that hasn't been given out, or None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hs = [batch.column(2).to_numpy()] + ([batch.column(3).to_numpy()] if exact else [])
-            key, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            same = np.ones(len(key) - 1, bool)
-            for h in hs:
-                same &= h[1:] == h[:-1]
-            hit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
+            key, h, z = (c.to_numpy() for c in batch.columns)
+            at, h2, hit = z >> 32, z >> 1 & 0x7FFFFFFF, z & 1 == 1
+            if ((h[1:] == h[:-1]) & (h2[1:] != h2[:-1])).any():  # different words under one first hash: side by side by the second
+                order = np.lexsort((h2, h))
+                key, h, at, h2, hit = key[order], h[order], at[order], h2[order], hit[order]
+            same = (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])
             hit[1:] |= same
             hit[:-1] |= same
-            head = tuple(int(h[0]) for h in hs)
-            extra = None
-            if last and last[0] == head:
-                hit[0] = True
-                if not last[3]:
-                    extra = last[1], last[2]
+            extra = []
+            if last == h[0]:
+                begin = int(np.searchsorted(h, h[0], "right"))
+                for other in np.unique(h2[:begin]).tolist():
+                    if other in tail:
+                        hit[:begin] |= h2[:begin] == other
+                        if tail[other]:
+                            extra.append(tail[other])
+                            tail[other] = None
             out_key, out_at = key[hit], at[hit]
-            if (hit[1:] & same).any():
+            if same.any():
                 order = np.lexsort((out_at, out_key))
                 new = np.ones(len(order), bool)
                 new[1:] = (np.diff(out_key[order]) != 0) | (np.diff(out_at[order]) != 0)
                 out_key, out_at = out_key[order][new], out_at[order][new]
             if extra:
-                out_key, out_at = np.append(out_key, extra[0]), np.append(out_at, extra[1])
-            last = tuple(int(h[-1]) for h in hs), int(key[-1]), int(at[-1]), bool(hit[-1])
+                out_key, out_at = np.append(out_key, [k for k, _ in extra]), np.append(out_at, [a for _, a in extra])
+            if last != h[-1]:
+                last, tail = int(h[-1]), {}
+            end = int(np.searchsorted(h, h[-1], "left"))
+            for k in np.unique(h2[end:], return_index=True)[1].tolist():
+                tail.setdefault(int(h2[end + k]), None if hit[end + k] else (int(key[end + k]), int(at[end + k])))
             yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_at, pa.int32())], ["key", "at"])
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "key long, at int")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "key long, at int")
 
 
 class Twice:
@@ -263,7 +274,7 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
                 if len(starts):
                     keys.append(np.full(len(starts), key))
                     at.append(starts)
-                    hs.append(hasher.hashes(hasher.prefix(words, 0), starts, hasher.anchor, 0).view(np.int64))
+                    hs.append(hasher.hashes(hasher.prefix(hasher.word_hashes(words), 0), starts, hasher.anchor, 0).view(np.int64))
             if keys:
                 yield meetings.rows(keys, at, hs)
 
@@ -276,17 +287,18 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD
                     continue
                 words = text.split()
                 starts = hasher.extend(_expand(first, length), len(words))
+                each = hasher.word_hashes(words)
                 keys.append(np.full(len(starts), key))
                 at.append(starts)
-                hs.append(hasher.hashes(hasher.prefix(words, 0), starts, window, 0).view(np.int64))
-                h2s.append((hasher.hashes(hasher.prefix(words, 1), starts, window, 1) >> np.uint64(33)).astype(np.int32))
+                hs.append(hasher.hashes(hasher.prefix(each, 0), starts, window, 0).view(np.int64))
+                h2s.append((hasher.hashes(hasher.prefix(each, 1), starts, window, 1) >> np.uint64(33)).astype(np.int64))
             if keys:
                 yield meetings.rows(keys, at, hs, h2s)
 
-    found = _repeated(texts.select("key", "text").mapInArrow(anchors, "key long, at int, h long, known boolean"))
+    found = _repeated(texts.select("key", "text").mapInArrow(anchors, ROWS))
     found = table(_gather_runs(found), "anchors")
     held = texts.select("key", "text").join(found, "key")
-    exact = _repeated(held.mapInArrow(windows, "key long, at int, h long, h2 int, known boolean"))
+    exact = _repeated(held.mapInArrow(windows, ROWS))
     return table(_gather_runs(exact), "repeated")
 
 

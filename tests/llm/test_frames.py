@@ -196,6 +196,23 @@ def test_substring_dedup_over_many_batches(spark, key_bits):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == sorted(expected)
 
 
+def test_substring_rows_that_share_a_first_hash(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.randrange(40), r.randrange(9), r.randrange(30), r.randrange(3), r.random() < 0.05) for _ in range(300)]
+    rows += [(50 + k, 100 + k, k, 0, False) for k in range(40)]
+    count = collections.Counter((h, h2) for _, h, _, h2, _ in rows)
+    expected = {(key, at) for key, h, at, h2, known in rows if known or count[h, h2] > 1}
+    packed = [(key, h, int(substring._pack(np.array([at]), np.array([h2]), np.array([known]))[0])) for key, h, at, h2, known in rows]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = {(x.key, x.at) for x in substring._repeated(spark.createDataFrame(packed, substring.ROWS)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out == expected
+
+
 def test_bpe(docs, none):
     out = bpe.encode_documents(docs, bpe.default_tokenizer(), with_decoded=True)
     assert sorted(r.decoded for r in out.collect()) == sorted(t or "" for _, t in ROWS)
