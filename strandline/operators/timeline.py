@@ -274,6 +274,13 @@ def apply_edits(events: DataFrame, overrides: DataFrame, manual: DataFrame) -> D
     return changed.unionByName(manual, allowMissingColumns=True)
 
 
+def reading_places(events: DataFrame) -> DataFrame:
+    """events plus place, from 1: a tab's reading order, by date, undated ones last, then by place in the document."""
+    rows = ranked(events.withColumn("__d", X.event_date(F.col("date"))).withColumn("__undated", F.col("__d").isNull()), ["tab", "__undated", "__d", "pos"])
+    first = rows.groupBy("tab").agg(F.min("ordinal").alias("__first"))
+    return rows.join(F.broadcast(first), "tab").withColumn("place", F.col("ordinal") - F.col("__first") + 1).drop("__d", "__undated", "__first", "ordinal")
+
+
 def chronological(events: DataFrame) -> DataFrame:
-    """events in a tab's reading order: by date, undated ones last, then by place in the document."""
+    """events sorted in their tabs' reading order."""
     return events.withColumn("__d", X.event_date(F.col("date"))).orderBy("tab", F.col("__d").isNull(), "__d", "pos").drop("__d")

@@ -39,26 +39,55 @@ def _keys(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- containment -----------------------------------------------------------------------------------------------------
 
-_VERDICT_SQL = """
+#: sets: exports by their key set, known by its keys; above: each set and every set that properly contains it.
+_SETS_SQL = """
+sigs AS (SELECT name, md5(string_agg(k, chr(3) ORDER BY k)) AS sig, count(*) AS n FROM keys GROUP BY name),
+classes AS (SELECT sig, any_value(n) AS n, min(name) AS low, count(*) AS members FROM sigs GROUP BY sig),
+above AS (SELECT DISTINCT x.sig AS a, y.sig AS b FROM pairs JOIN sigs x ON x.name = pairs.a JOIN sigs y ON y.name = pairs.b WHERE x.n < y.n)"""
+_STATES_SQL = " SELECT s.name, n_keys, redundant, (SELECT count(*) FROM above WHERE a = sigs.sig) AS n_supersets FROM states s JOIN sigs ON sigs.name = s.name"
+
+
+def _parts(messages: DataFrame) -> contain.Containment:
+    return contain.containment(*_keys(messages))
+
+
+@query("dedup_verdict", _with(exports_sql(), PAIRS_SQL, _SETS_SQL) + _STATES_SQL)
+def dedup_verdict(spark, sf_dir):
+    return contain.states(_parts(exports(spark, sf_dir))).select("name", "n_keys", "redundant", "n_supersets")
+
+
+@query("dedup_links", _with(exports_sql(), PAIRS_SQL, _SETS_SQL) + " SELECT x.low AS name, y.low AS by_name FROM above JOIN classes x ON x.sig = a JOIN classes y ON y.sig = b")
+def dedup_links(spark, sf_dir):
+    """Pairs of key sets, told by their smallest names; dedup_members says which files have them."""
+    return contain.links(_parts(exports(spark, sf_dir))).select("name", "by_name")
+
+
+@query("dedup_members", _with(exports_sql(), PAIRS_SQL, _SETS_SQL) + " SELECT name, low AS set_name, members AS n_files FROM sigs JOIN classes USING (sig)")
+def dedup_members(spark, sf_dir):
+    parts = _parts(exports(spark, sf_dir))
+    return parts.members.select("name", "set_id").join(parts.sets.select("set_id", F.col("low").alias("set_name"), "n_files"), "set_id").drop("set_id")
+
+
+_LISTS_SQL = """
 SELECT s.name, n_keys, redundant, coalesce(string_agg(b, ',' ORDER BY b), '') AS superseded_by,
        coalesce(string_agg(b, ',' ORDER BY b) FILTER (WHERE NOT o.r), string_agg(b, ',' ORDER BY b), '') AS covered_by
 FROM states s LEFT JOIN pairs ON a = s.name LEFT JOIN (SELECT name, redundant AS r FROM states) o ON o.name = b
 GROUP BY s.name, n_keys, redundant"""
 
 
-def _verdict(messages: DataFrame) -> DataFrame:
+def _lists(messages: DataFrame) -> DataFrame:
     out = contain.verdict(*_keys(messages))
     return out.select("name", "n_keys", "redundant", F.array_join("superseded_by", ",").alias("superseded_by"), F.array_join("covered_by", ",").alias("covered_by"))
 
 
-@query("dedup_verdict", _with(exports_sql(), PAIRS_SQL) + _VERDICT_SQL)
-def dedup_verdict(spark, sf_dir):
-    return _verdict(exports(spark, sf_dir))
+@query("dedup_covered_by", _with(exports_sql(), PAIRS_SQL) + _LISTS_SQL)
+def dedup_covered_by(spark, sf_dir):
+    return _lists(exports(spark, sf_dir))
 
 
-@query("dedup_fork_branches", _with(exports_sql(FORKS, 5), PAIRS_SQL) + _VERDICT_SQL)
+@query("dedup_fork_branches", _with(exports_sql(FORKS, 5), PAIRS_SQL) + _LISTS_SQL)
 def dedup_fork_branches(spark, sf_dir):
-    return _verdict(exports(spark, sf_dir, FORKS, 5))
+    return _lists(exports(spark, sf_dir, FORKS, 5))
 
 
 @query("dedup_keep", _with(exports_sql(), PAIRS_SQL) + " SELECT name, n_keys FROM states WHERE NOT redundant")
@@ -171,9 +200,9 @@ def strip_quoted_signature(spark, sf_dir):
     return c.select("conv_id", "turn", X.clean_body(F.concat("text", tails)).alias("clean"))
 
 
-@query("parse_thread_export", _with(exports_sql()) + " SELECT name, CAST(turn AS INTEGER) AS msg_idx, sender, ts AS timestamp, subject, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM exports WHERE name NOT LIKE '%mid%'")
+@query("parse_thread_export", _with(exports_sql()) + " SELECT name, CAST(turn AS INTEGER) AS msg_idx, sender, ts AS timestamp, subject, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY file_id ORDER BY turn) - 1 AS turn) FROM exports)")
 def parse_thread_export(spark, sf_dir):
-    m = exports(spark, sf_dir).where("name not like '%mid%'").select(*MESSAGE_FIELDS)
+    m = exports(spark, sf_dir).select(*MESSAGE_FIELDS)
     parsed = text_exports.parse_exports(text_exports.render_exports(m))
     return parsed.select("name", "msg_idx", "sender", "timestamp", "subject", "body")
 
@@ -194,7 +223,8 @@ def subject_threads(spark, sf_dir):
     return m.select(X.slug(base).alias("slug"), base.alias("label")).groupBy("slug", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("key_ids")
+@query("key_ids", _with(exports_sql()) + """
+SELECT name, CAST(turn AS INTEGER) AS msg_idx, left(sha256('msg:' || length(lower(trim(sender))) || ':' || lower(trim(sender)) || ':' || lower(trim(regexp_replace(body, '\\s+', ' ', 'g')))), 16) AS key_id FROM exports""")
 def key_ids(spark, sf_dir):
     rows = keys.with_keys(exports(spark, sf_dir))
     return rows.select("name", "msg_idx", keys.key_id(F.col("key")).alias("key_id"))
@@ -228,6 +258,13 @@ def _dates_as_text(rows: DataFrame) -> DataFrame:
 # --- timelines -------------------------------------------------------------------------------------------------------
 
 
+#: placed: each unique message at its place in order of time, ties by its first occurrence.
+_UNIQUE_SQL = """
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, file_id, turn) AS r FROM exports) WHERE r = 1),
+firsts AS (SELECT k AS fk, min(struct_pack(a := file_id, b := turn)) AS f FROM exports GROUP BY k),
+placed AS (SELECT u.*, row_number() OVER (ORDER BY ts, f.a, f.b) - 1 AS pos FROM u JOIN firsts ON fk = k)"""
+
+
 @query("timeline_events", _with(exports_sql(), """u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, file_id, turn) AS r FROM exports) WHERE r = 1)""") + r"""
 SELECT CAST(row_number() OVER (ORDER BY ts, first_file, first_turn) - 1 AS BIGINT) AS pos, 'topic-' || (conv_id % 40) AS group_id, left(ts, 10) AS date, subject AS title, sender AS badge,
        CASE WHEN length(flat) <= 240 THEN flat ELSE rtrim(left(flat, 239)) || '…' END AS summary,
@@ -246,7 +283,10 @@ def folder_timeline(spark, sf_dir):
     return timeline.conversations(events).select("tab", "group_id", "n_events")
 
 
-@query("timeline_conversations")
+@query("timeline_conversations", _with(exports_sql(), _UNIQUE_SQL) + """,
+g AS (SELECT 'topic-' || (conv_id % 40) AS group_id, min(pos) AS first, arg_min(CASE WHEN turn > 0 THEN substr(subject, 5) ELSE subject END, pos) AS label, count(*) AS n_events FROM placed GROUP BY conv_id % 40)
+SELECT 'timeline' AS tab, group_id, label, 'topic-timeline-' || group_id AS category, n_events, row_number() OVER (ORDER BY first) - 1 AS ordinal,
+       ['#1E88E5', '#E11D48', '#1D9E75', '#7C3AED', '#E89C1B', '#0EA5E9', '#DB2777', '#16A34A', '#9333EA', '#0D9488', '#D97706', '#6366F1'][(row_number() OVER (ORDER BY first) - 1) % 12 + 1] AS color FROM g""")
 def timeline_conversations(spark, sf_dir):
     u = unique.unique_messages(exports(spark, sf_dir)).withColumn("path", F.col("name"))
     return timeline.conversations(timeline.message_events(u))
@@ -273,7 +313,15 @@ def key_events(spark, sf_dir):
     return timeline.key_events(timeline_events(spark, sf_dir), 6)
 
 
-@query("overview_text")
+@query("overview_text", _with(EVENTS_SQL, """
+c AS (SELECT tab, category, count(*) AS n, min(pos) AS p FROM tl GROUP BY ALL),
+b AS (SELECT tab, string_agg(category || ' (' || n || ')', ', ' ORDER BY p) AS parts, count(*) AS nc, arg_max(category, struct_pack(n := n, p := -p)) AS busiest FROM c GROUP BY tab),
+k AS (SELECT tab, count(*) AS n_key, list(title ORDER BY date, pos) AS titles FROM tl WHERE importance >= 2 GROUP BY tab),
+t AS (SELECT tab, count(*) AS n, min(CAST(date AS DATE)) AS lo, max(CAST(date AS DATE)) AS hi FROM tl GROUP BY tab)""") + r"""
+SELECT t.tab, 'This timeline tracks ' || n || ' events spanning ' || strftime(lo, '%b ') || day(lo) || strftime(lo, ', %Y') || ' – ' || strftime(hi, '%b ') || day(hi) || strftime(hi, ', %Y') || '.'
+  || ' Work splits across ' || nc || ' tracks — ' || parts || ' — led by ' || busiest || '.'
+  || ' Key milestones: ' || array_to_string(list_transform(titles[1:4], lambda x: '“' || x || '”'), '; ') || CASE WHEN n_key > 4 THEN ' and ' || (n_key - 4) || ' more' ELSE '' END || '.' AS text
+FROM t JOIN b USING (tab) JOIN k USING (tab)""")
 def overview_text(spark, sf_dir):
     return timeline.overview(timeline_events(spark, sf_dir))
 
@@ -418,7 +466,7 @@ def pdf_text(spark, sf_dir):
     return pdf.read_pdf(files).select(F.col("file_id").alias("item_id"), F.col("text").alias("body"))
 
 
-@query("store_stream")
+@query("store_stream", _with(exports_sql()) + " SELECT count(DISTINCT k) AS messages, 0::BIGINT AS attachments FROM exports")
 def store_stream(spark, sf_dir):
     from strandline.streaming.ingest import stream_exports
 
@@ -426,5 +474,7 @@ def store_stream(spark, sf_dir):
     m = exports(spark, sf_dir).select(*MESSAGE_FIELDS)
     text_exports.render_exports(m).select("text").write.text(f"{root}/in", lineSep="\n")
     stream_exports(spark, f"{root}/in", f"{root}/store", f"{root}/state", "*.txt", "now").awaitTermination()
-    return store.stats(store.Store(spark, f"{root}/store").read())
+    return store.stats(store.Store(spark, f"{root}/store").read()).select("messages", "attachments")  # how many files the text writer makes is its own affair
+
 
+from strandline.plans import rules  # noqa: E402, F401  (adds its queries)
