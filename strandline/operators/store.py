@@ -21,7 +21,7 @@ from strandline.functions import text as X
 from strandline.operators.contain import verdict
 from strandline.operators.keys import attachment_key, message_key
 from strandline.operators.ranking import ranked
-from strandline.scratch import table
+from strandline.scratch import passing, table
 
 SEQ = "struct<batch:long,file:long,idx:int>"
 FILES = "file_id long, path string, name string, ingested_at string, batch long"
@@ -206,10 +206,11 @@ class Store:
         if batch_name is not None and v["batch"] == batch_name:
             return {}
         old, number = self.read(), v["number"] + 1
-        added, ids = batch_parts(old, batch, files, stamp, number)
-        part = self._write_part(added)
-        written = Tables(**{k: self.spark.read.schema(s).parquet(f"{self.path}/parts/{part}/{k}") for k, s in SCHEMAS.items()})
-        counts = count_batch(Tables(old.files, self.parts().messages, old.file_messages, old.file_attachments), written, ids).first().asDict()
+        with passing():
+            added, ids = batch_parts(old, batch, files, stamp, number)
+            part = self._write_part(added)
+            written = Tables(**{k: self.spark.read.schema(s).parquet(f"{self.path}/parts/{part}/{k}") for k, s in SCHEMAS.items()})
+            counts = count_batch(Tables(old.files, self.parts().messages, old.file_messages, old.file_attachments), written, ids).first().asDict()
         self._publish(number, batch_name, [*v["parts"], part])
         if len(v["parts"]) + 1 >= COMPACT:
             self.compact()

@@ -6,7 +6,7 @@ rows; only the page (plans.render) gathers them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
@@ -68,6 +68,20 @@ def tab_flags(groups: DataFrame) -> DataFrame:
     return groups.groupBy("tab").agg(F.count(F.lit(1)).alias("n_groups")).withColumn("legend", F.col("n_groups") <= LEGEND_LIMIT)
 
 
+def conversation_tabs(events: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """tab, label, heading, description, filters, legend, category_filter: what a tab of conversations says of itself.
+
+    labels: tab, label, heading; without it a tab's id is its name.
+    """
+    groups = tab_flags(conversations(events)).join(events.groupBy("tab").agg(F.count(F.lit(1)).alias("n")), "tab")
+    if labels is not None:
+        groups = groups.join(labels.select("tab", "label", "heading"), "tab", "left")
+    else:
+        groups = groups.withColumn("label", X.prettify(F.col("tab"))).withColumn("heading", F.col("label"))
+    said = F.format_string("%d conversation(s), %d message(s) after dedup.", "n_groups", "n")
+    return groups.select("tab", "label", "heading", said.alias("description"), F.lit(True).alias("filters"), "legend", F.col("legend").alias("category_filter"))
+
+
 def flatten_document(document: DataFrame) -> DataFrame:
     """Events of timeline documents (schema.TIMELINE), in document order: tab, pos, group and event fields."""
     tabs = document.select(F.posexplode("tabs").alias("tab_no", "t"))
@@ -274,6 +288,51 @@ def apply_edits(events: DataFrame, overrides: DataFrame, manual: DataFrame) -> D
     return changed.unionByName(manual, allowMissingColumns=True)
 
 
+class Edits:
+    """What readers changed in timelines, kept by the slug of a timeline's title: overrides by event id, and events of their own.
+
+    Each save is a file of its own in the title's folder; of several overrides of an event the last counts, field by field.
+    """
+
+    OVERRIDES = "id string, deleted boolean, date string, title string, category string, summary string, importance int"
+    MANUAL = "id string, tab string, pos long, group_id string, group_label string, date string, title string, category string, summary string, importance int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, title: str) -> str:
+        return f"{self.path}/{self.spark.range(1).select(X.slug(F.lit(title))).first()[0]}"
+
+    def save(self, title: str, number: int, overrides: DataFrame | None = None, manual: DataFrame | None = None) -> None:
+        """number: larger than those of earlier saves."""
+        for kind, rows, schema in (("overrides", overrides, self.OVERRIDES), ("manual", manual, self.MANUAL)):
+            if rows is not None:
+                given = self.spark.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True)
+                given.withColumn("save", F.lit(number).cast("long")).write.mode("append").parquet(f"{self._folder(title)}/{kind}")
+
+    def _read(self, title: str, kind: str, schema: str) -> DataFrame:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._folder(title)}/{kind}")
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schema + ", save long")
+        return self.spark.read.schema(schema + ", save long").parquet(str(p))
+
+    def load(self, title: str) -> tuple[DataFrame, DataFrame]:
+        """(overrides, manual): one row for each event id, as apply_edits takes them."""
+        rows = self._read(title, "overrides", self.OVERRIDES)
+        fields = [c for c in rows.columns if c not in ("id", "save")]
+        last = rows.groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("save"))).alias(c) for c in fields])
+        own = self._read(title, "manual", self.MANUAL)
+        names = [c for c in own.columns if c not in ("id", "save")]
+        manual = own.groupBy("id").agg(F.max_by(F.struct(*names), "save").alias("row")).select("id", "row.*")
+        gone = last.where("deleted").select("id")
+        return last, manual.join(gone, "id", "left_anti")
+
+    def apply(self, title: str, events: DataFrame) -> DataFrame:
+        overrides, manual = self.load(title)
+        kept = overrides.select("id", "deleted", *[c for c in overrides.columns if c in events.columns and c != "id"])
+        return apply_edits(events, kept, manual.select(*[c for c in manual.columns if c in events.columns]))
+
+
 def reading_places(events: DataFrame) -> DataFrame:
     """events plus place, from 1: a tab's reading order, by date, undated ones last, then by place in the document."""
     rows = ranked(events.withColumn("__d", X.event_date(F.col("date"))).withColumn("__undated", F.col("__d").isNull()), ["tab", "__undated", "__d", "pos"])

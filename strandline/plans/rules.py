@@ -241,6 +241,14 @@ def tab_flags(spark, sf_dir):
     return timeline.tab_flags(timeline.conversations(events))
 
 
+@query("conversation_tabs", _with(exports_sql()) + """
+SELECT 'f' || (conv_id % 6) AS tab, 'F' || (conv_id % 6) AS label, count(DISTINCT conv_id % 40) || ' conversation(s), ' || count(DISTINCT k) || ' message(s) after dedup.' AS description, count(DISTINCT conv_id % 40) <= 8 AS category_filter FROM exports GROUP BY conv_id % 6""")
+def conversation_tabs(spark, sf_dir):
+    rows = exports(spark, sf_dir).withColumn("tab", F.concat(F.lit("f"), F.col("conv_id") % 6))
+    events = timeline.message_events(unique.unique_messages(rows, ("tab",)).withColumn("path", F.col("name")), tab_col="tab")
+    return timeline.conversation_tabs(events).select("tab", "label", "description", "category_filter")
+
+
 @query("tab_labels", "SELECT folder, row_number() OVER (ORDER BY folder) || '. Part ' || right(folder, 1) AS label, 'Part ' || right(folder, 1) AS heading FROM (SELECT DISTINCT '0' || (conv_id % 7) || '_part-' || (conv_id % 7) AS folder FROM conversations)")
 def tab_labels(spark, sf_dir):
     k = (F.col("conv_id") % 7).cast("string")

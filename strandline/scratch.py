@@ -23,6 +23,7 @@ _local: dict[str, str] = {}  # application: its folder where none is set
 _marked: set[str] = set()  # application folders that go with the JVM
 _writing: dict[str, list] = {}  # application: how many tables are being written and the setting before
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_passing = threading.local()  # stack: for each open passing() of the thread the tables written in it
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,6 +86,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for tables in getattr(_passing, "stack", [])[-1:]:
+        tables.append((spark, path))
     return out
 
 
@@ -93,5 +96,21 @@ def drop(*tables: DataFrame) -> None:
     for t in tables:
         path = _paths.pop(t, None)
         if path:
-            p, fs = _file_system(t.sparkSession, path)
-            fs.delete(p, True)
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that this thread writes in the block go when it ends: for steps whose results are written or fetched by then."""
+    stack = _passing.stack = getattr(_passing, "stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for spark, path in stack.pop():
+            _delete(spark, path)

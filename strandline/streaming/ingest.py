@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators.ranking import ranked
 from strandline.operators.store import Store
+from strandline.scratch import passing, table
 from strandline.sources.files import decoded, name_of, parse_files
 from strandline.sources.text_exports import parse_exports
 
@@ -23,11 +24,11 @@ def stream_exports(spark: SparkSession, directory: str, store_path: str, checkpo
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(directory)
 
     def take(batch: DataFrame, number: int) -> None:
-        content = batch.select("path", name_of(F.col("path")).alias("name"), "content").cache()
-        ids = ranked(content.select("path", "name"), ["path"]).select("path", "name", (F.col("ordinal") - 1).alias("file_id")).cache()
-        store.add(parse_files(content.drop("name").join(ids, "path")), ids.select("file_id", "path", "name"), stamp or f"batch-{number}", str(number))
-        content.unpersist()
-        ids.unpersist()
+        with passing():
+            content = table(batch.select("path", name_of(F.col("path")).alias("name"), "content"), "arrived")
+            ids = ranked(content.select("path", "name"), ["path"]).select("path", "name", (F.col("ordinal") - 1).alias("file_id"))
+            messages = table(parse_files(content.drop("name").join(ids, "path")), "messages")
+            store.add(messages, ids.select("file_id", "path", "name"), stamp or f"batch-{number}", str(number))
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

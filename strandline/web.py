@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import workspace
 from strandline.plans import render
+from strandline.scratch import passing, table
 
 EMPTY = "<!doctype html><meta charset='utf-8'><p>Nothing was built yet.</p>"
 PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>strandline</title><style>
@@ -43,9 +44,9 @@ class Session:
 
     def state(self) -> dict:
         w = self.work.working()
-        states = workspace.file_states(w.messages, w.inputs).cache()
-        rows, s = states.orderBy("name").collect(), workspace.summary(w.messages, states).first()
-        states.unpersist()
+        with passing():
+            states = table(workspace.file_states(w.messages, w.inputs), "states")
+            rows, s = states.orderBy("name").collect(), workspace.summary(w.messages, states).first()
         files = [{"name": r.name, "messages": r.messages, "attachments": r.attachments, "redundant": r.redundant, "coveredBy": r.covered_by} for r in rows]
         total = {"files": s.files, "kept": s.kept, "redundant": s.redundant, "uniqueMessages": s.unique_messages, "duplicates": s.duplicates}
         return {"files": files, "hasTimeline": self.work.page is not None, "summary": total}
@@ -56,9 +57,11 @@ class Session:
 
     def build(self, names: list[str]) -> dict:
         chosen = self.work.spark.createDataFrame([(n,) for n in names], "name string")
-        events, report = workspace.build(self.work.working(), chosen)
-        r = report.first()
-        self.work.page = render.render_timeline("Selected threads", events, subtitle=r.subtitle, labels={"conversations": "Conversations"})[0] if r.ok else None
+        working = self.work.working()
+        with passing():
+            events, report = workspace.build(working, chosen)
+            r = report.first()
+            self.work.page = render.render_timeline("Selected threads", events, subtitle=r.subtitle, labels={"conversations": "Conversations"})[0] if r.ok else None
         return {"ok": True, "count": r["count"], "subtitle": r.subtitle} if r.ok else {"ok": False, "error": r.error}
 
     def file(self, name: str) -> dict:

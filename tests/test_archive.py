@@ -260,3 +260,35 @@ def test_scratch_tables_go(spark):
     assert t.count() == 3 and fs.exists(p)
     scratch.drop(t, spark.range(1))
     assert not fs.exists(p)
+    with scratch.passing():
+        u = scratch.table(spark.range(2).toDF("x"), "some")
+        p, fs = scratch._file_system(spark, scratch._paths[u])
+        assert u.count() == 2
+    assert not fs.exists(p)
+
+
+def test_scratch_needs_a_shared_folder():
+    from strandline import scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId, getConf = "spark://host:7077", "app", staticmethod(lambda: Conf())
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
+
+
+def test_edits_are_kept_by_title(spark, tmp_path):
+    events = spark.createDataFrame([("e1", "t", 0, "2025", "one", "a"), ("e2", "t", 1, "2025", "two", "a"), ("e3", "t", 2, "2025", "three", "a")], "id string, tab string, pos long, date string, title string, category string")
+    edits = timeline.Edits(spark, str(tmp_path))
+    assert edits.apply("My Title", events).count() == 3
+    edits.save("My Title", 1, spark.createDataFrame([("e1", True, None), ("e2", None, "2.0")], "id string, deleted boolean, title string"), spark.createDataFrame([("m1", "t", 9, "own")], "id string, tab string, pos long, title string"))
+    edits.save("my-title!", 2, spark.createDataFrame([("e1", False, None), ("e2", None, "2.1"), ("e2", None, None), ("m2", True, None)], "id string, deleted boolean, title string"), spark.createDataFrame([("m1", "t", 9, "own again"), ("m2", "t", 9, "gone")], "id string, tab string, pos long, title string"))
+    assert {r.id: r.title for r in edits.apply("MY TITLE", events).collect()} == {"e1": "one", "e2": "2.1", "e3": "three", "m1": "own again"}
+    assert edits.apply("another", events).count() == 3
