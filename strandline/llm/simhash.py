@@ -113,7 +113,8 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """a, b: links between distinct fingerprints that join exactly those within RADIUS, directly or over others."""
-    rows = _variants(fps)
+    # Fingerprints are small and each becomes 66 rows: spread before, as few large tasks would be made of them.
+    rows = _variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Sizes by partial aggregates; a key that very many fingerprints share is split in the join, not gathered in a window.
     size, ones = F.count(F.lit(1)), F.count_if("side")
     pairs = F.when(F.bool_and(F.col("side").isNull()), size * (size - 1) / 2).otherwise(ones * (size - ones))
