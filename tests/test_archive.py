@@ -292,3 +292,49 @@ def test_edits_are_kept_by_title(spark, tmp_path):
     edits.save("my-title!", 2, spark.createDataFrame([("e1", False, None), ("e2", None, "2.1"), ("e2", None, None), ("m2", True, None)], "id string, deleted boolean, title string"), spark.createDataFrame([("m1", "t", 9, "own again"), ("m2", "t", 9, "gone")], "id string, tab string, pos long, title string"))
     assert {r.id: r.title for r in edits.apply("MY TITLE", events).collect()} == {"e1": "one", "e2": "2.1", "e3": "three", "m1": "own again"}
     assert edits.apply("another", events).count() == 3
+
+
+def test_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], MESSAGE)
+    files = spark.createDataFrame([], "file_id long, name string")
+    assert contain.verdict(file_keys(none), files).collect() == [] and contain.links(contain.containment(file_keys(none), files)).collect() == []
+    only_empty = spark.createDataFrame([(1, "b"), (2, "a")], "file_id long, name string")
+    assert {r.name: r.superseded_by for r in contain.verdict(file_keys(none), only_empty).collect()} == {"a": [], "b": ["a"]}
+    walked = forest.forest(none)
+    assert walked.collect() == [] and forest.forest_lines(walked).collect() == [] and unique.unique_messages(none).collect() == []
+    states = contain.redundancy(file_keys(none), files)
+    assert forest.verify_no_loss(none, states).first().line == "Collapsed 0 files -> 0 branches; 0 unique messages, 0 lost."
+    events = timeline.message_events(unique.unique_messages(none).withColumn("path", F.col("name")))
+    assert timeline.conversations(events).collect() == [] and timeline.axis_dots(events).collect() == [] and timeline.reading_places(events).collect() == []
+    page, n = render.render_timeline("T", events)
+    assert n == 0 and "<title>T</title>" in page
+    s = store.Store(spark, str(tmp_path / "s"))
+    assert s.add(none, files.withColumn("path", F.col("name")), "t")["messages_added"] == 0 and store.stats(s.read()).first().asDict() == {"files": 0, "messages": 0, "attachments": 0}
+    assert workspace.working_set(spark, [])[0].messages.count() == 0
+
+
+def test_nulls_count_as_empty(spark):
+    rows = spark.createDataFrame([(1, "f", 0, None, None, None, None, None, None, None, None, None), (2, "g", 0, "", "", "", "", [], "", "", "", [])], MESSAGE)
+    assert unique.duplicate_counts(rows).first().asDict() == {"total": 2, "unique_messages": 1, "duplicates": 1}
+    assert {r.name: r.redundant for r in contain.redundancy(file_keys(rows), rows.select("file_id", "name")).collect()} == {"f": False, "g": True}
+    (line,) = forest.forest_lines(forest.forest(rows)).collect()
+    assert line.line == "* (no subject)  (Unknown)"
+    (event,) = timeline.message_events(unique.unique_messages(rows).withColumn("path", F.col("name"))).collect()
+    assert (event.title, event.badge, event.summary, event.importance) == ("(no subject)", "Unknown", "", 1)
+
+
+def test_streams(spark, archive, tmp_path):
+    from strandline.streaming import ingest
+
+    name = "streamed_messages"
+    ingest.stream_messages(spark, str(archive)).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    whole = sources.read_directory(spark, str(archive), pattern="*.txt").messages
+    of = lambda df: sorted((r.name, r.msg_idx, r.subject, r.body) for r in df.collect())
+    assert of(spark.table(name)) == of(whole) and len(of(whole)) == 5
+    run = lambda: ingest.stream_exports(spark, str(archive), str(tmp_path / "store"), str(tmp_path / "c2"), stamp="s", files_per_batch=2).awaitTermination()
+    run()
+    s = store.Store(spark, str(tmp_path / "store"))
+    told = store.stats(s.read()).first().asDict()
+    assert told == {"files": 4, "messages": 5, "attachments": 1} and len(s.version()["parts"]) == 2
+    run()  # no new files: nothing is taken in again
+    assert store.stats(s.read()).first().asDict() == told and s.version()["number"] == 2
