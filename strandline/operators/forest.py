@@ -20,6 +20,10 @@ from strandline.operators.ranking import ranked
 from strandline.scratch import drop, table
 
 
+# What is said of a verdict that was proved.
+PROOF, COLLAPSED = "Collapsed %d files -> %d branches; %d unique messages, %d lost.", " (%d cross-format duplicate%s collapsed)"
+
+
 def identity(messages: DataFrame) -> DataFrame:
     """messages plus key, mid and node (the identity)."""
     rows = messages.withColumn("key", message_key(F.col("sender"), F.col("body"))).withColumn("mid", X.message_ref(F.col("message_id")))
@@ -130,6 +134,6 @@ def verify_no_loss(messages: DataFrame, states: DataFrame) -> DataFrame:
     total = states.agg(F.count(F.lit(1)).alias("files_total"), F.count_if(~F.col("redundant")).alias("branches_kept"))
     unique = identity(messages).select("node").distinct().agg(F.count(F.lit(1)).alias("unique_messages"))
     out = total.crossJoin(unique).crossJoin(loss)  # one row each
-    line = F.format_string("Collapsed %d files -> %d branches; %d unique messages, %d lost.", "files_total", "branches_kept", "unique_messages", "n_lost")
-    more = F.when(F.col("collapsed") > 0, F.format_string(" (%d cross-format duplicate%s collapsed)", "collapsed", F.when(F.col("collapsed") == 1, F.lit("")).otherwise(F.lit("s")))).otherwise(F.lit(""))
+    line = F.format_string(PROOF, "files_total", "branches_kept", "unique_messages", "n_lost")
+    more = F.when(F.col("collapsed") > 0, F.format_string(COLLAPSED, "collapsed", F.when(F.col("collapsed") == 1, F.lit("")).otherwise(F.lit("s")))).otherwise(F.lit(""))
     return out.withColumn("ok", F.col("n_lost") == 0).withColumn("line", F.concat(line, more))

@@ -21,6 +21,8 @@ HEIGHTS = [30, 48, 66, 38, 58, 34, 52, 70, 44, 62]
 LEFT, WIDTH = 60.0, 780.0
 #: More conversations than this hide the legend and the category filter.
 LEGEND_LIMIT = 8
+# Fixed value: what is said of a tab of conversations.
+TAB = "%d conversation(s), %d message(s) after dedup."
 KEY = 2
 
 
@@ -78,7 +80,7 @@ def conversation_tabs(events: DataFrame, labels: DataFrame | None = None) -> Dat
         groups = groups.join(labels.select("tab", "label", "heading"), "tab", "left")
     else:
         groups = groups.withColumn("label", X.prettify(F.col("tab"))).withColumn("heading", F.col("label"))
-    said = F.format_string("%d conversation(s), %d message(s) after dedup.", "n_groups", "n")
+    said = F.format_string(TAB, "n_groups", "n")
     return groups.select("tab", "label", "heading", said.alias("description"), F.lit(True).alias("filters"), "legend", F.col("legend").alias("category_filter"))
 
 

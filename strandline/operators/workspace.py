@@ -16,8 +16,9 @@ from strandline.operators.keys import file_keys, key_id, with_keys
 from strandline.scratch import table
 from strandline.sources.files import extension, parse_files, reader_of, uploads
 
-# The error of an empty selection and of a name that no file has.
+# The errors of an empty selection and of a name that no file has, and what is said of a selection.
 NOTHING_SELECTED, NO_SUCH_FILE = "No threads selected.", "No such file."
+SUBTITLE = "%d selected file(s); %d unique message(s) after dedup (%d duplicate%s collapsed)."
 SOURCE = "/source"
 
 
@@ -105,7 +106,7 @@ def build(working: WorkingSet, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     events = linked(timeline.message_events(one, "conversations", link_base=SOURCE), working.files)
     counts = chosen.agg(F.count(F.lit(1)).alias("files")).crossJoin(unique.duplicate_counts(messages))  # one row each
     s = lambda c: F.when(F.col(c) == 1, F.lit("")).otherwise(F.lit("s"))
-    said = F.format_string("%d selected file(s); %d unique message(s) after dedup (%d duplicate%s collapsed).", "files", "unique_messages", "duplicates", s("duplicates"))
+    said = F.format_string(SUBTITLE, "files", "unique_messages", "duplicates", s("duplicates"))
     ok = F.col("files") > 0
     report = counts.select(ok.alias("ok"), F.when(~ok, F.lit(NOTHING_SELECTED)).alias("error"), "files", F.when(ok, F.col("unique_messages")).alias("count"), F.when(ok, F.col("duplicates")).alias("duplicates"), F.when(ok, said).alias("subtitle"))
     return events, report
