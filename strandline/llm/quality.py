@@ -197,9 +197,11 @@ def _features_frame(rows: DataFrame, columns: list[str]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Additive:
     """Fit on labelled rows with crc32(doc_id) mod 5 other than 0, max_rows at most."""
     rows = _features_frame(sample(docs, labels, "quality", MODULUS, HELD_OUT, max_rows), ["label"]).toPandas()
-    rows = rows.sort_values(["label"], kind="stable").sample(frac=1, random_state=7) if len(rows) else rows
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, rows["label"].to_numpy(float))
+    y = rows["label"].to_numpy(float)
+    order = np.lexsort((*x.T, y)) if len(y) else np.zeros(0, int)  # the same fit in whatever order the rows come
+    order = np.random.default_rng(7).permutation(order)
+    return fit(x[order], y[order])
 
 
 def score_documents(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
