@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import os
+import re
 import sys
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -130,8 +131,8 @@ def main(args: list[str] | None = None, transport: Callable[[dict], dict] | None
 
         return serve(spark, a.host, a.port)
     if a.command == "timeline":
-        title, events, declared = render.load_events(spark, a.events)
-        say(f"Wrote {render.write_timeline(a.output, a.title or title, events, declared)} events to {a.output}")
+        d = render.load_document(spark, a.events)
+        say(f"Wrote {render.write_timeline(a.output, a.title or d.title, d.events, d.declared, d.subtitle, tabs=d.tabs)} events to {a.output}")
         return 0
     if a.command == "store":
         return store_command(spark, a)
@@ -155,7 +156,7 @@ def main(args: list[str] | None = None, transport: Callable[[dict], dict] | None
     title = a.title or f"Threads: {os.path.basename(directory)}"
     say(subtitle)
     if a.command == "ingest":
-        render.write_draft(a.output, render.draft(title, events, subtitle))
+        render.write_draft(a.output, render.draft(title, events, subtitle, tabs=timeline.conversation_tabs(events, spark.createDataFrame([(t, x, re.sub(render.NUMBER, "", x)) for t, x in labels.items()], "tab string, label string, heading string"))))
         say(f"Wrote a draft to {a.output}; edit it, then: strandline timeline {a.output}")
         return 0
     say(f"Wrote {render.write_timeline(a.output, title, events, None, subtitle, labels)} events to {a.output}")

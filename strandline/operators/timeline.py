@@ -84,6 +84,13 @@ def conversation_tabs(events: DataFrame, labels: DataFrame | None = None) -> Dat
     return groups.select("tab", "label", "heading", said.alias("description"), F.lit(True).alias("filters"), "legend", F.col("legend").alias("category_filter"))
 
 
+def document_tabs(document: DataFrame) -> DataFrame:
+    """tab, label, heading, description, summary, filters, legend, category_filter of a document's tabs (null where it doesn't say)."""
+    tabs = document.select(F.posexplode("tabs").alias("tab_no", "t"))
+    fields = [F.col(f"t.{c}").alias(c) for c in ("label", "heading", "description", "summary", "filters", "legend")]
+    return tabs.select(F.coalesce("t.id", F.format_string("tab%d", F.col("tab_no") + 1)).alias("tab"), *fields, F.col("t.categoryFilter").alias("category_filter"))
+
+
 def flatten_document(document: DataFrame) -> DataFrame:
     """Events of timeline documents (schema.TIMELINE), in document order: tab, pos, group and event fields."""
     tabs = document.select(F.posexplode("tabs").alias("tab_no", "t"))

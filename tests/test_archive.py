@@ -93,9 +93,25 @@ def test_timeline_draft_and_page(spark, archive, tmp_path, capsys):
     assert text.count("<article") == 5 and f"file://{archive}/full.txt" in text and "duplicates collapsed" in capsys.readouterr().out
     assert cli.main(["ingest", str(archive), "-o", draft]) == 0
     assert [len(g["events"]) for g in json.load(open(draft, encoding="utf-8"))["tabs"][0]["groups"]] in ([3, 1, 1], [3, 1, 1][::-1])
-    for source in (draft, page):
+    for source in (draft, page, again):
         assert cli.main(["timeline", source, "-o", again]) == 0
-        assert open(again, encoding="utf-8").read().count("<article") == 5
+        text = open(again, encoding="utf-8").read()
+        assert text.count("<article") == 5 and "<h2>Conversations</h2>" in text
+    assert "3 conversation(s), 5 message(s) after dedup." in open(draft, encoding="utf-8").read()
+
+
+def test_tabs_of_a_document(spark, tmp_path):
+    path = tmp_path / "d.json"
+    event = {"title": "x", "date": "2025", "category": "c"}
+    path.write_text(json.dumps({"title": "T", "subtitle": "sub", "categories": [{"id": "c", "label": "Cat", "color": "#123456"}], "tabs": [{"id": "a", "label": "1. A", "heading": "Own heading", "description": "About", "summary": "Written by hand", "filters": False, "legend": False, "groups": [{"label": "G", "events": [event]}]}, {"id": "b", "groups": [{"label": "G", "events": [event]}]}]}))
+    d = render.load_document(spark, str(path))
+    page, n = render.render_timeline(d.title, d.events, d.declared, d.subtitle, tabs=d.tabs)
+    one, two = page.split('<section class="tab"')[1:]
+    assert n == 2 and "<h2>Own heading</h2><p>About</p><p>Written by hand</p>" in one and "<button" not in one and "#123456" in one and '<span class="badge">Cat</span>' in one
+    assert "This timeline tracks 1 event" in two and "<button" in two and ">1. A</a>" in page
+    again = tmp_path / "p.html"
+    again.write_text(page)
+    assert [r.asDict() for r in render.load_document(spark, str(again)).tabs.orderBy("tab").collect()][0]["summary"] == "Written by hand"
 
 
 def test_folders_are_tabs(spark, tmp_path):
