@@ -36,8 +36,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0               
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Tokens that are decoded at once.
 DECODE_SLICE = 1 << 16
-#: Words, pieces and pairs of tokens that a worker remembers, in two generations of so many each: about 90 MB.
-REMEMBER = 120_000
+#: Pieces between spaces and pairs of tokens that a worker remembers, in two generations of so many each: about 75 MB.
+REMEMBER = 200_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -89,9 +89,8 @@ class Codec:
             self.automaton.add_word(t.decode("latin-1"), (len(t), r))
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = Remembered(lambda pair: self._fits(*pair), remember)
-        self.words = Remembered(self._word, remember)
         self.pattern = regex.compile(PATTERN)
-        self.chunks = Remembered(lambda chunk: b"".join(map(self.words.__getitem__, self.pattern.findall(" " + chunk))), remember)
+        self.chunks = Remembered(lambda chunk: b"".join(map(self._word, self.pattern.findall(" " + chunk))), remember)
         self.between = re.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
         self.added = {text: np.int32(i).tobytes() for text, i in tables["added"].items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -142,7 +141,7 @@ class Codec:
             pieces = self.between.split(text)
         else:
             pieces = text.split(" ")
-        first = b"".join(map(self.words.__getitem__, self.pattern.findall(pieces[0])))
+        first = b"".join(map(self._word, self.pattern.findall(pieces[0])))
         pieces[0] = ""
         ids = list(map(self.chunks.__getitem__, pieces[1:]))
         return first + b"".join(ids)
