@@ -26,7 +26,9 @@ from strandline.llm.labelled import folds, platt, remainder, sample, sigmoid
 MAX_ROWS = 8000
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 BUCKETS, DIM, WIDTHS, FILTERS, HASHES = 1 << 15, 12, (1, 2, 3), 8, 4
-EPOCHS, PATIENCE, RATE, BATCH = 8, 2, 0.01, 32
+EPOCHS, PATIENCE, RATE, BATCH = 12, 3, 0.01, 32
+#: Share of a text's words that a training step sees. Max pooling learns from the strongest word alone; without it the next one must do.
+SEEN = 0.5
 LEAST_TEXTS = 3
 #: A language has a threshold of its own from so many calibration rows of each label on.
 LEAST_BY_LANGUAGE = 10
@@ -134,6 +136,8 @@ def fit(texts: list[bytes], label: np.ndarray, language: list[str], seed: int =
             batch = train[k : k + BATCH]
             for i in batch:
                 x = vectors(docs[i])
+                shown = rng.random(len(docs[i])) < SEEN
+                x[: len(shown)][~shown] = 0
                 pooled, where = net.pool(x)
                 d = float(sigmoid(pooled @ net.out + net.offset) - label[i]) / len(batch)
                 grads[-1] += d * pooled
@@ -145,6 +149,7 @@ def fit(texts: list[bytes], label: np.ndarray, language: list[str], seed: int =
                     for r in range(len(f)):
                         grads[j][r] += x[at + r].T * g
                         inside = at + r < len(docs[i])
+                        inside[inside] = shown[(at + r)[inside]]
                         rows = docs[i][(at + r)[inside]]
                         touched.append(rows.ravel())
                         deltas.append(np.repeat((f[r].T * g[:, None])[inside], HASHES, 0))
