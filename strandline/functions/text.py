@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 #: Unicode white space and the four separators that Python's str counts as such.
 WS = r"[\s\x1c-\x1f]"
+#: The same, one by one.
+SPACES = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # Header names, separators and prefixes of the export format.
 HEADER = r"^([A-Za-z][A-Za-z\-]*):[\s\x1c-\x1f]*(.*)$"
 SEPARATOR = r"(?iU)^\s*-{2,}\s*(original message|forwarded message)\s*-{2,}\s*$"
 ATTRIBUTION = r"(?iU)^On\b"
 SIGNATURE = r"^--[ \t]?$"
+#: A line that a separator, an attribution, a quoted line or a signature may begin; it may find more than those.
+SUSPECT = rf"(?iU)(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]){WS}*(?:>|--|On\b)"
 SUBJECT_PREFIX = rf"(?iU)^({WS}*(re|fw|fwd){WS}*:{WS}*)+"
 ANY_DATE = r"(\d{4})[-/](\d{2})[-/](\d{2})"
 
@@ -34,7 +38,7 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -81,8 +85,11 @@ def clean_body(body: Column) -> Column:
 
 
 def fingerprint(body: Column) -> Column:
-    """What a message says: no quotes, no signature, one space between words, lower case. May be empty."""
-    return F.lower(squeeze(clean_body(body)))
+    """What a message says: no quotes, no signature, one space between words, lower case. May be empty.
+
+    Only a body with a line that could begin a quote or a signature is cut into lines; most have none.
+    """
+    return F.lower(squeeze(F.when(text(body).rlike(SUSPECT), clean_body(body)).otherwise(text(body))))
 
 
 def normal_sender(sender: Column) -> Column:
@@ -146,16 +153,29 @@ def snippet(c: Column, limit: int) -> Column:
 FAR_FUTURE = "timestamp_ntz'9999-12-31 23:59:59.999999'"
 
 
+#: What is read as a time: a day with a clock (seconds only with dashes) or a day with dashes.
+SENT = rf"(?U)^\d{{4}}(?:-\d{{1,2}}-\d{{1,2}}{WS}+\d{{1,2}}:\d{{1,2}}(?::\d{{1,2}})?|/\d{{1,2}}/\d{{1,2}}{WS}+\d{{1,2}}:\d{{1,2}}|-\d{{1,2}}-\d{{1,2}})$"
+#: What is read as a timeline's date: a day, a month or a year.
+DAY = r"^(?!0000)\d{4}(?:-\d{1,2}(?:-\d{1,2})?|/\d{1,2}/\d{1,2})?$"
+
+
+def _made(text_of_numbers: Column, between: str) -> Column:
+    """The time that year, month, day, hour, minute and second make; missing ones are the least. Null if there is none."""
+
+    def of(parts: Column) -> Column:
+        part = lambda k, least: F.coalesce(F.get(parts, F.lit(k)), F.lit(least)).try_cast("int")
+        year, second = F.nullif(part(0, "1"), F.lit(0)), F.nullif(part(5, "0"), F.lit(60))  # Spark has a year 0 and makes a minute of 60 seconds
+        return F.call_function("try_make_timestamp_ntz", year, part(1, "1"), part(2, "1"), part(3, "0"), part(4, "0"), second.cast("decimal(8,6)"))
+
+    return let(F.split(text_of_numbers, between), of)
+
+
 def sent_at(timestamp: Column) -> Column:
     """When a message was sent: known forms, else the first date in the text at midnight, else the far future."""
+
     t = strip(text(timestamp))
-    full = rf"(?U)^(\d{{4}})([-/])(\d{{1,2}})\2(\d{{1,2}}){WS}+(\d{{1,2}}):(\d{{1,2}})(?::(\d{{1,2}}))?$"
-    part = lambda k: F.regexp_extract(t, full, k).try_cast("int")
-    slashed_seconds = t.rlike(r"^\d{4}/.*:.*:")  # seconds only go with dashes
-    form = F.when(t.rlike(full) & ~slashed_seconds, F.call_function("try_make_timestamp_ntz", part(1), part(3), part(4), part(5), part(6), F.coalesce(part(7), F.lit(0)).cast("decimal(8,6)")))
-    day = lambda pattern: F.call_function("try_make_timestamp_ntz", *[F.regexp_extract(t, pattern, k).try_cast("int") for k in (1, 2, 3)], F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
-    plain = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), day(r"^(\d{4})-(\d{1,2})-(\d{1,2})$"))
-    return F.coalesce(form, plain, F.when(t.rlike(ANY_DATE), day(ANY_DATE)), F.expr(FAR_FUTURE))
+    known = F.when(t.rlike(SENT), _made(t, rf"(?U)[-/:]|{WS}+"))
+    return F.coalesce(known, F.when(t.rlike(ANY_DATE), _made(F.regexp_extract(t, ANY_DATE, 0), "[-/]")), F.expr(FAR_FUTURE))
 
 
 def iso_date(timestamp: Column) -> Column:
@@ -166,10 +186,8 @@ def iso_date(timestamp: Column) -> Column:
 def event_date(value: Column) -> Column:
     """A timeline date: a day, a month or a year; null for anything else."""
     v = strip(text(value))
-    forms = (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", r"^(\d{4})-(\d{1,2})()$", r"^(\d{4})()()$")
-    pick = lambda p, k: F.coalesce(F.nullif(F.regexp_extract(v, p, k), F.lit("")), F.lit("1")).try_cast("int")
-    made = [F.when(v.rlike(p), F.call_function("try_make_timestamp_ntz", pick(p, 1), pick(p, 2), pick(p, 3), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")) for p in forms]
-    return F.coalesce(*made)
+    whole = F.when(F.length(v) == 4, F.concat(v, F.lit("-1-1"))).when(v.rlike(r"^\d+-\d+$"), F.concat(v, F.lit("-1"))).otherwise(F.replace(v, F.lit("/"), F.lit("-")))
+    return F.when(v.rlike(DAY), F.try_to_date(whole, "y-M-d"))
 
 
 def long_date(d: Column) -> Column:

@@ -26,7 +26,7 @@ def evaluate(spark, values, *columns):
 def test_lexical_rules_follow_python(spark):
     r = random.Random(1)
     pieces = ["a", "B c", "\n", "\r\n", "\x0b", "\x85", " ", " ", "\t", "> q", "-- ", "--", "On Monday", "x wrote:", "-----Original Message-----", "\xa0", "É"]
-    values = ["", "\n", "a\n", "a\n\n", *("".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(300))]
+    values = ["", "\n", "a\n", "a\n\n", X.SPACES, X.SPACES + "é 漢" + X.SPACES, "\u200bx\u200b", *("".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(300))]
 
     def clean(body):
         lines = body.splitlines()
@@ -56,6 +56,42 @@ def test_names_dates_and_links(spark):
     assert rows[11].at.startswith("9999") and rows[11].iso == "2025-02-31"
 
 
+def test_dates_follow_strptime(spark):
+    from datetime import datetime
+
+    def sent(v):
+        v = v.strip()
+        for form in ("%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M", "%Y-%m-%d"):
+            try:
+                return datetime.strptime(v, form)
+            except ValueError:
+                pass
+        m = re.search(r"(\d{4})[-/](\d{2})[-/](\d{2})", v)
+        try:
+            return datetime(*map(int, m.groups())) if m else None
+        except ValueError:
+            return None
+
+    def day(v):
+        for form in ("%Y-%m-%d", "%Y/%m/%d", "%Y-%m", "%Y"):
+            try:
+                return datetime.strptime(v.strip(), form).date()
+            except ValueError:
+                pass
+        return None
+
+    r = random.Random(3)
+    values = ["", "2025", "2025-13", "2025/03", "0000-01-01", "2025-02-29", "2024-02-29 24:00", "2025-1-2 3:4:59", "2025-1-2 3:4:60", "2025/1/2 3:4:5", "2025-03-04T10:00", "x 2025-03-04 10:00", "2025-03/04", " 2025-03-04\t9:05 "]
+    for _ in range(500):
+        sep = r.choice("-/")
+        v = f"{r.choice([1999, 2025])}{sep}{r.randint(0, 13):0{r.choice([1, 2])}d}{sep}{r.randint(0, 32):0{r.choice([1, 2])}d}"
+        values.append(v + r.choice(["", f" {r.randint(0, 25)}:{r.randint(0, 61):02d}", f"  {r.randint(0, 24)}:{r.randint(0, 60)}:{r.randint(0, 59)}", " -0800", "T1"]))
+    for v, row in zip(values, evaluate(spark, values, X.sent_at(F.col("v")).alias("at"), X.event_date(F.col("v")).alias("day")), strict=True):
+        at = None if row.at is None or row.at.year == 9999 else row.at
+        assert at == sent(v), (v, at, sent(v))
+        assert row.day == day(v), (v, row.day, day(v))
+
+
 CORPUS = {
     "all.txt": "abcd", "same_as_all.txt": "abcd", "start.txt": "ab", "fork.txt": "abe", "one.txt": "a", "empty.txt": "",
 }
