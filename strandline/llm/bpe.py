@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -81,16 +80,17 @@ class Codec:
                 self.right.append(rank[b])
             self.pairs[rank[a], rank[b]] = rank[a + b]
         self.token = list(rank)
-        self.ids = [ids[t] for t in self.token]
+        self.ids = [np.int32(ids[t]).tobytes() for t in self.token]
         self.size = [len(t) for t in self.token]
+        self.back = [n - 1 for n in self.size]  # from a match's last byte to its first
         self.shorter = [next((rank[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in rank), -1) for t in self.token]
         self.automaton = ahocorasick.Automaton()
         for t, r in rank.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), r))
+            self.automaton.add_word(t.decode("latin-1"), r)
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = Remembered(lambda pair: self._fits(*pair), remember)
         self.pattern = regex.compile(PATTERN)
-        self.chunks = Remembered(lambda chunk: b"".join(map(self._word, self.pattern.findall(" " + chunk))), remember)
+        self.chunks = Remembered(self._piece, remember)
         self.between = re.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
         self.added = {text: np.int32(i).tobytes() for text, i in tables["added"].items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -112,28 +112,40 @@ class Codec:
             else:
                 return True
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a space and the piece behind it, which holds none. Letters alone are one pre-token."""
+        return self._word(" " + piece) if piece.isalpha() else b"".join(map(self._word, self.pattern.findall(" " + piece)))
+
     def _word(self, word: str) -> bytes:
         """The ids of a pre-token as 32-bit integers."""
-        data = word.encode("utf-8").decode("latin-1")
-        size, fits, shorter = self.size, self.fits, self.shorter
-        longest: list[int] = [-1] * (len(data) + 1)
-        for end, (n, r) in self.automaton.iter(data):
-            longest[end - n + 1] = r  # ends come in order: the last match from a place is its longest
-        out: list[int] = []
-        refused = bytearray(len(data) + 1)
-        at, token = 0, longest[0]
-        while at < len(data):
-            while token >= 0 and (refused[at + size[token]] or out and not fits[out[-1], token]):
-                token = shorter[token]
+        data = word if word.isascii() else word.encode("utf-8").decode("latin-1")
+        size, back, fits, shorter, ids, n = self.size, self.back, self.fits, self.shorter, self.ids, len(data)
+        longest: list[int] = [-1] * (n + 1)
+        for end, r in self.automaton.iter(data):
+            longest[end - back[r]] = r  # ends come in order: the last match from a place is its longest
+        last = longest[0]
+        at = size[last]
+        if at == n:
+            return ids[last]
+        out, refused, token = [last], None, longest[at]  # refused: places that no token may end at; mostly there are none
+        while at < n:
+            if refused is None:
+                while token >= 0 and not fits[last, token]:
+                    token = shorter[token]
+            else:
+                while token >= 0 and (refused[at + size[token]] or last >= 0 and not fits[last, token]):
+                    token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                token = longest[at]
+                last, token = token, longest[at]
             else:
+                refused = refused or bytearray(n + 1)
                 refused[at] = 1
                 token = out.pop()
                 at -= size[token]
-        return array("i", map(self.ids.__getitem__, out)).tobytes()
+                last = out[-1] if out else -1
+        return b"".join([ids[r] for r in out])
 
     def _segment(self, text: str) -> bytes:
         """A text without added tokens. It is cut at each single space between two other characters: there a pre-token always begins."""
