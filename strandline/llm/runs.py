@@ -244,13 +244,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 def planted(text: Column, doc_id: Column) -> Column:
     """The words of a text joined by spaces; every tenth document repeats a stretch of its words to its end."""
     h = F.crc32(doc_id.cast("string"))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
     g = F.floor(h / 10)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    rewritten = F.transform(words, lambda w, i: F.when(i >= a, F.element_at(words, a + (i - a) % p + 1)).otherwise(w))
-    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(rewritten, " ")).otherwise(text)
+
+    def rewritten(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        unit = F.slice(words, a + 1, p)
+        times = F.ceil((n - a) / p).cast("int")
+        return F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), n - a))
+
+    # As a lambda's argument the words are cut out once.
+    words = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), rewritten)
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(F.element_at(words, 1), " ")).otherwise(text)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
