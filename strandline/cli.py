@@ -35,14 +35,14 @@ def say(text: str) -> None:
 
 
 def print_verdict(states: DataFrame, unreadable: list[str] = ()) -> int:
-    rows = states.orderBy("name").collect()
-    if not rows:
+    states = table(states, "listed")
+    counts = {r.redundant: r.n for r in states.groupBy("redundant").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         say(NO_FILES)
         return 1
     for title, wanted in (("KEEP", False), ("DELETE", True)):
-        chosen = [r for r in rows if r.redundant is wanted]
-        say(f"{title} ({len(chosen)})")
-        for r in chosen:
+        say(f"{title} ({counts.get(wanted, 0)})")
+        for r in states.where(F.col("redundant") == wanted).orderBy("name").toLocalIterator():  # one partition at a time
             note = "  (unreadable: no messages)" if r.n_keys == 0 else f"  covered by {', '.join(r.covered_by)}" if wanted else ""
             say(f"  {r.name}{note}")
     for name in unreadable:
@@ -144,7 +144,7 @@ def main(args: list[str] | None = None, transport: Callable[[dict], dict] | None
         return 1
     if a.command == "dedup":
         unreadable = [r.name for r in found.report.where("status = 'unreadable'").orderBy("name").collect()]
-        return print_verdict(contain.verdict(file_keys(found.messages), found.files.select("file_id", "name")), unreadable)
+        return print_verdict(contain.covered(file_keys(found.messages), found.files.select("file_id", "name")), unreadable)
     if a.command == "tree":
         return tree_command(found.messages, found.files)
     messages = found.messages.join(found.files.select("file_id", "path"), "file_id")

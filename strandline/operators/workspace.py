@@ -58,7 +58,7 @@ def names_given(names: Column) -> Column:
 
 def file_states(messages: DataFrame, inputs: DataFrame) -> DataFrame:
     """name, messages, attachments (distinct names in order), redundant, covered_by: what a session shows of each file."""
-    verdict = contain.verdict(file_keys(messages), inputs)
+    verdict = contain.covered(file_keys(messages), inputs)
     count = messages.groupBy("file_id").agg(F.count(F.lit(1)).alias("messages"))
     names = messages.select("file_id", F.explode(names_given(F.col("attachments"))).alias("a")).distinct().groupBy("file_id").agg(F.array_sort(F.collect_list("a")).alias("attachments"))
     rows = verdict.join(count, "file_id", "left").join(names, "file_id", "left")

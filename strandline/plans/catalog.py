@@ -44,18 +44,47 @@ _SETS_SQL = """
 sigs AS (SELECT name, md5(string_agg(k, chr(3) ORDER BY k)) AS sig, count(*) AS n FROM keys GROUP BY name),
 classes AS (SELECT sig, any_value(n) AS n, min(name) AS low, count(*) AS members FROM sigs GROUP BY sig),
 above AS (SELECT DISTINCT x.sig AS a, y.sig AS b FROM pairs JOIN sigs x ON x.name = pairs.a JOIN sigs y ON y.name = pairs.b WHERE x.n < y.n)"""
-_STATES_SQL = " SELECT s.name, n_keys, redundant, (SELECT count(*) FROM above WHERE a = sigs.sig) AS n_supersets FROM states s JOIN sigs ON sigs.name = s.name"
+_COUNTED_SQL = " SELECT s.name, n_keys, redundant, (SELECT count(*) FROM above WHERE a = sigs.sig) AS n_supersets FROM states s JOIN sigs ON sigs.name = s.name"
 
 
 def _parts(messages: DataFrame) -> contain.Containment:
     return contain.containment(*_keys(messages))
 
 
-@query("dedup_verdict", _with(exports_sql(), PAIRS_SQL, _SETS_SQL) + _STATES_SQL)
+@query("dedup_verdict", _with(exports_sql(), PAIRS_SQL) + " SELECT name, n_keys, redundant FROM states")
 def dedup_verdict(spark, sf_dir):
+    return contain.verdicts(_parts(exports(spark, sf_dir))).select("name", "n_keys", "redundant")
+
+
+@query("dedup_superset_counts", _with(exports_sql(), PAIRS_SQL, _SETS_SQL) + _COUNTED_SQL)
+def dedup_superset_counts(spark, sf_dir):
+    """How many key sets hold a file's: unlike the verdict this needs every pair of sets."""
     return contain.states(_parts(exports(spark, sf_dir))).select("name", "n_keys", "redundant", "n_supersets")
 
 
+#: Overlapping windows of turns under few names, so that many files share one: windows of one name are never compared.
+_WINDOWS_SQL = """
+spans AS (SELECT a.range AS a, b.range AS b FROM range(6) a, range(6) b WHERE b.range >= a.range),
+exports AS (
+  SELECT conv_id || '-' || a || '-' || b AS file, 'box_' || ((conv_id * 7 + a * 3 + b) % 5) || '.mbox' AS name, c.role || chr(1) || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k
+  FROM conversations c JOIN spans ON turn BETWEEN a AND b),
+keys AS (SELECT DISTINCT file, name, k FROM exports),
+sizes AS (SELECT file, name, count(*) AS n FROM keys GROUP BY ALL),
+shared AS (SELECT a.file AS a, b.file AS b, count(*) AS c FROM keys a JOIN keys b ON a.k = b.k AND a.name <> b.name GROUP BY ALL),
+pairs AS (SELECT a, b FROM shared JOIN sizes x ON x.file = a JOIN sizes y ON y.file = b WHERE c = x.n AND (x.n < y.n OR (x.n = y.n AND y.name < x.name)))"""
+
+
+@query("dedup_windows", _with(_WINDOWS_SQL) + " SELECT file, name, n AS n_keys, file IN (SELECT a FROM pairs) AS redundant FROM sizes")
+def dedup_windows(spark, sf_dir):
+    """The verdict over all windows of up to six turns of each conversation: a lattice of sets, and names that many files share."""
+    turns = read(spark, sf_dir, "conversations")
+    spans = F.explode(F.expr("flatten(transform(sequence(0, 5), a -> transform(sequence(a, 5), b -> struct(a, b))))"))
+    rows = turns.select("*", spans.alias("w")).where("turn BETWEEN w.a AND w.b")
+    rows = rows.select(F.concat_ws("-", "conv_id", "w.a", "w.b").alias("file_id"), F.format_string("box_%d.mbox", (F.col("conv_id") * 7 + F.col("w.a") * 3 + F.col("w.b")) % 5).alias("name"), F.col("role").alias("sender"), F.col("text").alias("body"))
+    out = contain.verdicts(contain.containment(*_keys(rows)))
+    return out.select(F.col("file_id").alias("file"), "name", "n_keys", "redundant")
+
+
 @query("dedup_links", _with(exports_sql(), PAIRS_SQL, _SETS_SQL) + " SELECT x.low AS name, y.low AS by_name FROM above JOIN classes x ON x.sig = a JOIN classes y ON y.sig = b")
 def dedup_links(spark, sf_dir):
     """Pairs of key sets, told by their smallest names; dedup_members says which files have them."""
