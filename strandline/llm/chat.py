@@ -7,9 +7,9 @@ turn in its rendered dialogue (in characters), mask_start and mask_end the part
 in a name or a text is broken up, so no turn can pass for another speaker's.
 
 One row is one turn of one perspective, so a dialogue of any length is never gathered in one place. Running positions
-are sums inside blocks of turns plus sums of blocks. Equal rows are one row with a count until the end. A block with
-very many rows (turns without a number, or one number for all) is cut further by turn, name and the text's beginning,
-so a hot conversation is spread over tasks.
+are sums inside blocks of turns plus sums of blocks. Equal rows are one row with a count until the end. Turns without a
+number are a block of their own, before all others. Blocks with very many rows (turns without a number, or one number for
+all) are cut into ranges of turn, name and text that Spark makes equally large, so a hot conversation is spread over tasks.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ HEADER = "<|im_start|>{role}{name}\n"
 END = "<|im_end|>\n"
 #: Turn numbers of one block; a conversation's blocks are ranked and summed in parallel.
 BLOCK = 64
-#: Rows of a block beyond which it is cut by turn, name and this many characters of the text.
-LARGE_BLOCK, PREFIX = 100_000, 3
+#: Rows of a block beyond which it is cut into ranges, and copies of a turn that are written out together.
+LARGE_BLOCK, COPIES = 100_000, 4096
 
 
 def _header(is_own: Column, role: Column) -> Column:
@@ -56,15 +56,17 @@ def rotate_perspectives(conversations: DataFrame, context_roles: tuple[str, ...]
         F.coalesce(F.nullif(name, F.lit("")), F.lit(NO_NAME)).alias("role"), plain(F.coalesce(c["text"].cast("string"), F.lit(""))).alias("text"),
     )
     turns = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times"))
-    turns = turns.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block))
+    turns = turns.withColumn("block", F.floor(F.col("turn") / block))
     # Once written, the sums, the ranks and the result read the same rows.
     turns = table(turns, "turns")
     crowded = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select(F.col("conv_id").alias("h_conv_id"), F.col("block").alias("h_block"))
     if crowded.limit(1).count():
-        turns = turns.join(crowded, turns["conv_id"].eqNullSafe(F.col("h_conv_id")) & (F.col("block") == F.col("h_block")), "left")
-        cut = lambda c, kind: F.when(F.col("h_block").isNotNull(), c).otherwise(F.lit(None).cast(kind))
-        parts = [cut(F.col("turn"), "long"), cut(F.col("role"), "string"), cut(F.substring("text", 1, PREFIX), "string")]
-        turns = turns.withColumn("block", F.struct(F.col("block").alias("a"), *[p.alias(x) for p, x in zip(parts, "bcd", strict=True)])).drop("h_conv_id", "h_block")
+        crowded = table(crowded, "crowded-blocks")
+        hot = turns["conv_id"].eqNullSafe(crowded["h_conv_id"]) & turns["block"].eqNullSafe(crowded["h_block"])
+        # Equal rows are one, so any range can be cut in two. Written: a row's range stays what it is.
+        ranges = turns.join(crowded, hot, "left_semi").repartitionByRange("conv_id", "turn", "role", "text").withColumn("part", F.spark_partition_id())
+        turns = turns.join(crowded, hot, "left_anti").withColumn("part", F.lit(0)).unionByName(table(ranges, "ranges"))
+        turns = turns.withColumn("block", F.struct("block", "part")).drop("part")
 
     speakers = turns.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n")).withColumn("context", F.col("role").isin(*context_roles) if context_roles else F.lit(False))
     talk = speakers.groupBy("conv_id").agg(F.min("context").alias("only_context"), F.collect_set(F.when(~F.col("context"), F.col("role"))).alias("parties"), F.collect_set("role").alias("all"))
@@ -81,8 +83,10 @@ def rotate_perspectives(conversations: DataFrame, context_roles: tuple[str, ...]
     sums = sums.select(*[F.col(k).alias(f"b_{k}") for k in (*place, "block")], F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
     order = Window.partitionBy(*place, "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("nth", F.coalesce(F.sum("times").over(order), F.lit(0))).withColumn("upto", F.coalesce(F.sum(F.col("size") * F.col("times")).over(order), F.lit(0)))
-    rows = rows.join(sums, rows["conv_id"].eqNullSafe(sums["b_conv_id"]) & (rows["perspective"] == sums["b_perspective"]) & (rows["block"] == sums["b_block"]))
-    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    rows = rows.join(sums, rows["conv_id"].eqNullSafe(sums["b_conv_id"]) & (rows["perspective"] == sums["b_perspective"]) & rows["block"].eqNullSafe(sums["b_block"]))
+    # Copies come in parts, so no list is longer than a part or the number of parts.
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))))
+    rows = rows.withColumn("time", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("times"), (F.col("part") + 1) * COPIES) - 1)))
     start = F.col("chars_before") + F.col("upto") + F.col("time") * F.col("size")
     end = start + F.col("size")
     return rows.select(
