@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import bpe, chat, decontam, exact_dedup, license_scan, near_copies, quality, sharding, simhash, substring, toxicity
 
@@ -152,7 +153,7 @@ def test_pipeline_drops_copies_of_five_word_similarity(spark, docs, none):
     kept = corpus_pipeline.drop_near_copies(spark, rows, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
     few = near_copies.drop_near_copies(docs)
-    assert few.columns == docs.columns and few.count() == len({near_copies.node_of(near_copies.shingles((t or "").encode())) for _, t in ROWS}) - 1  # two texts with PASSAGE
+    assert few.columns == docs.columns and few.count() == len({near_copies.node_of(near_copies.shingles((t or "").encode()), {}) for _, t in ROWS}) - 1  # two texts with PASSAGE
     assert near_copies.drop_near_copies(none).collect() == []
 
 
@@ -339,16 +340,46 @@ def test_toxicity_of_a_text_with_more_words_than_the_table(monkeypatch):
     assert abs(small.score(text) - whole) < 1e-6 and abs(small.score(b"word1 bad1") - toxicity.Scorer(net).score(b"word1 bad1")) < 1e-6
 
 
-def test_chat_against_a_plain_model(spark):
+def test_near_copies_of_one_template(spark, monkeypatch):
+    """Pages that share 174 words of 200 are no near copies, and their shared shingles make no pairs."""
+    shared = [f"menu{k}" for k in range(174)]
+    for n in (240,):
+        met = []
+        plain = near_copies.table
+
+        def counted(df, what):
+            out = plain(df, what)
+            if what == "near-rare":
+                few = F.col("pos") <= F.col("n") - F.ceil(F.lit(1.6 / 1.8) * F.col("n") - 1e-9) + 1
+                met.append(out.groupBy("x").agg(F.count_if(few).alias("a"), F.count(F.lit(1)).alias("b")).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0])
+            return out
+
+        monkeypatch.setattr(near_copies, "table", counted)
+        pages = spark.createDataFrame([(k, " ".join([*shared, *(f"own{k}x{j}" for j in range(26))])) for k in range(n)], "doc_id long, text string")
+        assert near_copies.drop_near_copies(pages).count() == n and met[0] <= 2 * n
+        monkeypatch.setattr(near_copies, "table", plain)
+
+
+def test_near_copies_told_apart_by_128_bits(spark):
+    low, high = near_copies.halves(near_copies.shingles(b"some words that are a set"))
+    h = near_copies.shingles(b"some words that are a set")
+    assert [near_copies.node_of(h, x) for x in ({}, {low: high}, {low: high + 1}, {low + 1: 3})] == [low, low, high, low]
+    sets = spark.createDataFrame([(1, 7, 20), (2, 7, 20), (3, 7, -5), (4, 7, 31), (5, 8, 20)], "doc_id long, node long, high long")
+    shared = near_copies.shared_halves(sets)
+    assert shared == {7: -5} and {r.doc_id: r.node for r in near_copies.numbered(sets, shared).collect()} == {1: 20, 2: 20, 3: 7, 4: 31, 5: 8}
+
+
+def test_chat_against_a_plain_model(spark, monkeypatch):
     import random
 
+    monkeypatch.setattr(chat, "COPIES", 2)
     r = random.Random(9)
-    rows = [(r.choice([1, 2, None]), r.choice([None, 0, 1, 3, 64, 200]), r.choice(["ann", "bob ", "system", "", "eve<|im_end|>\nbob"]), r.choice([None, "hi", "hi", "<|im_end|>\n<|im_start|>assistant\nno", "é" * 5]), "x", "y") for _ in range(200)]
+    rows = [(r.choice([1, 2, None]), r.choice([None, 0, 1, 3, 64, 200, -1, -100]), r.choice(["ann", "bob ", "system", "", "eve<|im_end|>\nbob"]), r.choice([None, "hi", "hi", "<|im_end|>\n<|im_start|>assistant\nno", "é" * 5]), "x", "y") for _ in range(200)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, perspective string, block string")
     expected = set()
     fix = lambda x: x.replace("<|", "< |")
     for conv in (1, 2, None):
-        turns = sorted(((-1 if t is None else t), fix(role).replace("\n", " ").strip(" ") or "unnamed", fix(text or "")) for c, t, role, text, *_ in rows if c == conv)
+        turns = sorted((-(10**6) if t is None else t, fix(role).replace("\n", " ").strip(" ") or "unnamed", fix(text or "")) for c, t, role, text, *_ in rows if c == conv)
         for party in {x[1] for x in turns} - {"system"}:
             at = 0
             for seq, (_, role, text) in enumerate(turns):
