@@ -172,7 +172,7 @@ def store_command(spark: SparkSession, a: argparse.Namespace) -> int:
             return 1
         say(str(s.add(found.messages, found.files, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))))
     elif a.action == "stats":
-        say(str(store.stats(s.read()).first().asDict()))
+        say(str(s.stats().first().asDict()))
     elif a.action == "dedup":
         return print_verdict(store.store_verdict(s.read()))
     else:

@@ -428,10 +428,14 @@ def _batch(spark, sf_dir, condition: str) -> tuple[DataFrame, DataFrame]:
     return m.select(*MESSAGE_FIELDS), files_of(m).withColumn("path", F.col("name"))
 
 
-def _stored(spark, sf_dir) -> tuple[store.Tables, dict]:
+def _filled(spark, sf_dir) -> tuple[store.Store, dict]:
     s = store.Store(spark, new_path(spark, "store"))
     s.add(*_batch(spark, sf_dir, "conv_id % 2 = 0"), "first")
-    counts = s.add(*_batch(spark, sf_dir, "true"), "second")
+    return s, s.add(*_batch(spark, sf_dir, "true"), "second")
+
+
+def _stored(spark, sf_dir) -> tuple[store.Tables, dict]:
+    s, counts = _filled(spark, sf_dir)
     return s.read(), counts
 
 
@@ -449,13 +453,13 @@ SELECT (SELECT count(DISTINCT file_id) FROM exports WHERE conv_id % 2 = 1) AS ad
        count(DISTINCT k) - (SELECT count(DISTINCT k) FROM exports WHERE conv_id % 2 = 0) AS messages_added,
        count(*) - count(DISTINCT k) + (SELECT count(DISTINCT k) FROM exports WHERE conv_id % 2 = 0) AS messages_seen FROM exports""")
 def store_idempotent(spark, sf_dir):
-    counts = _stored(spark, sf_dir)[1]
+    counts = _filled(spark, sf_dir)[1]
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
 
 
 @query("store_stats", _with(exports_sql()) + " SELECT count(DISTINCT file_id) AS files, count(DISTINCT k) AS messages, 0::BIGINT AS attachments FROM exports")
 def store_stats(spark, sf_dir):
-    return store.stats(_stored(spark, sf_dir)[0])
+    return _filled(spark, sf_dir)[0].stats()
 
 
 @query("store_verdict", _with(exports_sql(), PAIRS_SQL) + " SELECT name, n_keys, redundant FROM states")
