@@ -5,6 +5,7 @@ All stay on the JVM. `let` names a value that an expression uses more than once,
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from html.entities import html5
@@ -257,25 +258,53 @@ def href_for(path: Column, directory: str, link_base: str | None = None) -> Colu
     return F.when(plain.rlike("^[a-z0-9]+://"), plain).otherwise(F.concat(F.lit("file:///"), F.regexp_replace(plain, "^/", "")))
 
 
+def _character(digits: Column, base: int) -> Column:
+    """What a numeric reference stands for; digits without the base's sign."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    number = F.when(F.length(short) <= 7, F.conv(short, base, 10).cast("long")).otherwise(F.lit(1 << 32))
+    named = F.get(F.lit(C1), (number - 0x80).cast("int"))
+
+    def of(n: Column) -> Column:
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        none = n.between(0x01, 0x08) | n.isin(0x0B, 0x7F) | n.between(0x0E, 0x1F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        broken = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(broken, F.lit("\ufffd")).when(n.between(0x80, 0x9F), named).when(none, F.lit("")).otherwise(plain)
+
+    return let(number, of)
+
+
+def _buckets(names: dict[str, str]) -> Column:
+    """The names' table as one literal: an array by first letter and length of maps that hold one to a few names."""
+    buckets: list[dict[str, str]] = [{} for _ in range(64 * LONGEST)]
+    for name, character in names.items():
+        buckets[(ord(name[0]) - 65) * LONGEST + len(name) - 1][name] = character
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+
+
+def _named(name: Column, buckets: Column) -> Column:
+    """The character of a name, or null."""
+    place = (F.ascii(name) - 65) * LONGEST + F.length(name) - 1
+    held = F.get(buckets, F.when((F.length(name) <= LONGEST) & name.rlike("^[A-Za-z]"), place))
+    return F.try_element_at(held, name)
+
+
 def decode_entities(c: Column) -> Column:
-    """Numeric references and the named entities of ENTITIES, each once: what a decoded "&" makes is not decoded again.
+    """Character references as HTML reads them, each once: what a decoded "&" makes is not decoded again.
 
-    The text is cut before every "&"; a piece that begins with a reference has it replaced.
+    The text is cut before every "&". A name that ends in a semicolon is looked up whole; else the longest of the old names
+    that it begins with counts, and what is behind it stays.
     """
-    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    often, named = table({k: ENTITIES[k] for k in OFTEN}), table(ENTITIES)
-
-    def number(body: Column) -> Column:
-        hexed = body.rlike("^#[xX]")
-        value = F.when(hexed, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2))).try_cast("int")
-        special = table(C1)[value]
-        valid = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
-        return F.coalesce(special, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
+    every, old = _buckets(html5), _buckets(OLD_NAMES)
+    lengths = sorted({len(name) for name in OLD_NAMES}, reverse=True)
 
     def piece(x: Column) -> Column:
-        body = F.regexp_extract(x, r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        to = F.when(F.startswith(body, F.lit("#")), number(body)).when(body != "", F.coalesce(often[body], named[body]))
-        return F.when(to.isNull(), x).otherwise(F.concat(to, F.substr(x, F.length(body) + 3)))
+        token = F.regexp_extract(x, r"^&(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\x0c <&#;]{1,32};?)", 1)
+        digits = F.regexp_extract(token, "^#[xX]?([0-9A-Fa-f]+)", 1)
+        number = F.when(token.rlike("^#[xX]"), _character(digits, 16)).otherwise(_character(digits, 10))
+        rest = lambda n: F.substr(x, F.lit(n + 2))
+        begun = [F.concat(_named(F.substring(token, 1, n), old), rest(n)) for n in lengths]
+        whole = F.concat(F.when(F.startswith(token, F.lit("#")), number).otherwise(_named(token, every)), F.substr(x, F.length(token) + 2))
+        return F.when(token == "", x).otherwise(F.coalesce(whole, F.when(~F.startswith(token, F.lit("#")), F.coalesce(*begun)), x))
 
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")).otherwise(c)
 
@@ -287,9 +316,8 @@ def html_to_text(html: Column) -> Column:
     return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
-#: The named entities that end in a semicolon, as Python's table has them. Names without one are sources.mail.html_text's.
-ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
-#: Those that are looked up first: a map is searched entry by entry.
-OFTEN = ("amp", "lt", "gt", "quot", "apos", "nbsp", "middot", "copy", "mdash", "ndash", "hellip", "rsquo")
-#: Numbers that stand for what Windows-1252 has there.
-C1 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: Names that count without a semicolon too.
+OLD_NAMES = {name: character for name, character in html5.items() if not name.endswith(";")}
+LONGEST = max(map(len, html5))
+#: What the numbers 128 to 159 stand for: Windows-1252, or themselves where that has nothing.
+C1 = [bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in range(0x80, 0xA0)]
