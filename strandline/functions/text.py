@@ -203,7 +203,9 @@ def short_date(value: Column) -> tuple[Column, Column]:
 def title_case(c: Column) -> Column:
     """Python's str.title for letters: each run of letters begins with a capital."""
     pieces = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+    # A letter whose capital is two letters, such as the sharp s, begins with the first of them.
+    first = lambda up: F.concat(F.substring(up, 1, 1), F.lower(F.substr(up, F.lit(2))))
+    return F.array_join(F.transform(pieces, lambda x: F.concat(first(F.upper(F.substring(x, 1, 1))), F.lower(F.substr(x, F.lit(2))))), "")
 
 
 def tab_label(folder: Column) -> Column:

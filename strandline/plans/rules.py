@@ -113,9 +113,10 @@ def file_view(spark, sf_dir):
     return workspace.file_view(m, name or "").select("msg_idx", "sender", "timestamp", "subject", "body")
 
 
-@query("compare_files", _with(exports_sql(_ATT)) + """, f AS (SELECT * FROM exports WHERE conv_id = (SELECT min(conv_id) FROM exports))
-SELECT 'message' AS kind, CAST(turn AS INTEGER) AS msg_idx, false AS only_here FROM f WHERE name LIKE '%atta%'
-UNION ALL SELECT 'attachment', 0, true UNION ALL SELECT 'attachment', 0, false""")
+@query("compare_files", _with(exports_sql(_ATT)) + """, f AS (SELECT * FROM exports WHERE conv_id = (SELECT min(conv_id) FROM exports)),
+held AS (SELECT DISTINCT name, unnest([regexp_extract(name, '_(att[ab])', 1) || '.pdf', 'z.txt']) AS v FROM f WHERE name LIKE '%att%')
+SELECT 'message' AS kind, CAST(turn AS INTEGER) AS msg_idx, k NOT IN (SELECT k FROM f o WHERE o.name LIKE '%attb%') AS only_here FROM f WHERE name LIKE '%atta%'
+UNION ALL SELECT 'attachment', 0, v NOT IN (SELECT v FROM held WHERE name LIKE '%attb%') FROM held WHERE name LIKE '%atta%'""")
 def compare_files(spark, sf_dir):
     """One file beside another: the same messages, one attachment of its own."""
     m = _attached(spark, sf_dir)
@@ -313,3 +314,102 @@ def uncovered_files(spark, sf_dir):
     kept = contain.keep(contain.redundancy(k, files))
     held = k.join(kept.select("file_id"), "file_id", "left_semi").select("key").distinct().agg(F.count(F.lit(1)).alias("keys"))
     return kept.agg(F.count(F.lit(1)).alias("kept")).crossJoin(held)  # one row each
+
+
+# --- rules over the given tables' texts --------------------------------------------------------------------------------
+
+#: Words of each text, as both sides cut them.
+_WORDS_SQL = "w AS (SELECT doc_id, n_chars, text, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS w FROM documents)"
+
+
+def _words(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", "n_chars", "text", F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)).alias("w"))
+
+
+def _word(k: int):
+    return F.coalesce(F.get("w", F.lit(k - 1)), F.lit(""))
+
+
+@query("lists_of_words", _with(_WORDS_SQL) + """
+SELECT doc_id, array_to_string(w[1:6], '|') AS attachments, CASE WHEN n_chars % 2 = 0 THEN '<' || array_to_string(w[1:3], '>|<') || '>' ELSE array_to_string(w[1:3], '|') END AS refs, lower(w[1]) AS ref FROM w WHERE len(w) > 0""")
+def lists_of_words(spark, sf_dir):
+    """Header lists of each text's first words, under all separators and with empty entries."""
+    d = _words(spark, sf_dir).where(F.size("w") > 0)
+    first = F.slice("w", 1, 6)
+    listed = F.array_join(F.transform(first, lambda x, k: F.concat(F.lit(" "), x, F.when(k % 3 == 0, F.lit(" ;")).when(k % 3 == 1, F.lit("\t,,")).otherwise(F.lit(";, ")))), "")
+    few = F.slice("w", 1, 3)
+    refs = F.when(F.col("n_chars") % 2 == 0, F.array_join(F.transform(few, lambda x: F.concat(F.lit("x <"), x, F.lit(">"))), " ")).otherwise(F.array_join(few, " \t"))
+    return d.select("doc_id", F.array_join(X.split_attachments(listed), "|").alias("attachments"), F.array_join(X.split_references(refs), "|").alias("refs"), X.message_ref(F.concat(F.lit(" <"), _word(1), F.lit("> "))).alias("ref"))
+
+
+@query("folders_of_words", _with(_WORDS_SQL, "f AS (SELECT doc_id, n_chars, list_transform(w[1:3], lambda x: replace(upper(left(x, 1)), 'ẞ', 'Ss') || lower(substr(x, 2))) AS t, regexp_replace(lower(array_to_string(w[1:3], '-')), '[^a-z0-9]+', '-', 'g') AS s FROM w WHERE len(w) > 0)") + """
+SELECT doc_id, array_to_string(t, ' ') AS tab_label, n_chars || ' ' || array_to_string(t, ' ') AS pretty, n_chars || CASE WHEN trim(s, '-') = '' THEN '' ELSE '-' || trim(s, '-') END AS slug FROM f""")
+def folders_of_words(spark, sf_dir):
+    d = _words(spark, sf_dir).where(F.size("w") > 0)
+    folder = F.concat(F.col("n_chars").cast("string"), F.lit("_-"), F.array_join(F.slice("w", 1, 3), "-_"))
+    return d.select("doc_id", X.tab_label(folder).alias("tab_label"), X.prettify(folder).alias("pretty"), X.slug(folder).alias("slug"))
+
+
+@query("safe_texts", _with(_WORDS_SQL, r"""
+v AS (SELECT doc_id, text, md5(text) AS h, coalesce(w[1], '') AS a, coalesce(w[2], '') AS b, CAST(n_chars % 10 AS INTEGER) AS n, regexp_replace(text, '[\r\n]+', ' ', 'g') AS flat FROM w)""") + r"""
+SELECT doc_id, CASE WHEN n BETWEEN 3 AND 8 THEN '#' || left(h, n) END AS color, CASE WHEN regexp_full_match(a, '[A-Za-z]+') THEN a END AS named_color,
+       CASE n % 4 WHEN 0 THEN 'https://' || a || '/' || b WHEN 1 THEN '/' || a END AS href,
+       CASE WHEN n IN (3, 6, 7, 8, 9) THEN 'rgba(' || array_to_string(list_transform([1, 2, 3], lambda k: CAST(('0x' || CASE WHEN n = 3 THEN repeat(substr(h, k, 1), 2) ELSE substr(h, 2 * k - 1, 2) END) AS INTEGER)), ',') || ',0.5)' ELSE 'rgba(107,114,128,0.5)' END AS tint,
+       coalesce(nullif(trim(regexp_replace(list_extract(string_split(replace(left(flat, 40), '\', '/'), '/'), -1), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'upload') AS name,
+       '/base/' || a || '/' || b || '.txt' AS link, 'file:///top/' || a || '/' || b || '.txt' AS local FROM v""")
+def safe_texts(spark, sf_dir):
+    """Colours, links and names made of each text and its digest."""
+    d = _words(spark, sf_dir).withColumn("h", F.md5("text")).withColumn("n", (F.col("n_chars") % 10).cast("int"))
+    color = F.concat(F.lit(" #"), F.substr("h", F.lit(1), F.col("n")))
+    start = F.when(F.col("n") % 4 == 0, F.lit("https://")).when(F.col("n") % 4 == 1, F.lit("/")).when(F.col("n") % 4 == 2, F.lit(" JavaScript\t:")).otherwise(F.lit("data:"))
+    href = F.concat(start, _word(1), F.when(F.col("n") % 4 == 0, F.concat(F.lit("/"), _word(2))).otherwise(F.lit("")))
+    path = F.concat(F.lit("file:/top/"), _word(1), F.lit("/"), _word(2), F.lit(".txt"))
+    flat = F.substring(F.regexp_replace("text", "[\r\n]+", " "), 1, 40)
+    return d.select(
+        "doc_id", X.safe_color(color).alias("color"), X.safe_color(F.nullif(_word(1), F.lit(""))).alias("named_color"), X.safe_href(href).alias("href"), X.tint(F.concat(F.lit("#"), F.substr("h", F.lit(1), F.col("n"))), "0.5").alias("tint"),
+        X.safe_name(flat).alias("name"), X.href_for(path, "/top", "/base").alias("link"), X.href_for(path, "/elsewhere").alias("local"),
+    )
+
+
+@query("dates_of_events", """
+SELECT event_id, CASE event_id % 6 WHEN 5 THEN '9999-12-31 23:59:59.999999' WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:00') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:00') ELSE strftime(ts, '%Y-%m-%d 00:00:00') END AS sent,
+       CASE event_id % 6 WHEN 4 THEN strftime(date_trunc('month', ts), '%b %-d') WHEN 5 THEN strftime(ts, '%A') WHEN 3 THEN strftime(date_trunc('year', ts), '%b %-d') ELSE strftime(ts, '%b %-d') END AS short,
+       CASE event_id % 6 WHEN 5 THEN '' ELSE strftime(ts, '%Y') END AS year, CASE WHEN event_id % 6 < 5 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%A') END AS iso FROM events""")
+def dates_of_events(spark, sf_dir):
+    """Every event's time in all the forms that are read, and one that isn't."""
+    e = read(spark, sf_dir, "events")
+    form = lambda f: F.date_format("ts", f)
+    kind = F.col("event_id") % 6
+    said = F.when(kind == 0, form("yyyy-M-d H:mm")).when(kind == 1, F.concat(F.lit(" "), form("yyyy/M/d"), F.lit("\t"), form("HH:m"))).when(kind == 2, form("yyyy-MM-dd HH:mm:ss")).when(kind == 3, F.concat(form("yyyy-MM-dd HH:mm"), F.lit(" -0800")))
+    said = said.when(kind == 4, F.concat(F.lit("sent on "), form("yyyy/MM/dd"), F.lit(", late"))).otherwise(form("EEEE"))
+    short = X.short_date(F.when(kind == 0, form("yyyy-M-d")).when(kind == 1, form(" yyyy/M/d ")).when(kind == 2, form("yyyy-MM-dd")).when(kind == 3, form("yyyy")).when(kind == 4, form("yyyy-MM")).otherwise(form("EEEE")))
+    iso = X.iso_date(F.when(kind < 3, form("yyyy/MM/dd HH:mm")).otherwise(said))
+    return e.select("event_id", X.sent_at(said).cast("string").alias("sent"), short[0].alias("short"), short[1].alias("year"), iso.alias("iso"))
+
+
+@query("decoded_texts", "SELECT doc_id, text FROM documents")
+def decoded_texts(spark, sf_dir):
+    """Every text as UTF-8, with a mark in front, or in an older encoding where it can be said in that, reads as it was."""
+    d = read(spark, sf_dir, "documents")
+    old = (F.col("doc_id") % 3 == 2) & ~F.col("text").rlike("[^\\x00-\\x7F\\xA0-\\xFF]") & ~F.is_valid_utf8(F.encode("text", "iso-8859-1").cast("string"))
+    utf8 = F.col("text").cast("binary")
+    content = F.when(old, F.encode("text", "iso-8859-1")).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(utf8)
+    return d.withColumn("content", content).select("doc_id", sources.decoded(F.col("content")).alias("text"))
+
+
+@query("mail_bodies", r"""
+SELECT conv_id, turn, role || ' of ' || conv_id || ' <' || role || '@x.example>' AS sender, strftime(TIMESTAMP '2025-01-01 08:00' + to_minutes(CAST(conv_id * 60 + turn * 7 AS BIGINT)), '%Y-%m-%d %H:%M') AS timestamp, text || '.txt' AS attachments,
+       trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS body FROM (SELECT * REPLACE (trim(regexp_replace(left(text, 80), '[^A-Za-z0-9 ]', '', 'g')) AS text) FROM conversations)""")
+def mail_bodies(spark, sf_dir):
+    """Each turn as a mail: its words in a table of HTML beside a file that is named after them."""
+    c = read(spark, sf_dir, "conversations")
+    plain = F.trim(F.regexp_replace(F.substring("text", 1, 80), "[^A-Za-z0-9 ]", ""))
+    stamp = F.timestamp_seconds(F.lit(1735718400) + (F.col("conv_id") * 60 + F.col("turn") * 7) * 60)
+    said = F.concat(
+        F.lit("From: =?utf-8?b?"), F.base64(F.concat("role", F.lit(" of "), F.col("conv_id").cast("string")).cast("binary")), F.lit("?= <"), "role", F.lit("@x.example>\nDate: "), F.date_format(stamp, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0530\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n"),
+        F.lit("--b\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.concat(F.lit("<table><tr><td>"), F.replace(plain, F.lit(" "), F.lit("</td>\t<td>")), F.lit("</td></tr></table>")).cast("binary")),
+        F.lit("\n--b\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename*=utf-8''"), F.replace(F.url_encode(plain), F.lit("+"), F.lit("%20")), F.lit(".txt\n\nx\n--b--\n"),
+    )
+    files = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("file_id"), F.lit("x.eml").alias("name"), said.cast("binary").alias("content"), F.lit("eml").alias("kind"))
+    return mail.parse_mail(files).select(F.expr("file_id div 100").alias("conv_id"), (F.col("file_id") % 100).alias("turn"), "sender", "timestamp", F.array_join("attachments", "|").alias("attachments"), "body")
