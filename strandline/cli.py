@@ -209,7 +209,7 @@ def organize_command(messages: DataFrame, n_files: int, directory: str, a: argpa
         return 2
     categories, assignments = organize.classification_frames(messages.sparkSession, answer)
     events = organize.categorized_events(inputs, categories, assignments, directory, a.link_base)
-    title = a.title or answer.get("title") or f"Threads: {os.path.basename(directory)}"
+    title = a.title or answer.title or f"Threads: {os.path.basename(directory)}"
     used = categories.count() + (1 if events.where(F.col("category") == organize.UNCATEGORIZED).limit(1).count() else 0)
     subtitle = f"{used} categories, {n} messages"
     declared = categories.select("id", "label", "color", "ordinal")

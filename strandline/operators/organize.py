@@ -1,71 +1,136 @@
 """Timelines sorted into categories by an outside classifier, which is a function that the caller gives.
 
-The library never calls a network: `classify` gets the request as a dictionary and returns the answer as one. It is
-called once for each batch of messages on the driver, as a service would be.
+The library never calls a network: `classify` gets a batch of messages and returns what the service said. Requests are made
+from a table, one after the other; what comes back is written down at once, a file for each batch, so a run that broke off
+goes on behind its last answer and no answer stays on the driver. Reading the answers is a query: JSON is taken apart
+by its schema, and everything that can be wrong with an answer is a row of a table (`problems`).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import text as X
 from strandline.operators.ranking import ranked
 from strandline.operators.timeline import CONVERSATION_COLORS, GREY
+from strandline.scratch import new_path, table
 
 UNCATEGORIZED = "uncategorized"
-MOST_OUTPUT = 16_000
-_TEXT = {"type": "string"}
+#: Messages of one request.
+BATCH = 500
 
 
-def _object(**fields: dict) -> dict:
-    return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
-#: What an answer must look like.
-ANSWER = _object(title=_TEXT, categories={"type": "array", "items": _object(id=_TEXT, label=_TEXT)}, assignments={"type": "array", "items": _object(id=_TEXT, category=_TEXT, importance={"type": "integer"}, summary=_TEXT)})
+_S = T.StringType()
+#: What an answer holds. Answers are read by it, and the service is told it.
+ANSWER = _fields(title=_S, categories=T.ArrayType(_fields(id=_S, label=_S)), assignments=T.ArrayType(_fields(id=_S, category=_S, importance=T.IntegerType(), summary=_S)))
 TASK = (
     "Sort these messages into a timeline. Name three to eight categories by subject or line of work, not by sender. Give each message one category, an importance from 0 (routine) to 3 (a milestone "
     "or decision) and a neutral summary of one line. Add nothing that the messages don't say."
 )
 
+# The fields of a chat service with structured output, and how it says that it ran out of room.
+MOST_OUTPUT = 16_000
+CUT_OFF = "max_tokens"
+
+#: What can be wrong with an answer, in the order in which it is told.
+PROBLEMS = {
+    "cut": "the answer was cut off: there were too many messages for one request",
+    "silent": "the response holds no text",
+    "no_json": "the response's text is no JSON",
+    "shape": "the answer must have the lists categories and assignments",
+}
+
 
 class ClassifierError(ValueError):
     """No messages, no classifier or an answer of the wrong shape."""
 
 
-def build_request(messages: list[dict], model: str) -> dict:
-    """The body that a chat service with structured output is sent for these messages."""
-    asked = "The messages as a JSON array; answer for every id.\n\n" + json.dumps(messages, ensure_ascii=False)
-    return {"model": model, "max_tokens": MOST_OUTPUT, "system": TASK, "messages": [{"role": "user", "content": asked}], "output_config": {"format": {"type": "json_schema", "schema": ANSWER}}}
+class Answers(NamedTuple):
+    title: str | None
+    #: raw (the id as given), label, ordinal: each category once, in the order of first mention.
+    categories: DataFrame
+    #: id, category, importance, summary, seq: by seq the last of an id counts.
+    assignments: DataFrame
 
 
-def parse_response(response: dict) -> dict:
-    """The answer in a service's response: {title, categories, assignments}. Raises ClassifierError if it is cut off, has no text, is no JSON or has another shape."""
-    if response.get("stop_reason") == "max_tokens":
-        raise ClassifierError("the answer was cut off: there were too many messages for one request")
-    said = next((b.get("text") for b in response.get("content") or [] if b.get("type") == "text" and b.get("text")), None)
-    if said is None:
-        raise ClassifierError("the response holds no text")
-    try:
-        answer = json.loads(said)
-    except ValueError as error:
-        raise ClassifierError(f"the response's text is no JSON: {error}") from error
-    return checked(answer)
+def json_schema(kind: T.DataType) -> dict:
+    """A Spark type as a JSON schema in which every field is required."""
+    match kind:
+        case T.StructType():
+            return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind}, "required": kind.names, "additionalProperties": False}
+        case T.ArrayType():
+            return {"type": "array", "items": json_schema(kind.elementType)}
+        case T.IntegerType():
+            return {"type": "integer"}
+    return {"type": kind.typeName()}
 
 
-def checked(answer: object) -> dict:
-    if not isinstance(answer, dict) or not isinstance(answer.get("categories"), list) or not isinstance(answer.get("assignments"), list):
-        raise ClassifierError("the answer must have the lists categories and assignments")
-    return answer
+def service(transport: Callable[[dict], dict] | None, model: str) -> Callable[[list[dict]], dict] | None:
+    """A classifier over a chat service: transport sends a request's body and returns the response. None without a transport."""
+    if transport is None:
+        return None
+    form = {"type": "json_schema", "schema": json_schema(ANSWER)}
 
+    def classify(messages: list[dict]) -> dict:
+        said = "Answer for every id of this JSON array of messages.\n\n" + json.dumps(messages, ensure_ascii=False)
+        return transport(dict(model=model, max_tokens=MOST_OUTPUT, system=TASK, messages=[dict(role="user", content=said)], output_config=dict(format=form)))
 
-def service(transport: Callable[[dict], dict] | None, model: str) -> Callable[[list[dict]], dict] | None:
-    """A classifier over a service: transport sends a request's body and returns the response. None without a transport."""
-    return None if transport is None else lambda messages: parse_response(transport(build_request(messages, model)))
+    return classify
+
+
+def decoded(responses: DataFrame) -> DataFrame:
+    """batch, problem (a name of PROBLEMS or null), title, categories, assignments. responses: batch, body (JSON).
+
+    A body is a service's response, whose first text is the answer, or the answer itself.
+    """
+    part = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    body = F.try_parse_json("body")
+    blocks = part(F.col("v"), "$.content", "array<variant>")
+    texts = F.filter(F.transform(blocks, lambda b: F.when(part(b, "$.type", "string") == "text", part(b, "$.text", "string"))), lambda t: F.coalesce(t, F.lit("")) != "")
+    wrapped = part(F.col("v"), "$.content", "variant").isNotNull() | part(F.col("v"), "$.stop_reason", "variant").isNotNull()
+    rows = responses.select("batch", "body", body.alias("v"))
+    rows = rows.select("batch", (part(F.col("v"), "$.stop_reason", "string") == CUT_OFF).alias("cut"), F.when(wrapped, F.get(texts, F.lit(0))).otherwise(F.col("body")).alias("said"))
+    rows = rows.withColumn("a", F.try_parse_json("said")).withColumn("answer", F.from_json("said", ANSWER))
+    listed: Column = part(F.col("a"), "$.categories", "array<variant>").isNotNull() & part(F.col("a"), "$.assignments", "array<variant>").isNotNull()
+    wrong = {"cut": F.col("cut"), "silent": F.col("said").isNull(), "no_json": F.col("a").isNull(), "shape": ~F.coalesce(listed, F.lit(False))}
+    problem = F.coalesce(*[F.when(wrong[name], F.lit(name)) for name in PROBLEMS])
+    return rows.select("batch", problem.alias("problem"), "answer.title", "answer.categories", "answer.assignments")
+
+
+def problems(responses: DataFrame) -> DataFrame:
+    """batch, problem, said: a row for each answer that can't be used."""
+    said = F.create_map(*[F.lit(x) for pair in PROBLEMS.items() for x in pair])
+    return decoded(responses).where("problem is not null").select("batch", "problem", said[F.col("problem")].alias("said"))
+
+
+def answers(responses: DataFrame) -> Answers:
+    """The answers of all batches as tables. Raises ClassifierError with the first problem, if there is one."""
+    read = table(decoded(responses), "answers")
+    first = read.agg(F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("batch"))).alias("problem"), F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("batch"))).alias("title")).first()
+    if first.problem:
+        raise ClassifierError(PROBLEMS[first.problem])
+    place = F.struct("batch", "k").alias("place")
+    named = read.select("batch", F.posexplode("categories").alias("k", "c")).select(place, F.col("c.id").alias("raw"), "c.label")
+    named = named.groupBy(F.coalesce(F.nullif("raw", F.lit("")), "label").alias("name")).agg(F.min(F.struct("place", "raw", "label")).alias("x"))
+    named = ranked(named.select("x.raw", "x.label", "x.place"), ["place"]).select("raw", "label", (F.col("ordinal") - 1).cast("int").alias("ordinal"))
+    given = read.select("batch", F.posexplode("assignments").alias("k", "a")).select("a.id", F.coalesce("a.category", F.lit("")).alias("category"), F.coalesce("a.importance", F.lit(0)).alias("importance"), "a.summary", place)
+    return Answers(first.title, named, given.withColumnRenamed("place", "seq"))
+
+
+def parse_response(spark: SparkSession, response: dict) -> Answers:
+    """One response as tables."""
+    return answers(spark.createDataFrame([(0, json.dumps(response))], "batch long, body string"))
 
 
 def classifier_inputs(unique: DataFrame) -> DataFrame:
@@ -77,42 +142,62 @@ def classifier_inputs(unique: DataFrame) -> DataFrame:
     )
 
 
-def classify_messages(inputs: DataFrame, classify: Callable[[list[dict]], dict] | None, batch: int = 500) -> dict:
-    """The answers of all batches as one: {title, categories, assignments}."""
+class Ledger:
+    """The answers that were given, a file for each batch, named after the batch and what was asked."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._home)
+
+    def _place(self, batch: int, messages: list[dict]):
+        asked = hashlib.sha256(json.dumps(messages, sort_keys=True).encode()).hexdigest()[:16]
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{batch:09d}-{asked}.json")
+
+    def ask(self, batch: int, messages: list[dict], classify: Callable[[list[dict]], dict]) -> str:
+        """Ask for a batch that has no answer yet; the name of its file."""
+        place = self._place(batch, messages)
+        if not self._fs.exists(place):
+            draft = place.suffix(".draft")
+            out = self._fs.create(draft, True)
+            out.write(bytearray(json.dumps(classify(messages)).encode()))
+            out.close()
+            self._fs.rename(draft, place)
+        return str(place.getName())
+
+    def responses(self, asked: DataFrame) -> DataFrame:
+        """batch, body of the answers whose files asked (file) names."""
+        files = self.spark.read.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.json").text(self.path)
+        files = files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
+        return files.join(asked, "file", "left_semi").select(F.substring("file", 1, 9).cast("long").alias("batch"), "body")
+
+
+def classify_messages(inputs: DataFrame, classify: Callable[[list[dict]], dict] | None, batch: int = BATCH, ledger: str | None = None) -> Answers:
+    """The answers for all messages. ledger: a folder where answers stay, so that what was answered isn't asked again."""
     if classify is None:
         raise ClassifierError("no classifier was given")
-    title, categories, assignments, waiting, any_row = None, {}, [], [], False
-
-    def ask() -> None:
-        nonlocal title
-        answer = checked(classify(waiting))
-        title = title or answer.get("title")
-        for c in answer["categories"]:
-            categories.setdefault(str(c.get("id") or c.get("label")), c)
-        assignments.extend(answer["assignments"])
-
-    for r in inputs.orderBy("pos").select("id", "date", "from", F.col("title").alias("subject"), "snippet").toLocalIterator():
-        any_row = True
-        waiting.append(r.asDict())
-        if len(waiting) == batch:
-            ask()
-            waiting = []
-    if waiting:
-        ask()
-    if not any_row:
+    spark = inputs.sparkSession
+    book = Ledger(spark, ledger or new_path(spark, "ledger"))
+    message = F.struct("pos", "id", "date", "from", F.col("title").alias("subject"), "snippet")
+    batches = inputs.groupBy(F.floor(F.col("pos") / batch).alias("batch")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    names = []
+    for r in table(batches, "requests").orderBy("batch").toLocalIterator():  # one batch at a time
+        names.append((book.ask(r.batch, [{k: v for k, v in m.asDict().items() if k != "pos"} for m in r.messages], classify),))
+    if not names:
         raise ClassifierError("there are no messages to classify")
-    return {"title": title, "categories": list(categories.values()), "assignments": assignments}
+    return answers(book.responses(spark.createDataFrame(names, "file string")))
 
 
-def classification_frames(spark: SparkSession, answer: dict) -> tuple[DataFrame, DataFrame]:
-    """(categories: id, label, color, ordinal; assignments: id, category, importance, summary, seq)."""
-    rows = [(c.get("id"), c.get("label"), k) for k, c in enumerate(answer.get("categories", []))]
-    categories = spark.createDataFrame(rows, "raw string, label string, ordinal int")
+def classification_frames(spark: SparkSession, answer: Answers | dict) -> tuple[DataFrame, DataFrame]:
+    """(categories: id, label, color, ordinal, raw; assignments: id, category, importance, summary, seq) of answers, or of one as a dictionary."""
+    if isinstance(answer, dict):
+        answer = parse_response(spark, {"categories": [], "assignments": []} | answer)
     palette = F.array(*[F.lit(c) for c in CONVERSATION_COLORS])
     own = F.coalesce(F.nullif("raw", F.lit("")), X.slug(F.coalesce("label", F.lit("category"))))
-    categories = categories.select(own.alias("id"), F.coalesce("label", own).alias("label"), F.get(palette, F.col("ordinal") % len(CONVERSATION_COLORS)).alias("color"), "ordinal", F.coalesce(F.col("raw"), F.lit("")).alias("raw"))
-    given = [(a.get("id"), str(a.get("category") or ""), int(a.get("importance") or 0), a.get("summary"), k) for k, a in enumerate(answer.get("assignments", []))]
-    return categories, spark.createDataFrame(given, "id string, category string, importance int, summary string, seq int")
+    color = F.get(palette, F.col("ordinal") % len(CONVERSATION_COLORS))
+    categories = answer.categories.select(own.alias("id"), F.coalesce("label", own).alias("label"), color.alias("color"), "ordinal", F.coalesce("raw", F.lit("")).alias("raw"))
+    return categories, answer.assignments
 
 
 def categorized_events(inputs: DataFrame, categories: DataFrame, assignments: DataFrame, directory: str = "", link_base: str | None = None) -> DataFrame:

@@ -161,16 +161,12 @@ def category_counts(events: DataFrame, label: str = "category_label") -> DataFra
 def key_events(events: DataFrame, most: int | None = None) -> DataFrame:
     """tab, place, title, date of events of importance 2 and more, by date, undated ones last. most: the first ones only.
 
-    With `most`, places come from the smallest entries of partial aggregates; a tab's key events aren't gathered.
+    With `most` Spark limits the ranks before the shuffle, so a task sends no more than that many events of a tab.
     """
     keyed = events.where(F.coalesce("importance", F.lit(0)) >= KEY).withColumn("__d", X.event_date(F.col("date")))
-    entry = F.struct(F.col("__d").isNull().alias("undated"), F.col("__d").alias("d"), "pos", "title", "date")
-    if most is not None:
-        salted = keyed.groupBy("tab", (F.xxhash64("pos") % 64).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, most).alias("x"))
-        top = salted.groupBy("tab").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, most).alias("x"))
-        return top.select("tab", F.posexplode("x").alias("place", "e")).select("tab", (F.col("place") + 1).alias("place"), "e.title", "e.date")
     order = Window.partitionBy("tab").orderBy(F.col("__d").isNull(), "__d", "pos")
-    return keyed.select("tab", F.row_number().over(order).alias("place"), "title", "date")
+    placed = keyed.select("tab", F.row_number().over(order).alias("place"), "title", "date")
+    return placed if most is None else placed.where(F.col("place") <= most)
 
 
 def tab_stats(events: DataFrame, label: str = "category_label") -> DataFrame:

@@ -413,3 +413,24 @@ def mail_bodies(spark, sf_dir):
     )
     files = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("file_id"), F.lit("x.eml").alias("name"), said.cast("binary").alias("content"), F.lit("eml").alias("kind"))
     return mail.parse_mail(files).select(F.expr("file_id div 100").alias("conv_id"), (F.col("file_id") % 100).alias("turn"), "sender", "timestamp", F.array_join("attachments", "|").alias("attachments"), "body")
+
+
+_FAULTS = ["fine", "cut", "silent", "no_json", "shape"]
+
+
+@query("classifier_answers", f"""
+WITH a AS (SELECT conv_id, {_chosen(_FAULTS, 'conv_id')} AS kind, count(*) AS n, min(turn) AS first FROM conversations GROUP BY conv_id)
+SELECT conv_id, nullif(kind, 'fine') AS problem, CASE WHEN kind IN ('fine', 'cut') THEN 'Talk ' || conv_id END AS title, CASE WHEN kind IN ('fine', 'cut') THEN n END AS assigned FROM a""")
+def classifier_answers(spark, sf_dir):
+    """A service's response for each conversation, whole or broken in each of the ways that are told apart."""
+    c = read(spark, sf_dir, "conversations")
+    given = F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("category"), (F.col("turn") % 4).cast("int").alias("importance"), F.col("text").alias("summary"))
+    rows = c.groupBy("conv_id").agg(F.collect_list(given).alias("assignments"), F.collect_set(F.struct(F.col("role").alias("id"), F.upper("role").alias("label"))).alias("categories"))
+    kind = _pick(_FAULTS, F.col("conv_id"))
+    answer = F.to_json(F.struct(F.concat(F.lit("Talk "), F.col("conv_id")).alias("title"), "categories", F.when(kind != "shape", F.col("assignments")).alias("assignments")))
+    said = F.when(kind == "silent", F.lit("")).when(kind == "no_json", F.concat(F.lit("Sure! "), answer)).when(kind == "shape", F.concat(F.lit("["), answer, F.lit("]"))).otherwise(answer)
+    blocks = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("text")), F.struct(F.lit("text").alias("type"), said.alias("text")))
+    body = F.to_json(F.struct(F.when(kind == "cut", F.lit(organize.CUT_OFF)).otherwise(F.lit("end_turn")).alias("stop_reason"), blocks.alias("content")))
+    out = organize.decoded(rows.select(F.col("conv_id").alias("batch"), body.alias("body")))
+    usable = F.coalesce("problem", F.lit("cut")) == "cut"
+    return out.select(F.col("batch").alias("conv_id"), "problem", F.when(usable, F.col("title")).alias("title"), F.when(usable, F.size("assignments").cast("long")).alias("assigned"))

@@ -171,7 +171,7 @@ def test_organize(spark, archive, tmp_path, capsys):
     assert cli.main(["organize", str(archive)]) == 2 and "no classifier" in capsys.readouterr().out
     for broken in ({"stop_reason": "max_tokens"}, {"content": []}, {"content": [{"type": "text", "text": "no"}]}, {"content": [{"type": "text", "text": "[1]"}]}):
         with pytest.raises(organize.ClassifierError):
-            organize.parse_response(broken)
+            organize.parse_response(spark, broken)
 
 
 def uploads_of(archive):
@@ -354,3 +354,25 @@ def test_streams(spark, archive, tmp_path):
     assert told == {"files": 4, "messages": 5, "attachments": 1} and len(s.version()["parts"]) == 2
     run()  # no new files: nothing is taken in again
     assert store.stats(s.read()).first().asDict() == told and s.version()["number"] == 2
+
+
+def test_answers_of_a_broken_run_are_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"e{k + 1}", "2025-01-01", "A", f"T{k}", "x", "body") for k in range(7)], "pos long, id string, date string, from string, title string, snippet string, body string")
+    asked = []
+
+    def classify(messages):
+        asked.append([m["id"] for m in messages])
+        if len(asked) == 2:
+            raise ConnectionError
+        return {"title": "", "categories": [{"id": "", "label": "Dogs & cats"}, {"id": "b", "label": "B"}], "assignments": [{"id": m["id"], "category": "b", "importance": 1, "summary": None} for m in messages]}
+
+    book = str(tmp_path / "ledger")
+    with pytest.raises(ConnectionError):
+        organize.classify_messages(rows, classify, 3, book)
+    out = organize.classify_messages(rows, classify, 3, book)
+    assert asked == [["e1", "e2", "e3"], ["e4", "e5", "e6"], ["e4", "e5", "e6"], ["e7"]]  # the first answer wasn't asked for again
+    categories, assignments = organize.classification_frames(spark, out)
+    assert [(r.id, r.label, r.raw) for r in categories.orderBy("ordinal").collect()] == [("dogs-cats", "Dogs & cats", ""), ("b", "B", "b")]
+    assert sorted((r.id, r.category) for r in assignments.collect()) == [(f"e{k}", "b") for k in range(1, 8)] and out.title is None
+    said = spark.createDataFrame([(0, "{}"), (1, '{"stop_reason": "max_tokens", "content": []}')], "batch long, body string")
+    assert [(r.batch, r.problem) for r in organize.problems(said).orderBy("batch").collect()] == [(0, "shape"), (1, "cut")]
