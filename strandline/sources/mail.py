@@ -1,7 +1,9 @@
 """Mail files and mailboxes, read with Python's email package in Arrow batches: MIME has no native reader.
 
 Mailboxes are cut into messages by Spark's text source, whose record separator is the line break before a "From " line.
-So a mailbox of any size is read in byte ranges by as many tasks as it has splits.
+So a mailbox of any size is read in byte ranges by as many tasks as it has splits. A range numbers its own records as it
+reads them; they are parsed and written once, and a sum of the ranges' counts then numbers the whole file. Bodies are
+neither sorted nor shuffled.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from email.message import EmailMessage
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.operators.ranking import ranked
 from strandline.schema import MESSAGE, MESSAGE_FIELDS
+from strandline.scratch import table
 
 KINDS = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
 #: Messages that are held in Python at once.
 AT_ONCE = 16
+#: Ranges whose numbers are broadcast; those of more are joined by a shuffle.
+FEW_RANGES = 100_000
 ENVELOPE = b"From "
 #: What the email package raises on headers and parts that are too broken for it.
 BROKEN = (LookupError, ValueError, AttributeError, TypeError)
@@ -172,29 +176,44 @@ def parse_mail(files: DataFrame) -> DataFrame:
 
 
 def mailbox_records(spark: SparkSession, directory: str, recursive: bool, pattern: str) -> DataFrame:
-    """path, msg_idx, data: the messages of a directory's mailboxes, read in byte ranges."""
+    """path, range (where it starts), data: the records of a directory's mailboxes, in order within a range."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).option("lineSep", "\n" + ENVELOPE.decode())
     rows = reader.text(directory if recursive else f"{directory.rstrip('/')}/*")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as the lists of files have it
-    rows = rows.select("value", path.alias("path"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
-    rows = ranked(rows, ["path", "range", "place"])
-    first = rows.groupBy("path").agg(F.min("ordinal").alias("first"))
-    rows = rows.join(first, "path").withColumn("at", F.col("ordinal") - F.col("first"))
-    # A file's first record has no line break before it: it is a message if it begins like one, else it is left out.
-    head = F.expr(f"substring(cast(value as binary), 1, {len(ENVELOPE)})") == F.lit(ENVELOPE)
-    opens = rows.where("at = 0").select("path", head.alias("opens"))
-    rows = rows.join(opens, "path").where("at > 0 or opens")
-    data = F.expr("cast(value as binary)")
-    return rows.select("path", (F.col("at") - F.when(F.col("opens"), 0).otherwise(1)).cast("int").alias("msg_idx"), data.alias("data"))
+    return rows.select(path.alias("path"), F.col("_metadata.file_block_start").alias("range"), F.expr("cast(value as binary)").alias("data"))
 
 
-def parse_mailboxes(records: DataFrame, files: DataFrame) -> DataFrame:
-    """Messages of mailbox_records() whose path is in files (path, name, file_id)."""
+_RECORD = f"{MESSAGE}, path string, range long, opens boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, AT_ONCE):
-                rows = zip(*(c.to_pylist() for c in batch.slice(k, AT_ONCE).columns), strict=True)
-                yield _batch([(i, n, at, (data or b"").partition(b"\n")[2]) for i, n, at, data in rows])
 
-    return records.join(files, "path").select("file_id", "name", "msg_idx", "data").mapInArrow(run, MESSAGE)
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages whose msg_idx counts within their range, and whether a record begins like a message by itself."""
+    now, count = None, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            rows, opens = [], []
+            for path, start, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                now, count = (path, start), count + 1 if (path, start) == now else 0
+                rows.append((0, "", count, (data or b"").partition(b"\n")[2]))
+                opens.append((data or b"").startswith(ENVELOPE))
+            out = _batch(rows)
+            yield pa.RecordBatch.from_arrays([*out.columns, part.column(0), part.column(1), pa.array(opens, pa.bool_())], [*MESSAGE_FIELDS, "path", "range", "opens"])
+
+
+def parse_mailboxes(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Messages of mailbox_records() whose path is in files (path, name, file_id), numbered along their file.
+
+    A file's first record has no line break before it: it is a message if it begins like one, else it is left out.
+    """
+    parsed = table(records.mapInArrow(_parsed, _RECORD), "mailbox-records")
+    ranges = parsed.groupBy("path", "range").agg(F.count(F.lit(1)).alias("n"), F.min_by("opens", "msg_idx").alias("opens"))
+    along = Window.partitionBy("path").orderBy("range")  # a row for each range of a file
+    skipped = F.when(F.first("opens").over(along), 0).otherwise(1)
+    ranges = ranges.withColumn("before", F.sum("n").over(along) - F.col("n") - skipped).join(files.select("path", "file_id", "name"), "path")
+    ranges = table(ranges.select(F.col("path").alias("r_path"), F.col("range").alias("r_range"), "before", F.col("file_id").alias("r_file_id"), F.col("name").alias("r_name")), "mailbox-ranges")
+    numbers = F.broadcast(ranges) if ranges.count() <= FEW_RANGES else ranges
+    rows = parsed.join(numbers, (F.col("path") == F.col("r_path")) & (F.col("range") == F.col("r_range")))
+    place = (F.col("msg_idx") + F.col("before")).cast("int")
+    own = {"file_id": F.col("r_file_id"), "name": F.col("r_name"), "msg_idx": place}
+    return rows.where(place >= 0).select(*[own.get(c, F.col(c)).alias(c) for c in MESSAGE_FIELDS])
