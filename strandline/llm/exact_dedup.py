@@ -6,8 +6,12 @@ arrays: a key lies at its first level without a collision, its slot is the rank
 full digest and the winner. A lookup computes one slot and compares all 32 bytes. Rows whose digest is found are
 repeats of a winner; rows whose digest isn't are grouped among themselves.
 
-Without a given history the table itself is taken: its digests that occur more than once are its history, as only
-those can remove a row; the rest are nonmembers and form groups of their own.
+Without an earlier corpus the table is taken in two parts (`exact_groups_in_parts`): the digests of half its rows are the
+history, the other half is looked up in it. Members are repeats and may bring a larger doc_id; nonmembers are grouped
+separately. Both make the table of all winners, which every row is then looked up in, so no row meets its group by a join.
+
+`exact_groups` without a history takes the digests that occur more than once as the history, as only those can remove a
+row; the rest are nonmembers and form groups of their own.
 
 Nothing is gathered by group: winners come from partial aggregates, lookups meet their shard by (shard, salt), where
 a shard with many rows (one digest may hold a third of them) is copied to as many salts as it needs.
@@ -28,6 +32,8 @@ from strandline.scratch import drop, table
 #: Digests in one shard and rows that one lookup task takes of it, about.
 SHARD_KEYS = 50_000
 LOOKUP_ROWS = 100_000
+#: Digests in one shard where whole tables are the history: more and smaller shards, so that all tasks have some.
+PART_KEYS = 4_000
 #: Bits of a level for each key that reaches it, and the levels at most; what is left then is compared one by one.
 GAMMA, LEVELS = 2.0, 40
 
@@ -186,6 +192,29 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, id_col: str
     return members.unionByName(alone)
 
 
+def exact_groups_in_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_keys: int = PART_KEYS) -> DataFrame:
+    """doc_id, locator, digest, keep_id, winner, group_size, kept: exact_groups() of a table that is half its own history.
+
+    Nulls, repeats and ties as there; which rows are the history doesn't matter to the result.
+    """
+    rows = digest_rows(docs, id_col, text_col)
+    earlier = F.pmod(F.xxhash64("locator"), F.lit(2)) == 0
+
+    def meet(some: DataFrame, known: DataFrame) -> DataFrame:
+        shards = max(1, -(-known.count() // part_keys))
+        return look_up(some, build_index(known, shards), shards)
+
+    history = table(winners(rows.where(earlier)), "history")
+    found = table(meet(rows.where(~earlier), history), "found")
+    repeats = found.where("member").groupBy(F.col("winner").alias("of")).agg(F.max(F.struct("doc_id", F.col("locator").alias("winner"))).alias("later"), F.count(F.lit(1)).alias("n"))
+    settled = history.join(repeats, F.col("winner") == F.col("of"), "left").withColumn("best", F.greatest(F.struct("doc_id", "winner"), "later"))
+    settled = settled.select("digest", F.col("best.winner").alias("winner"), F.col("best.doc_id").alias("doc_id"), (F.col("size") + F.coalesce("n", F.lit(0))).alias("size"))
+    known = table(settled.unionByName(winners(found.where("not member").select("doc_id", "locator", "digest"))), "winners")
+    drop(history, found)
+    out = meet(rows, known)
+    return out.select("doc_id", "locator", "digest", F.col("winner_id").alias("keep_id"), "winner", F.col("size").alias("group_size"), (F.col("locator") == F.col("winner")).alias("kept"))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups() keeps, with all columns as they are."""
     mark, digest = "__strandline_id", "__strandline_digest"
@@ -205,7 +234,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_groups(read(spark, sf_dir, "documents"))
+    out = exact_groups_in_parts(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -75,6 +75,19 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.exact_groups(none).collect() == [] and exact_dedup.drop_copies(none).collect() == []
 
 
+@pytest.mark.parametrize("part_keys", [4000, 2])
+def test_exact_dedup_in_parts(spark, docs, none, part_keys):
+    """As of the whole, wherever the halves lie."""
+    more = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.col("doc_id") - 5)).repartition(7)
+    whole = exact_dedup.exact_groups(more).collect()
+    out = exact_dedup.exact_groups_in_parts(more, part_keys=part_keys).collect()
+    told = lambda rows: collections.Counter((r.doc_id, bytes(r.digest), r.keep_id, r.group_size) for r in rows)
+    assert told(out) == told(whole)
+    kept = [r for r in out if r.kept]
+    assert all(r.doc_id == r.keep_id for r in kept) and sorted(bytes(r.digest) for r in kept) == sorted({bytes(r.digest) for r in out})
+    assert exact_dedup.exact_groups_in_parts(none).collect() == []
+
+
 def test_exact_dedup_against_history(spark, docs):
     history = exact_dedup.winners(exact_dedup.digest_rows(docs.where("doc_id = 1")))
     out = exact_dedup.exact_groups(docs.where("doc_id in (1, 2, 7)"), history).collect()
