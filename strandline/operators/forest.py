@@ -11,13 +11,15 @@ to one message. Messages in a reply cycle have no root, so their list has no end
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators.keys import message_key
 from strandline.operators.ranking import ranked
-from strandline.scratch import drop, table
+from strandline.scratch import table
 
 
 # What is said of a verdict that was proved.
@@ -79,6 +81,7 @@ def tour(placed: DataFrame) -> DataFrame:
     # entered and rise: sums over the visits from this one up to the next, which is not counted; end: the list's last visit.
     steps = rows.select(F.explode(F.array(enter, leave)).alias("v")).select("v.*").withColumn("end", F.when(F.col("next").isNull(), F.col("visit")))
     steps = table(steps, "tour")
+    closed = [steps.where("end is not null")]
     open_before = None
     while True:
         # An open list of any length gets new closed visits in each round; if none closes, the rest are cycles.
@@ -86,12 +89,15 @@ def tour(placed: DataFrame) -> DataFrame:
         if still_open == 0 or still_open == open_before:
             break
         open_before = still_open
-        ahead = steps.select(F.col("visit").alias("next"), F.col("next").alias("next2"), F.col("entered").alias("entered2"), F.col("rise").alias("rise2"), F.col("end").alias("end2"))
-        moved = steps.where("end is null").join(ahead, "next").select("visit", F.col("next2").alias("next"), (F.col("entered") + F.col("entered2")).alias("entered"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("end2").alias("end"))
-        after = table(steps.where("end is not null").unionByName(moved), "tour")
-        drop(steps)
-        steps = after
-    done = steps.where("end is not null and visit % 2 = 0").select(F.shiftright("visit", 1).alias("id"), F.shiftright("end", 1).alias("root_place"), "entered", "rise")
+        # What is closed is looked up and not written again.
+        left = steps.where("end is null")
+        every = functools.reduce(DataFrame.unionByName, closed, left)
+        ahead = every.select(F.col("visit").alias("next"), F.col("next").alias("next2"), F.col("entered").alias("entered2"), F.col("rise").alias("rise2"), F.col("end").alias("end2"))
+        moved = left.join(ahead, "next").select("visit", F.col("next2").alias("next"), (F.col("entered") + F.col("entered2")).alias("entered"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("end2").alias("end"))
+        steps = table(moved, "tour")
+        closed.append(steps.where("end is not null"))
+    done = functools.reduce(DataFrame.unionByName, closed)
+    done = done.where("visit % 2 = 0").select(F.shiftright("visit", 1).alias("id"), F.shiftright("end", 1).alias("root_place"), "entered", "rise")
     whole = done.where("id = root_place").select("root_place", F.col("entered").alias("size"))
     # From a visit to the end: rise is minus the depth, and entered counts the message and all after it.
     return done.join(whole, "root_place").select("id", "root_place", (-F.col("rise")).cast("int").alias("depth"), (F.col("size") - F.col("entered")).alias("place"))

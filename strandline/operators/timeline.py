@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
-from strandline.operators.ranking import ranked
+from strandline.operators.ranking import placed, ranked
 
 # The colours that conversations get in turn, those of undeclared categories, and the grey of the rest.
 CONVERSATION_COLORS = ["#1E88E5", "#E11D48", "#1D9E75", "#7C3AED", "#E89C1B", "#0EA5E9", "#DB2777", "#16A34A", "#9333EA", "#0D9488", "#D97706", "#6366F1"]
@@ -111,9 +111,9 @@ def flatten_array(events: DataFrame, summary_from_description: bool = False) ->
 
 def with_event_ids(events: DataFrame) -> DataFrame:
     """events with id: the given one, else tab-eN by place in the tab, from 1."""
-    numbered = ranked(events.withColumn("__id", F.col("id") if "id" in events.columns else F.lit(None).cast("string")).drop("id"), ["tab", "pos"])
-    first = numbered.groupBy("tab").agg(F.min("ordinal").alias("__first"))
-    return numbered.join(F.broadcast(first), "tab").withColumn("id", F.coalesce(_none(F.col("__id")), F.concat("tab", F.lit("-e"), (F.col("ordinal") - F.col("__first") + 1).cast("string")))).drop("__id", "ordinal", "__first")
+    given = F.col("id") if "id" in events.columns else F.lit(None).cast("string")
+    numbered = placed(events.withColumn("__id", given).drop("id"), "tab", ["pos"], "__place")
+    return numbered.withColumn("id", F.coalesce(_none(F.col("__id")), F.concat("tab", F.lit("-e"), F.col("__place").cast("string")))).drop("__id", "__place")
 
 
 def category_registry(events: DataFrame, declared: DataFrame) -> DataFrame:
@@ -257,9 +257,7 @@ def axis_dots(events: DataFrame) -> DataFrame:
     """tab, pos, place, x, y, r of dated events: their place by date decides the height, importance the radius."""
     rows = events.withColumn("__o", F.unix_date(X.event_date(F.col("date")))).where("__o is not null")
     ends = rows.groupBy("tab").agg(F.min("__o").alias("lo"), F.max("__o").alias("hi")).withColumn("hi", F.when(F.col("lo") == F.col("hi"), F.col("lo") + 1).otherwise(F.col("hi")))
-    placed = ranked(rows, ["tab", "__o", "pos"])
-    first = placed.groupBy("tab").agg(F.min("ordinal").alias("__first"))
-    out = placed.join(F.broadcast(first), "tab").join(F.broadcast(ends), "tab").withColumn("place", F.col("ordinal") - F.col("__first"))
+    out = placed(rows, "tab", ["__o", "pos"]).join(ends, "tab").withColumn("place", F.col("place") - 1)
     r = F.when(F.col("importance") == 3, 8.5).when(F.col("importance") == 2, 7.0).otherwise(5.5)
     return out.select("tab", "pos", "place", (F.lit(LEFT) + F.lit(WIDTH) * (F.col("__o") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), _cycle(HEIGHTS, F.col("place")).alias("y"), r.alias("r"))
 
@@ -340,11 +338,5 @@ class Edits:
 
 def reading_places(events: DataFrame) -> DataFrame:
     """events plus place, from 1: a tab's reading order, by date, undated ones last, then by place in the document."""
-    rows = ranked(events.withColumn("__d", X.event_date(F.col("date"))).withColumn("__undated", F.col("__d").isNull()), ["tab", "__undated", "__d", "pos"])
-    first = rows.groupBy("tab").agg(F.min("ordinal").alias("__first"))
-    return rows.join(F.broadcast(first), "tab").withColumn("place", F.col("ordinal") - F.col("__first") + 1).drop("__d", "__undated", "__first", "ordinal")
-
-
-def chronological(events: DataFrame) -> DataFrame:
-    """events sorted in their tabs' reading order."""
-    return events.withColumn("__d", X.event_date(F.col("date"))).orderBy("tab", F.col("__d").isNull(), "__d", "pos").drop("__d")
+    rows = events.withColumn("__d", X.event_date(F.col("date"))).withColumn("__undated", F.col("__d").isNull())
+    return placed(rows, "tab", ["__undated", "__d", "pos"]).drop("__d", "__undated")
