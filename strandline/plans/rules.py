@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import text as X
 from strandline.operators import contain, forest, organize, store, timeline, unique, workspace
@@ -434,3 +436,19 @@ def classifier_answers(spark, sf_dir):
     out = organize.decoded(rows.select(F.col("conv_id").alias("batch"), body.alias("body")))
     usable = F.coalesce("problem", F.lit("cut")) == "cut"
     return out.select(F.col("batch").alias("conv_id"), "problem", F.when(usable, F.col("title")).alias("title"), F.when(usable, F.size("assignments").cast("long")).alias("assigned"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _with_fonts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: pdf.font_pdf(t.split("\n")))
+
+
+@query("pdf_fonts", r"SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^ -~À-ÿ\n]', '', 'g'), '[ \n]*\n[ \n]*', chr(10), 'g'), chr(10) || ' '), chr(10)), lambda x: x <> ''), chr(10)) AS text FROM documents WHERE length(trim(regexp_replace(text, '[^ -~À-ÿ]', '', 'g'))) >= 200")
+def pdf_fonts(spark, sf_dir):
+    """Every longer text as a PDF of compressed objects whose font numbers its letters anew, read back."""
+    d = read(spark, sf_dir, "documents")
+    plain = F.regexp_replace("text", "[^ -~À-ÿ\n]", "")
+    lines = F.trim(F.regexp_replace(plain, "[ \n]*\n[ \n]*", "\n"))
+    d = d.where(F.length(F.trim(F.regexp_replace("text", "[^ -~À-ÿ]", ""))) >= 200)
+    files = d.select(F.col("doc_id").alias("file_id"), F.lit("x.pdf").alias("name"), _with_fonts(lines).alias("content"))
+    return pdf.read_pdf(files).select(F.col("file_id").alias("doc_id"), "text")
