@@ -32,8 +32,9 @@ MOST_TEMPLATE = 0.5
 MAIN_SHARE = 0.7
 #: A list or block with this share of its text in links, and as many links, is a menu.
 MENU_SHARE, MENU_LINKS = 0.8, 3
-#: Chosen pages up to this many bytes in all are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Chosen pages up to this many bytes in all, and rows about hosts up to this many, are broadcast; beyond it they are joined
+#: by a shuffle, in which Spark splits a host that has too many pages.
+BROADCAST_BYTES, BROADCAST_HOSTS = 32 << 20, 400_000
 #: Open elements beyond which further ones become siblings, as in browsers.
 DEEPEST = 200
 
@@ -474,6 +475,8 @@ def choose_pages(pages: DataFrame) -> DataFrame:
     layouts = known.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("size", "digest")).alias("shortest"))
     best = F.max_by("shortest", F.struct("n", "layout"))
     hosts = layouts.groupBy(F.col("host").alias("c_host")).agg(F.sum("n").alias("n"), best.alias("best")).where(F.col("n") >= LEAST_PAGES)
+    hosts = table(hosts, "hosts")
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     same = (F.col("host") == F.col("c_host")) & (F.xxhash64("html") == F.col("best.digest")) & (F.length("html") == F.col("best.size"))
     return pages.join(hosts, same).groupBy("host", "n").agg(F.min("html").alias("chosen"))
 
