@@ -510,4 +510,16 @@ def store_stream(spark, sf_dir):
     return store.stats(store.Store(spark, f"{root}/store").read()).select("messages", "attachments")  # how many files the text writer makes is its own affair
 
 
+@query("unique_stream", _with(exports_sql()) + " SELECT sender, min(ts) AS timestamp, count(*) AS occurrences, md5(k) AS k FROM exports GROUP BY k, sender")
+def unique_stream(spark, sf_dir):
+    """The earliest occurrence of every message, as state over several micro-batches of files."""
+    from strandline.streaming.ingest import stream_unique, unique_so_far
+
+    root = new_path(spark, "unique")
+    text_exports.render_exports(exports(spark, sf_dir).select(*MESSAGE_FIELDS)).repartition(6).select("text").write.text(f"{root}/in", lineSep="\n")
+    stream_unique(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=2).awaitTermination()
+    k = F.md5(F.concat("sender", F.lit("\x01"), X.fingerprint(F.col("body"))))
+    return unique_so_far(spark, f"{root}/out").select("sender", "timestamp", "occurrences", k.alias("k"))
+
+
 from strandline.plans import rules  # noqa: E402, F401  (adds its queries)
