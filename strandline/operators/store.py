@@ -279,11 +279,12 @@ class Store:
         number = v["number"] + 1
         with passing():
             stored = self.parts(v)
+            look = looked_up if v["parts"] else lambda nothing, wanted, column: nothing
             files = table(files.select("file_id", "path", "name"), "store-batch-files")
-            added, ids = batch_parts(looked_up(stored.files.select("path", "file_id"), files, "path"), v["top"], batch, files, stamp, number)
+            added, ids = batch_parts(look(stored.files.select("path", "file_id"), files, "path"), v["top"], batch, files, stamp, number)
             part = self._write_part(added)
             written = self._tables([part])
-            counts = count_batch(looked_up(stored.messages.select("key"), written.messages, "key"), written, ids).first().asDict()
+            counts = count_batch(look(stored.messages.select("key"), written.messages, "key"), written, ids).first().asDict()
         totals = {"files": v["files"] + counts["added"], "messages": v["messages"] + counts["messages_added"], "top": v["top"] + counts["added"]}
         self._publish(number, batch_name, [*v["parts"], {"name": part, "level": 0}], **totals)
         self._merge_levels()
