@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Callable
 from html.entities import html5
+from unicodedata import category
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 #: The same, one by one.
 SPACES = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
+#: Those that Unicode calls spaces, which DuckDB's trim takes.
+BLANKS = "".join(c for c in SPACES if category(c) == "Zs")
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # Header names, separators and prefixes of the export format.
 HEADER = r"^([A-Za-z][A-Za-z\-]*):[\s\x1c-\x1f]*(.*)$"
@@ -311,8 +314,23 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")).otherwise(c)
 
 
-def html_to_text(html: Column) -> Column:
-    """Tags as spaces, entities decoded once, lines squeezed, empty lines dropped."""
+def decode_names(c: Column, names: dict[str, str]) -> Column:
+    """These names alone, each with its semicolon, each once: the one that makes an "&" comes last."""
+    for name, character in sorted(names.items(), key=lambda x: x[1] == "&"):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(character))
+    return c
+
+
+def html_to_text(html: Column, names: dict[str, str] | None = None) -> Column:
+    """Tags as spaces, entities decoded once, lines squeezed, empty lines dropped.
+
+    names: the plain rule of pages instead of Python's. Only these references count; lines end at line feeds, spaces,
+    tabs and returns are squeezed and Unicode's spaces stripped; null stays null.
+    """
+    if names is not None:
+        plain = decode_names(F.regexp_replace(html, "<[^>]+>", " "), names)
+        lines = F.transform(F.split(plain, "\n"), lambda x: F.btrim(F.regexp_replace(x, r"[ \t\r]+", " "), F.lit(BLANKS)))
+        return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     t = decode_entities(F.regexp_replace(text(html), r"(?s)<[^>]+>", " "))
     lines = F.transform(split_lines(t), lambda x: strip(F.regexp_replace(x, r"[ \t\r\x0c\x0b]+", " ")))
     return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
