@@ -187,6 +187,12 @@ def states(parts: Containment) -> DataFrame:
     return rows.select("file_id", "name", "n_keys", redundant.alias("redundant"), "set_id", F.coalesce("n_supersets", F.lit(0)).alias("n_supersets"))
 
 
+def counted(parts: Containment, found: DataFrame) -> DataFrame:
+    """found (verdicts) with n_supersets as in states."""
+    above = parts.pairs.groupBy(F.col("a").alias("set_id")).agg(F.count(F.lit(1)).alias("n_supersets"))
+    return found.join(above, "set_id", "left").select("file_id", "name", "n_keys", "redundant", "set_id", F.coalesce("n_supersets", F.lit(0)).alias("n_supersets"))
+
+
 def redundancy(keys: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, name, n_keys, redundant: the verdict alone."""
     return verdicts(containment(keys, files)).drop("set_id")
