@@ -51,3 +51,14 @@ def test_damaged_files():
             data[r.randrange(len(data))] = r.randrange(256)
         assert isinstance(pdf.pdf_text(bytes(data[: r.randint(1, len(data))])), str)
     assert pdf.pdf_text(pdf.simple_pdf(["a (b) \\ c", "d"], True)) == "a (b) \\ c\nd"
+
+
+def test_a_code_is_looked_up_once(monkeypatch):
+    """A long text's letters aren't looked for in the font's ranges over and over; unknown codes and broken ends show nothing."""
+    asked, plain = [], pdf_objects.CMap.one
+    monkeypatch.setattr(pdf_objects.CMap, "one", lambda self, code: asked.append(code) or plain(self, code))
+    lines = ["tide and sand é " * 400, "sand " * 300]
+    assert pdf.pdf_text(pdf.font_pdf(lines)) == "\n".join(x.strip() for x in lines)
+    assert len(asked) == len(set(asked)) <= 12
+    cmap = pdf_objects.CMap(b"1 beginbfrange <0041> <0043> <0061> endbfrange", True)
+    assert cmap.decode(b"\x00A\x00Z\x00C\x00") == "ac" == cmap.decode(b"\x00A\x00Z\x00C\x00")
