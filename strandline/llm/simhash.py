@@ -34,6 +34,8 @@ SEED = 42
 BITS, SEGMENT, RADIUS = 64, 32, 3
 #: Pairs of one key beyond which stars take the place of pairs.
 HOT_PAIRS = 2048
+#: Links up to which a round of components broadcasts smallest neighbours; more of them stay off the driver.
+FEW_LINKS = 50_000
 #: Shingles that are hashed and counted at once, so that a long text needs no more memory.
 SLICE = 1 << 16
 
@@ -93,6 +95,11 @@ def _near(a: Column, b: Column, radius: int = RADIUS) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= radius
 
 
+def _apart(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows for a join by a shuffle: they grow with the corpus, and a broadcast would gather them on the driver first. n: their known bound."""
+    return rows.hint("merge") if n is None or n > FEW_LINKS else F.broadcast(rows)
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Links of hot keys. members: fp, key, side (null: the segment is equal)."""
     at = F.shiftrightunsigned("key", SEGMENT + 6)  # the segment the key is about; the other one may differ
@@ -107,7 +114,7 @@ def _stars(members: DataFrame) -> DataFrame:
     near = reached(rows, F.concat(zero, one), False)
     far = reached(rows.where("side is null"), two, True)
     centre = near.groupBy("key", "z").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n"))
-    both = near.unionByName(far).join(centre, ["key", "z"])
+    both = near.unionByName(far).join(_apart(centre), ["key", "z"])
     return both.where("fp <> b").select(F.col("fp").alias("a"), "b").where(_near(F.col("a"), F.col("b"))).distinct()
 
 
@@ -119,9 +126,9 @@ def links(fps: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     size, ones = F.count(F.lit(1)), F.count_if("side")
     pairs = F.when(F.bool_and(F.col("side").isNull()), size * (size - 1) / 2).otherwise(ones * (size - ones))
     sizes = rows.groupBy("key").agg(size.alias("n"), pairs.cast("long").alias("pairs")).where("n > 1 and pairs > 0").select("key", "pairs")
-    met = table(rows.join(sizes, "key").select("fp", "key", "side", "pairs"), "simhash-met")
+    met = table(rows.join(_apart(sizes), "key").select("fp", "key", "side", "pairs"), "simhash-met")
     cold = met.where(F.col("pairs") <= hot_pairs).drop("pairs")
-    left, right = cold.alias("l"), cold.alias("r")
+    left, right = cold.alias("l"), _apart(cold).alias("r")
     sides = F.coalesce(F.col("l.side") < F.col("r.side"), F.col("l.fp") < F.col("r.fp"))
     out = left.join(right, (F.col("l.key") == F.col("r.key")) & sides & _near(F.col("l.fp"), F.col("r.fp"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
     hot = met.where(F.col("pairs") > hot_pairs).drop("pairs")
@@ -139,9 +146,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(_apart(least, before[0]), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(_apart(least, before[0]), "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         used, e = e, table(small, "links")
         drop(used)
@@ -159,7 +166,7 @@ def near_groups(docs: DataFrame, width: int = 3, hot_pairs: int = HOT_PAIRS, id_
     and share a component. Empty table: no rows. Other columns are not read.
     """
     rows = table(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    return rows.join(_named(rows, hot_pairs), "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(_apart(_named(rows, hot_pairs)), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def _named(rows: DataFrame, hot_pairs: int) -> DataFrame:
@@ -171,9 +178,9 @@ def name_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """fp, root, component_id for the distinct fp of rows (doc_id, fp), of which edges (a, b) link some."""
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(edges)
-    named = table(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    named = table(fps.join(_apart(roots), fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(smallest, "root").select("fp", "root", "component_id")
+    return named.join(_apart(smallest), "root").select("fp", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, hot_pairs: int = HOT_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -439,3 +439,20 @@ def test_exact_dedup_index_outlives_its_session(spark, tmp_path):
             assert (out[k].member, out[k].kept, out[k].keep_id) == (True, False, k % 50)
         else:
             assert (out[k].member, out[k].kept, out[k].keep_id) == (False, k + 50 >= 120, k if k + 50 >= 120 else k + 50)
+
+
+def test_simhash_gathers_no_table_on_the_driver(spark, monkeypatch):
+    """Rows that grow with the corpus are never broadcast, also where they are few enough for Spark to do so; smallest neighbours are up to FEW_LINKS."""
+    plans, plain = [], simhash.table
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "table", noted)
+    monkeypatch.setattr(simhash, "FEW_LINKS", 0)
+    rows = [(k, f"one two three four five {k % 7} " * (k % 3)) for k in range(60)]
+    out = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 60 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
