@@ -38,6 +38,19 @@ BROADCAST_BYTES, BROADCAST_HOSTS = 32 << 20, 400_000
 #: Open elements beyond which further ones become siblings, as in browsers.
 DEEPEST = 200
 
+#: Numbers that Python doesn't read in one piece.
+LONG_NUMBER = re.compile(r"&#0*([0-9]*)(;?)")
+
+
+def unescape(text: str) -> str:
+    """Character references as HTML reads them; a number of thousands of digits stands for no character, or is zeros."""
+    try:
+        return entities.unescape(text)
+    except ValueError:
+        short = LONG_NUMBER.sub(lambda m: m[0] if len(m[0]) < 1000 else "\ufffd" if len(m[1]) > 7 else f"&#{m[1] or 0}{m[2]}", text)
+        return entities.unescape(short)
+
+
 # ---- The tree. The sets are those of the HTML standard.
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -129,7 +142,7 @@ class Tree:
         if text and not text.isspace():
             if self.open[-1].tag == "head":
                 self.open.pop()
-            self.texts.append(Node("#", self.open[-1], text=entities.unescape(text)))
+            self.texts.append(Node("#", self.open[-1], text=unescape(text)))
 
     def _pop_to(self, tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
         """End the outermost of the given open elements that no element of `until` holds, and what is open in it."""
@@ -382,7 +395,7 @@ def _densest(blocks: list[Block], root: Node) -> Node:
             count[id(n)] = count.get(id(n), 0) + 1
     node, most = root, MAIN_SHARE * mass.get(id(root), 0)
     while True:
-        inner = [k for k in node.kids if mass.get(id(k), 0) >= most and count[id(k)] > 1]
+        inner = [k for k in node.kids if mass.get(id(k), 0) >= most and count.get(id(k), 0) > 1]
         if not inner:
             return node
         node = inner[0]

@@ -112,3 +112,9 @@ def test_query(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     expected = con.sql(wrapper.OP13_SQL)
     assert out.columns == expected.columns and sorted(map(tuple, out.collect())) == sorted(expected.fetchall())
+
+
+def test_pages_that_once_broke_a_task():
+    """A reference of thousands of digits, and a page none of whose text counts."""
+    for source, text in (("<p>a &#" + "1" * 5000 + "; b &amp; c</p>", "a � b & c"), ("<p>&#" + "0" * 5000 + "65; &lt;</p>", "A <"), ("<nav><a href=x>menu</a></nav>", ""), ("<svg><p>x</svg>", ""), ("<p><br></p>", "")):
+        assert wrapper.main_text(wrapper.Tree(source), set()) == text
