@@ -44,7 +44,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL has no shallow-tree models, minima of shingles, random walks or byte-pair merges: tests/llm checks the stages.
+#: SQL has no shallow-tree models, votes of shingles, random walks or byte-pair merges: tests/llm checks the stages.
 ORACLE_SQL = None
 
 

@@ -1,12 +1,20 @@
 """Near copies by the Jaccard similarity of their sets of five-word shingles, 0.8 or more, each link verified exactly.
 
-At that similarity some ten of a fingerprint's 64 bits differ, more than the segments of simhash.py can look up, so
-candidates come from minima instead: BANDS keys of ROWS minima of the shingles' hashes. Two texts of similarity s miss
-each other in all keys with the probability (1 - s ** ROWS) ** BANDS, 7e-5 at 0.8. A key's texts are first compared with
-the one whose keys hold the most texts, in a cluster of copies the text that was copied; only those that this leaves in
-different components are then compared pair by pair. Pairs are ruled out before they are made by what no match can lack:
-two similar sets share one of their rarest shingles, and the first one they share, in the order of rarity, bounds what
-they have in common (prefix and position filter). So texts that were copied and then edited too much meet seldom.
+Candidates come from SimHash and deletion variants, as in simhash.py, but with a fingerprint of WORDS * 64 bits: at this
+similarity some 15 % of its bits differ, which is beyond the radius that segments of 64 bits can look up whole. Bits that
+differ are nearly always bits that the shingles voted on almost evenly. So the fingerprint is dealt into segments of SEGMENT
+bits, in DEALS different orders, and a segment's signature is its STRONGEST bits of clearest vote, places and values. A
+variant is a signature with one of its bits taken out; texts whose signatures share all bits but one meet under a variant by
+an equality join. At 0.8 they do in a segment with a probability of 0.18 or more, so they miss each other in all 48 with
+one of some 1e-4. What meets is verified by counting the bits that differ among the first 128, of which
+more than RADIUS differ at 0.8 with a probability below 1e-6, 1e-5 for sets of five; then by the sets themselves.
+
+Each text is first compared with the one that its keys share with most other texts, in a cluster of copies the text that
+was copied; only those that this leaves in different components are then compared pair by pair. In keys of at most FEW texts
+these are the pairs whose fingerprints are near enough. In larger keys, where that would be too many, fingerprints don't
+count, and pairs are ruled out before they are made by what no match can lack: two similar sets share one of their rarest
+shingles, and the first one they share, in the order of rarity, bounds what they have in common (prefix and position
+filter). So texts that were copied and then edited too much meet seldom.
 
 A set of shingles is known by 128 bits: its node is the lower half, unless another set has the same one; of such sets all
 but one are known by their upper half. Some N * N / 2^65 of N texts are concerned. Texts with one set are one node.
@@ -28,17 +36,25 @@ from strandline.llm.common import LOWER, mix64, raw, small_batches
 from strandline.scratch import drop, table
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
+#: Words of 64 bits of a fingerprint, bits of a segment, orders in which all bits are dealt into segments, bits of a signature.
+WORDS, SEGMENT, DEALS, STRONGEST = 32, 128, 3, 5
+SEGMENTS = DEALS * WORDS * simhash.BITS // SEGMENT
+#: Bits of a signature's entry: the place in its segment and the value.
+ENTRY = 8
+#: Most bits that may differ of the fingerprint's first 128.
+RADIUS = 46
+#: Texts of a key up to which all its pairs are candidates.
+FEW = 8
 SEED = 43
 #: Bits for each node that has a key in common with others, and at least and most bits of the table that tells which these
 #: are; beyond the most it lets more texts through to the shuffle, and no node is lost.
 NODE_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
-#: Hashes that are multiplied at once, so that a long text needs little memory.
-SLICE = 1 << 18
+#: Shingles whose bits are counted at once, so that a long text needs little memory.
+SLICE = 1 << 12
 
 _random = np.random.default_rng(SEED)
-_XOR = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_ODD = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = _random.integers(0, 1 << 63, WORDS, np.uint64)
+_DEALT = np.concatenate([_random.permutation(WORDS * simhash.BITS) for _ in range(DEALS)]).reshape(SEGMENTS, SEGMENT)
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -60,15 +76,21 @@ def node_of(hashes: np.ndarray, shared: dict[int, int]) -> int:
     return high if shared.get(low, high) != high else low
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    least = np.empty(BANDS * ROWS, np.uint64)
-    step = max(1, SLICE // len(hashes))
-    for k in range(0, len(least), step):
-        least[k : k + step] = ((hashes ^ _XOR[k : k + step, None]) * _ODD[k : k + step, None]).min(axis=1)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = mix64(key + column + np.uint64(1))
-    return key.view(np.int64)
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of the fingerprint how many more shingles have it than not; the fingerprint has those above zero."""
+    ones = np.zeros(WORDS * simhash.BITS, np.int64)
+    for k in range(0, len(hashes), SLICE):
+        ones += simhash.bit_counts(mix64(hashes[k : k + SLICE, None] ^ _SEEDS))
+    return 2 * ones - len(hashes)
+
+
+def signatures(v: np.ndarray) -> np.ndarray:
+    """A number for each segment: its bits of clearest vote by place, ENTRY bits each; of equal votes the later places."""
+    dealt = v[_DEALT]
+    clear = np.abs(dealt) * SEGMENT + np.arange(SEGMENT)
+    top = np.sort(np.argpartition(clear, -STRONGEST, axis=1)[:, -STRONGEST:], axis=1)
+    entries = 2 * top + (np.take_along_axis(dealt, top, 1) > 0)
+    return (entries << ENTRY * np.arange(STRONGEST)).sum(axis=1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -77,17 +99,30 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, node (the lower half), high, n (shingles), keys. texts: doc_id, text."""
+    """doc_id, node (the lower half), high, n (shingles), f and g (the fingerprint's first 128 bits), signatures. texts: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = [shingles(t, width) for t in raw(batch.column(1))]
-            keys = np.concatenate([band_keys(h) for h in found]) if found else np.zeros(0, np.int64)
-            both = [halves(h) for h in found]
-            columns = [batch.column(0), *(pa.array([x[k] for x in both], pa.int64()) for k in (0, 1)), pa.array(map(len, found), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(keys))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "high", "n", "keys"])
+            both = np.array([halves(h) for h in found], np.int64).reshape(-1, 2)
+            counts = [votes(h) for h in found]
+            bits = np.packbits(np.array([v[:128] > 0 for v in counts], bool).reshape(-1, 128), axis=1).view(np.int64)
+            signed = np.array([signatures(v) for v in counts], np.int64).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SEGMENTS, pa.int32()), pa.array(signed))
+            numbers = [pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], np.array(list(map(len, found)), np.int64), bits[:, 0], bits[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, lists], ["doc_id", "node", "high", "n", "f", "g", "signatures"])
+
+    return texts.mapInArrow(run, "doc_id long, node long, high long, n long, f long, g long, signatures array<long>")
+
 
-    return texts.mapInArrow(run, "doc_id long, node long, high long, n long, keys array<long>")
+def variants(signed: DataFrame) -> DataFrame:
+    """node, key: for each of its signatures one key for each bit that is taken out. signed: node, signatures."""
+    rows = signed.select("node", F.posexplode("signatures").alias("segment", "s"))
+    rest = STRONGEST * ENTRY - ENTRY
+    taken = [F.shiftright(F.col("s"), ENTRY * (k + 1)) for k in range(STRONGEST)]
+    left = [F.shiftleft(t, ENTRY * k).bitwiseOR(F.col("s").bitwiseAND(F.lit((1 << ENTRY * k) - 1).cast("long"))) for k, t in enumerate(taken)]
+    at = F.shiftleft(F.col("segment").cast("long"), rest)
+    return rows.select("node", F.explode(F.array(*(at.bitwiseOR(x) for x in left))).alias("key"))
 
 
 def shared_halves(sets: DataFrame) -> dict[int, int]:
@@ -164,38 +199,57 @@ def _possible(left: Column, right: Column, similarity: float) -> Column:
     return most >= similarity * (F.col("l.n") + F.col("r.n") - most) - 1e-9
 
 
+def _close(similarity: float) -> Column:
+    """Whether the numbers of shingles and the fingerprints of l and r let them be similar."""
+    apart = F.bit_count(F.col("l.f").bitwiseXOR(F.col("r.f"))) + F.bit_count(F.col("l.g").bitwiseXOR(F.col("r.g")))
+    return _possible(F.col("l.n"), F.col("r.n"), similarity) & (apart <= RADIUS)
+
+
+def _pairs(left: DataFrame, right: DataFrame, by: str, where: Column) -> DataFrame:
+    """a, b: the distinct pairs of nodes that share `by`. The join is one by a shuffle: its rows grow with the corpus."""
+    both = left.alias("l").join(right.hint("merge").alias("r"), (F.col(f"l.{by}") == F.col(f"r.{by}")) & where)
+    return both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
 def links(sets: DataFrame, texts: DataFrame, width: int, similarity: float, shared: dict[int, int], held: list[DataFrame]) -> DataFrame:
     """a, b: links between nodes that join exactly those whose similarity is high enough, directly or over others.
 
     held: gets the tables that the links are read from, which may go afterwards.
     """
-    distinct = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = distinct.select("node", "n", F.explode("keys").alias("key"))
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = table(rows.join(keys, "key"), "near-met")
-    hashes = table(_hashes(texts, met, width, shared), "near-hashes")
-    # The text that was copied shares keys with most of its copies; the degree tells it from them.
+    distinct = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "f", "g")))
+    rows = variants(sets.groupBy("node").agg(F.first("signatures").alias("signatures")))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = table(rows.join(sizes.hint("merge"), "key").join(distinct.hint("merge"), "node"), "near-met")
+    cold, hot = met.where(F.col("size") <= FEW), met.where(F.col("size") > FEW)
+    # The text that was copied shares keys with most of its copies; the degree tells it from them. One pair for each text.
     degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
-    centre = met.join(degree, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("c")).select("key", "c.*")
-    left, right = met.alias("l"), centre.alias("r")
-    star = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") != F.col("r.node")) & _possible(F.col("l.n"), F.col("r.n"), similarity))
-    first = table(_verified(star.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), hashes, similarity), "near-first")
-    roots = simhash.components(first)
-    rest = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    ranked = met.join(degree.hint("merge"), "node")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "n", "f", "g")).alias("r"))
+    best = met.alias("l").join(centre.hint("merge"), "key").groupBy(F.col("l.node").alias("a")).agg(F.max(F.struct(_close(similarity) & (F.col("l.node") != F.col("r.node")), "r.degree", F.col("r.node").alias("b"))).alias("best"))
+    star = table(best.where("best.col1").select("a", "best.b"), "near-star")
+    others = table(_pairs(cold, cold, "key", (F.col("l.node") < F.col("r.node")) & _close(similarity)), "near-others")
+    nodes = star.unionByName(others).select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
+    hashes = table(_hashes(texts, nodes, width, shared), "near-hashes")
+    first = table(_verified(star, hashes, similarity), "near-first")
+    roots = table(simhash.components(first), "near-roots")
+    for end in ("a", "b"):
+        others = others.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")).hint("merge"), end, "left")
+    others = others.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    second = table(_verified(others, hashes, similarity), "near-second")
+    rest = hot.join(roots.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     several = lambda df, by: df.join(df.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(by), by)
     near = table(several(rest, "key").select("node", "n", "root").distinct(), "near-rest")
-    drop(met)
+    drop(met, star)
     rare = several(table(_rarest(near, hashes, similarity), "near-rare"), "x")
-    held += [hashes, first, near, rare]
+    held += [hashes, first, second, near, rare]
     # Of two similar sets the smaller one has 2 s / (1 + s) of its shingles in common, more than the larger need have, so
     # fewer of its rarest ones suffice. Pages of one template that differ enough share none of these.
     few = F.col("pos") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
-    left, right = rare.where(few).alias("l"), rare.alias("r")
     smaller = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node")))
     # Before the first shingle that two sets share there is none in common: the pair is made there, if anywhere.
     reach = _possible(F.col("l.n") - F.col("l.pos") + 1, F.col("r.n") - F.col("r.pos") + 1, similarity)
-    pairs = left.join(right, (F.col("l.x") == F.col("r.x")) & smaller & (F.col("l.root") != F.col("r.root")) & reach)
-    return first.unionByName(_verified(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), hashes, similarity))
+    pairs = _pairs(rare.where(few), rare, "x", smaller & (F.col("l.root") != F.col("r.root")) & reach)
+    return first.unionByName(second).unionByName(_verified(pairs, hashes, similarity))
 
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,10 +58,10 @@ def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit, from the highest to the lowest."""
-    out = np.zeros(BITS, np.int64)
+    """How many of the hashes have each bit, from the highest to the lowest; of rows of hashes, one after the other."""
+    out = np.zeros(BITS * (h.shape[1] if h.ndim > 1 else 1), np.int64)
     for k in range(0, len(h), 255):  # a byte's counters hold 255 at most
-        out += np.unpackbits(h[k : k + 255].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint8)
+        out += np.unpackbits(h[k : k + 255].astype(">u8").view(np.uint8).reshape(-1, len(out) // 8), axis=1).sum(0, dtype=np.uint8)
     return out
 
 

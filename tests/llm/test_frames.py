@@ -456,3 +456,22 @@ def test_simhash_gathers_no_table_on_the_driver(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.count() == 60 and any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_near_copies_meet_by_deletion_variants(spark):
+    """Sets at the least similarity share a variant of a signature; one of a signature's bits may differ, two may not."""
+    r = np.random.default_rng(5)
+    apart = []
+    for n, d in ((4, 1), (9, 1), (18, 2), (45, 5), (180, 20)):
+        for _ in range(60):
+            x = r.integers(0, 1 << 63, n + d, np.uint64)
+            v, w = (near_copies.votes(s) for s in (x[:n], x if n == 4 else x[d:]))
+            shared = [len({s >> 8 * k & 255 for k in range(5)} & {t >> 8 * k & 255 for k in range(5)}) for s, t in zip(near_copies.signatures(v).tolist(), near_copies.signatures(w).tolist(), strict=True)]
+            apart.append(max(shared) < 4)
+            assert ((v[:128] > 0) != (w[:128] > 0)).sum() <= near_copies.RADIUS
+    assert sum(apart) <= 1
+    number = lambda entries: sum(e << 8 * k for k, e in enumerate(sorted(entries)))
+    base = [3, 40, 77, 130, 255]
+    rows = [(1, [number(base), number(range(5))]), (2, [number([3, 40, 76, 130, 255]), number(range(10, 15))]), (3, [number([3, 40, 76, 131, 255]), number(range(20, 25))]), (4, [number(range(30, 35)), number(base)])]
+    keys = {n: {x.key for x in near_copies.variants(spark.createDataFrame(rows, "node long, signatures array<long>")).where(f"node = {n}").collect()} for n, _ in rows}
+    assert len(keys[1] & keys[2]) == 1 and len(keys[2] & keys[3]) == 1 and not keys[1] & keys[3] and not keys[1] & keys[4]
