@@ -5,7 +5,7 @@ similarity some 15 % of its bits differ, which is beyond the radius that segment
 differ are nearly always bits that the shingles voted on almost evenly. So the fingerprint is dealt into segments of SEGMENT
 bits, in DEALS different orders, and a segment's signature is its STRONGEST bits of clearest vote, places and values. A
 variant is a signature with one of its bits taken out; texts whose signatures share all bits but one meet under a variant by
-an equality join. At 0.8 they do in a segment with a probability of 0.18 or more, so they miss each other in all 48 with
+an equality join. At 0.8 they do in a segment with a probability of some 0.18, so they miss each other in all 48 with
 one of some 1e-4. What meets is verified by counting the bits that differ among the first 128, of which
 more than RADIUS differ at 0.8 with a probability below 1e-6, 1e-5 for sets of five; then by the sets themselves.
 
